@@ -10,25 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ITEMS = T.StructType.fromDDL(
-    "user string, category string, item string, photo string, price double, date_purchased date,"
-    " date_divested date, used_init double, materials string, weight double"
-)
-USAGE_LOG = T.StructType.fromDDL("user string, category string, item string, date date, used boolean")
-CATEGORY_DIM = T.StructType.fromDDL("category string, rank int, url string, category_photo string")
-STUDY_ITEMS = T.StructType.fromDDL(
-    "user string, category string, item string, wears double, total_wears double, washed double,"
-    " price double, cpw double, date_purchased date, date_divested date, secondhand boolean,"
-    " secondhand_type string, divestment_way string, condition string, repaired double,"
-    " needs_repair boolean, needs_repair_start boolean, repair_kind string,"
-    " reason_not_repaired string, repair_willing_to_pay string, special_care_kind string,"
-    " sentimental_value boolean"
+KINDS = {
+    "string": T.StringType(),
+    "double": T.DoubleType(),
+    "date": T.DateType(),
+    "boolean": T.BooleanType(),
+    "int": T.IntegerType(),
+    "long": T.LongType(),
+}
+
+
+def table(**columns: str) -> T.StructType:
+    """Schema from kinds and the columns of each kind: ``table(string='user item')``."""
+    return T.StructType([T.StructField(c, KINDS[kind]) for kind, names in columns.items() for c in names.split()])
+
+
+ITEMS = table(
+    string="user category item photo materials",
+    double="price used_init weight",
+    date="date_purchased date_divested",
 )
-USERS = T.StructType.fromDDL("user string, gender string, exchange_rate double")
-CATEGORY_CHANGES = T.StructType.fromDDL(
-    "change_seq long, user string, item string, target_category string"
+USAGE_LOG = table(string="user category item", date="date", boolean="used")
+CATEGORY_DIM = table(string="category url category_photo", int="rank")
+STUDY_ITEMS = table(
+    string="user category item secondhand_type divestment_way condition repair_kind reason_not_repaired"
+    " repair_willing_to_pay special_care_kind",
+    double="wears total_wears washed price cpw repaired",
+    date="date_purchased date_divested",
+    boolean="secondhand needs_repair needs_repair_start sentimental_value",
 )
-STEPS = T.StructType.fromDDL("user string, date date, steps double")
+USERS = table(string="user gender", double="exchange_rate")
+CATEGORY_CHANGES = table(long="change_seq", string="user item target_category")
+STEPS = table(date="date", double="steps")
 
 # A list of categories is written by hand; beyond this it is no longer a dimension.
 MAX_CATEGORIES = 10_000
