@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearlog.functions.numeric import rounded
 from wearlog.operators.cleaning import apply_category_changes, clean_study, for_users, normalise_currency
 from wearlog.operators.daily_cost import daily_cost
 from wearlog.operators.listings import category_listing, item_listing
@@ -26,9 +25,9 @@ def cost_per_wear_today(use: DataFrame) -> DataFrame:
         "item",
         "active",
         "cumuse",
-        rounded("cost_per_use", 6).alias("cost_per_use"),
+        "cost_per_use",
         "days_active",
-        rounded("use_per_month", 6).alias("use_per_month"),
+        "use_per_month",
     )
 
 
