@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from registry import tables as t
 from registry.catalog import even, query
 from registry.scans import event_sheet
-from registry.usage import clipped
+from registry.usage import active, clipped
 from wearlog.functions.scalars import item_label, label_category, label_item
 from wearlog.operators import cleaning
-from wearlog.operators.usage import active_use, carry_forward
+from wearlog.operators.usage import carry_forward
 from wearlog.sources.wide import clean_sheet, to_log
 
 ITEM = ["user", "category", "item"]
@@ -119,7 +119,7 @@ def photos(spark, d):
 
 @query("C11_plot_size", 'SELECT "user", category, item, date, active, plot_size FROM use')
 def plot_size(spark, d):
-    use = carry_forward(active_use(clipped(spark, d), t.items(spark, d), t.START), t.end(spark, d))
+    use = carry_forward(active(spark, d), t.end(spark, d))
     return cleaning.with_plot_size(use).select(*ITEM, "date", "active", "plot_size")
 
 

@@ -181,7 +181,7 @@ SELECT NULL, category, 0.25, round(max(price), 6), 'Photos/' || category || '.pn
 FROM items GROUP BY category""",
 )
 def compared(spark, d):
-    last = portfolio.with_category_photo(latest(to_date(spark, d)), t.dim(spark))
+    last = portfolio.with_category_photo(latest(to_date(spark, d), last=t.end(spark, d)), t.dim(spark))
     table = portfolio.compare(last, comparison(spark, d))
     return table.withColumn("category_use", F.round("category_use", 9)).withColumn(
         "monthly_cost", F.round("monthly_cost", 6)
@@ -208,12 +208,12 @@ ROUNDED_COST = ("daily_cost", "average_daily_cost")
 
 
 def rounded_cost(table):
-    return table.withColumns({c: F.round(c, 6) for c in ROUNDED_COST})
+    return table.withColumns({c: F.round(c, 9) for c in ROUNDED_COST})
 
 
 @query(
     "D1_daily_cost",
-    daily_sql('k."user"') + 'SELECT "user", date, round(daily_cost, 6) AS daily_cost, still_active FROM days',
+    daily_sql('k."user"') + 'SELECT "user", date, round(daily_cost, 9) AS daily_cost, still_active FROM days',
 )
 def daily_cost(spark, d):
     return rounded_cost(cost.daily_cost(t.use(spark, d), exclude=LEFT_OUT)).drop("average_daily_cost")
@@ -222,8 +222,8 @@ def daily_cost(spark, d):
 @query(
     "D2_midpoint_average",
     daily_sql('k."user"')
-    + """SELECT "user", date, round(daily_cost, 6) AS daily_cost, still_active,
-       round(lead(mean, 15) OVER (PARTITION BY "user" ORDER BY date), 6) AS average_daily_cost FROM averaged""",
+    + """SELECT "user", date, round(daily_cost, 9) AS daily_cost, still_active,
+       round(lead(mean, 15) OVER (PARTITION BY "user" ORDER BY date), 9) AS average_daily_cost FROM averaged""",
 )
 def midpoint_average(spark, d):
     return rounded_cost(cost.daily_cost(t.use(spark, d), exclude=LEFT_OUT))
@@ -232,8 +232,8 @@ def midpoint_average(spark, d):
 @query(
     "D3_daily_cost_by_category",
     daily_sql('k."user", k.category')
-    + """SELECT "user", category, date, round(daily_cost, 6) AS daily_cost, still_active,
-       round(lead(mean, 15) OVER (PARTITION BY "user", category ORDER BY date), 6) AS average_daily_cost FROM averaged""",
+    + """SELECT "user", category, date, round(daily_cost, 9) AS daily_cost, still_active,
+       round(lead(mean, 15) OVER (PARTITION BY "user", category ORDER BY date), 9) AS average_daily_cost FROM averaged""",
 )
 def daily_cost_by_category(spark, d):
     return rounded_cost(cost.daily_cost(t.use(spark, d), exclude=LEFT_OUT, by_category=True))
@@ -254,8 +254,8 @@ averaged AS (
   SELECT *, CASE WHEN count(daily_cost) OVER w >= 1 THEN avg(daily_cost) OVER w END AS mean
   FROM days WINDOW w AS (PARTITION BY "user", day ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
 shifted AS (
-  SELECT "user", day, date, round(daily_cost, 6) AS daily_cost, still_active,
-         round(lead(mean, 15) OVER (PARTITION BY "user", day ORDER BY date), 6) AS average_daily_cost FROM averaged)
+  SELECT "user", day, date, round(daily_cost, 9) AS daily_cost, still_active,
+         round(lead(mean, 15) OVER (PARTITION BY "user", day ORDER BY date), 9) AS average_daily_cost FROM averaged)
 """
 
 
@@ -289,7 +289,7 @@ FROM use WHERE date = (SELECT max(date) FROM use)
 """,
 )
 def item_listing(spark, d):
-    ranked = with_category_rank(listings.item_listing(t.use(spark, d)), t.dim(spark))
+    ranked = with_category_rank(listings.item_listing(t.use(spark, d), t.end(spark, d)), t.dim(spark))
     return listings.item_listing_order(ranked)
 
 
@@ -317,7 +317,7 @@ SELECT "user", category, itemcount, categoryvalue, round(daily_cost, 6) AS daily
 def listing(spark, d, totals):
     use = t.use(spark, d)
     table = listings.category_listing(
-        portfolio.inventory(use, one_row_per_day=True), portfolio.use_to_date(use), t.dim(spark), totals
+        portfolio.inventory(use, one_row_per_day=True), portfolio.use_to_date(use), t.dim(spark), totals, t.end(spark, d)
     )
     return table.withColumns({c: F.round(c, 6) for c in ("daily_cost", "category_use", "yearly_cost", "turnover")})
 
@@ -353,7 +353,7 @@ WHERE u.date = (SELECT max(date) FROM use)
 """,
 )
 def times_used(spark, d):
-    return listings.times_used(t.use(spark, d)).withColumns({c: F.round(c, 6) for c in BAND_COLUMNS})
+    return listings.times_used(t.use(spark, d), last=t.end(spark, d)).withColumns({c: F.round(c, 6) for c in BAND_COLUMNS})
 
 
 @query("L5_use_bands", BANDS)
@@ -369,7 +369,7 @@ FROM use WHERE date = (SELECT max(date) FROM use WHERE category IN ('SMALL', 'LA
 """,
 )
 def selected_categories(spark, d):
-    return category_view(t.use(spark, d), ["SMALL", "LARGE"])
+    return category_view(t.use(spark, d), ["SMALL", "LARGE"], t.end(spark, d))
 
 
 ALLOCATED = """

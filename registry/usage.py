@@ -17,8 +17,14 @@ def clipped(spark, d):
     return clip_to_ownership(t.log(spark, d), t.items(spark, d), t.START, t.end(spark, d))
 
 
+def owned(spark, d):
+    """Owned days with the facts of their items."""
+    facts = usage.with_item_facts(t.log(spark, d), t.items(spark, d))
+    return usage.within_ownership(facts, t.START, t.end(spark, d))
+
+
 def active(spark, d):
-    return usage.active_use(clipped(spark, d), t.items(spark, d), t.START)
+    return usage.with_days_active(usage.with_cumulative_use(owned(spark, d)), t.START)
 
 
 @query("U1_cumulative_use", 'SELECT "user", category, item, date, used, cumuse FROM cum')
@@ -28,7 +34,7 @@ def cumulative_use(spark, d):
 
 @query("U2_cost_per_use", 'SELECT "user", category, item, date, cumuse, price, cost_per_use FROM cum')
 def cost_per_use(spark, d):
-    return usage.cumulative_use(clipped(spark, d), t.items(spark, d)).select(*KEYS, "cumuse", "price", "cost_per_use")
+    return usage.with_cumulative_use(owned(spark, d)).select(*KEYS, "cumuse", "price", "cost_per_use")
 
 
 @query("U3_days_active", 'SELECT "user", category, item, date, days_active FROM active_use')
@@ -88,7 +94,7 @@ FROM use WHERE date = (SELECT max(date) FROM use)
 """,
 )
 def latest_state(spark, d):
-    return cost_per_wear_today(t.use(spark, d))
+    return cost_per_wear_today(t.use(spark, d), t.end(spark, d))
 
 
 @query(

@@ -116,13 +116,13 @@ def with_profile(df: DataFrame, users: DataFrame) -> DataFrame:
     return df.join(users, "user")
 
 
-def item_photos(items: DataFrame, folder: str = "Photos/", suffix: str = ".png") -> DataFrame:
+def photo_path(name: Column, folder: str = "Photos/", suffix: str = ".png") -> Column:
+    return F.concat(F.lit(folder), name, F.lit(suffix))
+
+
+def item_photos(items: DataFrame) -> DataFrame:
     """One photo path per item."""
-    return (
-        items.groupBy("user", "item")
-        .agg(F.min("photo").alias("photo"))
-        .withColumn("photo", F.concat(F.lit(folder), F.col("photo"), F.lit(suffix)))
-    )
+    return items.groupBy("user", "item").agg(photo_path(F.min("photo")).alias("photo"))
 
 
 def with_photo(log: DataFrame, items: DataFrame) -> DataFrame:

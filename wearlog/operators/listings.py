@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearlog.functions.numeric import ratio, rounded, strict_sum
@@ -11,11 +13,12 @@ from wearlog.operators.ordered import exact_quantiles, row_positions
 from wearlog.operators.usage import latest
 
 KEYS = ["user", "category", "date"]
+Last = Column | dt.date | None
 
 
-def item_listing(use: DataFrame, month_days: float = 30.5) -> DataFrame:
+def item_listing(use: DataFrame, last: Last = None, month_days: float = 30.5) -> DataFrame:
     """Items as of the last day: uses, cost per wear, wears and months, status."""
-    return latest(use).select(
+    return latest(use, last=last).select(
         "user",
         "category",
         "item",
@@ -35,7 +38,9 @@ def item_listing_order(dim_ranked: DataFrame) -> DataFrame:
     )
 
 
-def category_listing(inventory: DataFrame, use_to_date: DataFrame, dim: DataFrame, totals: bool = True) -> DataFrame:
+def category_listing(
+    inventory: DataFrame, use_to_date: DataFrame, dim: DataFrame, totals: bool = True, last: Last = None
+) -> DataFrame:
     """Categories as of the last day, with a totals row on top of each wardrobe.
 
     Categories without active items drop out. The turnover of the totals row follows from
@@ -43,7 +48,7 @@ def category_listing(inventory: DataFrame, use_to_date: DataFrame, dim: DataFram
     """
     stock = inventory.select(*KEYS, "itemcount", "categoryvalue")
     rows = (
-        latest(use_to_date)
+        latest(use_to_date, last=last)
         .join(stock, KEYS)
         .join(dim.select("category", "rank"), "category", "left")
         .select(
@@ -68,9 +73,9 @@ def use_bands(use: DataFrame) -> DataFrame:
     return exact_quantiles(use.where(~F.col("active")), KEYS, "cumuse", bands)
 
 
-def times_used(use: DataFrame, last_only: bool = True) -> DataFrame:
+def times_used(use: DataFrame, last_only: bool = True, last: Last = None) -> DataFrame:
     """Items ranked by status and age per category and date, with the band of divested items."""
-    rows = latest(use) if last_only else use
+    rows = latest(use, last=last) if last_only else use
     narrow = rows.select(*KEYS, "item", "cumuse", "days_active", "active")
     order = [F.col("active").asc(), F.desc_nulls_last("days_active"), F.col("item").asc()]
     return join_null_safe(row_positions(narrow, KEYS, order, "rownumber"), use_bands(narrow), KEYS, "left")

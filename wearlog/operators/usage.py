@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from wearlog.functions.numeric import as_int, running_sum
 from wearlog.functions.scalars import _date, cost_per_use, day_increment, uses_per_month
-from wearlog.operators.cleaning import clip_to_ownership, drop_placeholders, with_photo, with_plot_size
+from wearlog.operators.cleaning import drop_placeholders, photo_path, with_plot_size
 
 
 def _item_days(df: DataFrame):
@@ -24,9 +24,29 @@ def _item_days(df: DataFrame):
     return W.partitionBy("user", "item").orderBy(*order, "date")
 
 
+MEASURES = ("price", "cumuse", "cost_per_use", "days_active", "use_per_month")
+FACTS = ("price", "date_purchased", "date_divested", "used_init", "photo")
+
+
 def with_item_facts(log: DataFrame, items: DataFrame) -> DataFrame:
-    """Attach price, purchase date and initial uses; items that are not listed drop out."""
-    return log.join(items.select("user", "item", "price", "date_purchased", "used_init"), ["user", "item"])
+    """Attach what the item list knows; items that are not listed drop out."""
+    facts = [c for c in FACTS if c in items.columns]
+    return log.join(items.select("user", "item", *facts), ["user", "item"])
+
+
+def within_ownership(log: DataFrame, start: Column | dt.date, end: Column | dt.date) -> DataFrame:
+    """The days on which an item was owned, for a log that has the item facts already.
+
+    Same rule as ``clip_to_ownership``, without a second pass over the item list.
+    """
+    start, end = _date(start), _date(end)
+    item = W.partitionBy("user", "item")
+    return (
+        log.withColumn("_from", F.greatest(F.max("date_purchased").over(item), start))
+        .withColumn("_to", F.least(F.min("date_divested").over(item), end))
+        .where((F.col("date") >= F.col("_from")) & (F.col("date") <= F.col("_to")))
+        .drop("_from", "_to")
+    )
 
 
 def with_cumulative_use(log: DataFrame) -> DataFrame:
@@ -51,13 +71,13 @@ def with_days_active(log: DataFrame, start: Column | dt.date, month_days: float
 
 def cumulative_use(log: DataFrame, items: DataFrame) -> DataFrame:
     """Log with running uses and cost per use on each day."""
-    return with_cumulative_use(with_item_facts(log, items)).drop("used_init", "date_purchased")
+    return with_cumulative_use(with_item_facts(log, items)).select(*log.columns, "price", "cumuse", "cost_per_use")
 
 
 def active_use(log: DataFrame, items: DataFrame, start: Column | dt.date) -> DataFrame:
     """Log with uses, cost per use, days owned and monthly use on each day."""
     facts = with_cumulative_use(with_item_facts(log, items))
-    return with_days_active(facts, start).drop("used_init", "date_purchased")
+    return with_days_active(facts, start).select(*log.columns, *MEASURES)
 
 
 def carry_forward(use: DataFrame, end: Column | dt.date) -> DataFrame:
@@ -71,7 +91,7 @@ def carry_forward(use: DataFrame, end: Column | dt.date) -> DataFrame:
     later = F.when(is_last & (F.col("date") < end), F.sequence(F.col("date"), end))
     return (
         use.withColumn("_days", F.coalesce(later, F.array("date")))
-        .withColumn("_day", F.explode("_days"))
+        .withColumn("_day", F.explode_outer("_days"))  # never empty; spares the emptiness test
         .withColumn("active", F.col("_day") == F.col("date"))
         .withColumn("used", F.col("used") & F.col("active"))
         .withColumn("date", F.col("_day"))
@@ -87,20 +107,31 @@ def usage_table(
     placeholders: tuple[str, ...] = ("ADD NEXT",),
     photos: bool = True,
 ) -> DataFrame:
-    """The daily item table that all portfolio reports start from."""
+    """The daily item table that all portfolio reports start from.
+
+    The item list is read and shuffled once; every later step keeps the partitioning.
+    """
+    with_path = photos and "photo" in items.columns
     use = (
-        log.transform(clip_to_ownership, items, start, end)
-        .transform(drop_placeholders, placeholders)
-        .transform(active_use, items, start)
-        .transform(carry_forward, end)
-        .transform(with_plot_size)
+        with_item_facts(drop_placeholders(log, placeholders), items)
+        .transform(within_ownership, start, end)
+        .transform(with_cumulative_use)
+        .transform(with_days_active, start)
     )
-    return with_photo(use, items) if photos else use
+    if with_path:
+        use = use.withColumn("photo", photo_path(F.min("photo").over(W.partitionBy("user", "item"))))
+    kept = [*log.columns, *MEASURES, *(["photo"] if with_path else [])]
+    return use.select(*kept).transform(carry_forward, end).transform(with_plot_size)
+
 
+def latest(df: DataFrame, column: str = "date", last: Column | dt.date | None = None) -> DataFrame:
+    """Rows of the last date that the table has.
 
-def latest(df: DataFrame, column: str = "date") -> DataFrame:
-    """Rows of the last date that the table has."""
-    return df.where(F.col(column) == df.select(F.max(column)).scalar())
+    The date is found by a second pass over the column, which is cheap on a saved table;
+    give ``last`` where it is known, as in a table that was carried forward to it.
+    """
+    last = df.select(F.max(column)).scalar() if last is None else _date(last)
+    return df.where(F.col(column) == last)
 
 
 def thin_dates(df: DataFrame, step: int = 2, column: str = "date") -> DataFrame:

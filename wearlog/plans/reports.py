@@ -17,9 +17,9 @@ from wearlog.sources.storage import materialised
 from wearlog.sources.wide import sheet_items, sheet_range, to_log
 
 
-def cost_per_wear_today(use: DataFrame) -> DataFrame:
+def cost_per_wear_today(use: DataFrame, last: Column | dt.date | None = None) -> DataFrame:
     """Each item as of the last day, with its cost per wear so far."""
-    return latest(use).select(
+    return latest(use, last=last).select(
         "user",
         "category",
         "item",
@@ -31,9 +31,11 @@ def cost_per_wear_today(use: DataFrame) -> DataFrame:
     )
 
 
-def category_view(use: DataFrame, categories: Sequence[str]) -> DataFrame:
+def category_view(
+    use: DataFrame, categories: Sequence[str], last: Column | dt.date | None = None
+) -> DataFrame:
     """Latest state of the selected categories, as the interactive viewer asks for it."""
-    return cost_per_wear_today(use.where(F.col("category").isin(*categories)))
+    return cost_per_wear_today(use.where(F.col("category").isin(*categories)), last)
 
 
 def refresh(sheet: DataFrame, dim: DataFrame, start: Column | dt.date | None = None) -> dict[str, DataFrame]:
@@ -51,8 +53,8 @@ def refresh(sheet: DataFrame, dim: DataFrame, start: Column | dt.date | None = N
         "use_to_date": to_date,
         "daily_cost": daily_cost(use),
         "divested_averages": divested_averages(use),
-        "item_listing": item_listing(use),
-        "category_listing": category_listing(stock, to_date, dim),
+        "item_listing": item_listing(use, last),
+        "category_listing": category_listing(stock, to_date, dim, last=last),
     }
 
 
