@@ -17,6 +17,7 @@ from wearlog.operators import listings, portfolio, steps
 from wearlog.operators.cleaning import with_category_rank
 from wearlog.operators.usage import latest
 from wearlog.plans.reports import category_view
+from wearlog.sources.storage import materialised
 
 DAYS = ["user", "category", "date"]
 LEFT_OUT = ("PROMO",)
@@ -164,7 +165,7 @@ FROM use u LEFT JOIN averages a ON u."user" = a."user" AND u.category = a.catego
 """,
 )
 def divested_averages(spark, d):
-    table = portfolio.divested_averages(t.use(spark, d))
+    table = portfolio.divested_averages(t.saved_use(spark, d))
     return table.select(
         *DAYS, "item", *[F.round(c, 6).alias(c) for c in ("avg_use_per_month_divested", "avg_cost_per_use_divested")]
     )
@@ -216,7 +217,7 @@ def rounded_cost(table):
     daily_sql('k."user"') + 'SELECT "user", date, round(daily_cost, 9) AS daily_cost, still_active FROM days',
 )
 def daily_cost(spark, d):
-    return rounded_cost(cost.daily_cost(t.use(spark, d), exclude=LEFT_OUT)).drop("average_daily_cost")
+    return rounded_cost(cost.daily_cost(t.saved_use(spark, d), exclude=LEFT_OUT)).drop("average_daily_cost")
 
 
 @query(
@@ -226,7 +227,7 @@ def daily_cost(spark, d):
        round(lead(mean, 15) OVER (PARTITION BY "user" ORDER BY date), 9) AS average_daily_cost FROM averaged""",
 )
 def midpoint_average(spark, d):
-    return rounded_cost(cost.daily_cost(t.use(spark, d), exclude=LEFT_OUT))
+    return rounded_cost(cost.daily_cost(t.saved_use(spark, d), exclude=LEFT_OUT))
 
 
 @query(
@@ -236,7 +237,7 @@ def midpoint_average(spark, d):
        round(lead(mean, 15) OVER (PARTITION BY "user", category ORDER BY date), 9) AS average_daily_cost FROM averaged""",
 )
 def daily_cost_by_category(spark, d):
-    return rounded_cost(cost.daily_cost(t.use(spark, d), exclude=LEFT_OUT, by_category=True))
+    return rounded_cost(cost.daily_cost(t.saved_use(spark, d), exclude=LEFT_OUT, by_category=True))
 
 
 ASOF = f"""
@@ -262,7 +263,7 @@ shifted AS (
 @query("D4_daily_cost_asof", ASOF + "SELECT * FROM shifted")
 def daily_cost_asof(spark, d):
     """Daily cost as of the first day of each quarter."""
-    return rounded_cost(cost.daily_cost_asof(t.use(spark, d), REPORT_DAYS, exclude=LEFT_OUT))
+    return rounded_cost(cost.daily_cost_asof(t.saved_use(spark, d), REPORT_DAYS, exclude=LEFT_OUT))
 
 
 @query(
@@ -273,7 +274,7 @@ WHERE day IN (SELECT day FROM (SELECT day, row_number() OVER (ORDER BY day) AS n
                                WHERE day >= DATE '1995-01-01' + 29 AND day <= DATE '2001-08-01' - 30) WHERE n % 2 = 1)""",
 )
 def trimmed_days(spark, d):
-    table = rounded_cost(cost.daily_cost_asof(t.use(spark, d), REPORT_DAYS, exclude=LEFT_OUT))
+    table = rounded_cost(cost.daily_cost_asof(t.saved_use(spark, d), REPORT_DAYS, exclude=LEFT_OUT))
     return cost.trim_days(table, t.START, dt.date(2001, 8, 1), step=2)
 
 
@@ -315,7 +316,7 @@ SELECT "user", category, itemcount, categoryvalue, round(daily_cost, 6) AS daily
 
 
 def listing(spark, d, totals):
-    use = t.use(spark, d)
+    use = t.saved_use(spark, d)
     table = listings.category_listing(
         portfolio.inventory(use, one_row_per_day=True), portfolio.use_to_date(use), t.dim(spark), totals, t.end(spark, d)
     )
@@ -353,7 +354,8 @@ WHERE u.date = (SELECT max(date) FROM use)
 """,
 )
 def times_used(spark, d):
-    return listings.times_used(t.use(spark, d), last=t.end(spark, d)).withColumns({c: F.round(c, 6) for c in BAND_COLUMNS})
+    today = materialised(latest(t.use(spark, d), last=t.end(spark, d)), "today")
+    return listings.times_used(today, last_only=False).withColumns({c: F.round(c, 6) for c in BAND_COLUMNS})
 
 
 @query("L5_use_bands", BANDS)

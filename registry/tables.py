@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from wearlog.functions.numeric import count_if
 from wearlog.operators.usage import usage_table
 from wearlog.schema import category_dim
+from wearlog.sources.storage import materialised
 
 START = dt.date(1995, 1, 1)
 STUDY_START = dt.date(2000, 9, 1)
@@ -115,6 +116,11 @@ def use(spark: SparkSession, sf_dir: str, photos: bool = False) -> DataFrame:
     return usage_table(log(spark, sf_dir), items(spark, sf_dir), START, end(spark, sf_dir), photos=photos)
 
 
+def saved_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage table on disk, for reports that read it more than once."""
+    return materialised(use(spark, sf_dir), "usage")
+
+
 def study_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count(F.lit(1))
     in_study = F.col("day") > F.lit(STUDY_START)

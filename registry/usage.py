@@ -106,7 +106,7 @@ WHERE date IN (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date)
 """,
 )
 def thin_dates(spark, d):
-    return usage.thin_dates(t.use(spark, d).select(*KEYS, "cumuse"))
+    return usage.thin_dates(t.saved_use(spark, d).select(*KEYS, "cumuse"))
 
 
 @query(

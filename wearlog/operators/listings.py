@@ -44,9 +44,12 @@ def category_listing(
     """Categories as of the last day, with a totals row on top of each wardrobe.
 
     Categories without active items drop out. The turnover of the totals row follows from
-    the totals; measures that do not add up are empty there.
+    the totals; measures that do not add up are empty there. Each row is also counted under
+    the total, so both levels come from one pass.
     """
-    stock = inventory.select(*KEYS, "itemcount", "categoryvalue")
+    if last is None:
+        last = use_to_date.select(F.max("date")).scalar()
+    stock = latest(inventory, last=last).select(*KEYS, "itemcount", "categoryvalue")
     rows = (
         latest(use_to_date, last=last)
         .join(stock, KEYS)
@@ -56,14 +59,26 @@ def category_listing(
         )
     )
     if totals:
-        total = rows.groupBy("user").agg(
+        own = F.struct("category", "rank", "daily_cost", "category_use")
+        total = F.struct(
             F.lit("Total").alias("category"),
             F.lit(0).alias("rank"),
-            F.sum("itemcount").alias("itemcount"),
-            strict_sum("categoryvalue").alias("categoryvalue"),
-            strict_sum("yearly_cost").alias("yearly_cost"),
+            F.lit(None).cast("double").alias("daily_cost"),
+            F.lit(None).cast("double").alias("category_use"),
+        )
+        rows = (
+            rows.select(
+                "user", "itemcount", "categoryvalue", "yearly_cost", F.explode(F.array(own, total)).alias("_level")
+            )
+            .groupBy("user", "_level.category", "_level.rank")
+            .agg(
+                F.sum("itemcount").alias("itemcount"),
+                strict_sum("categoryvalue").alias("categoryvalue"),
+                F.max("_level.daily_cost").alias("daily_cost"),
+                F.max("_level.category_use").alias("category_use"),
+                strict_sum("yearly_cost").alias("yearly_cost"),
+            )
         )
-        rows = total.unionByName(rows, allowMissingColumns=True)
     return rows.withColumn("turnover", ratio("yearly_cost", "categoryvalue"))
 
 

@@ -47,27 +47,29 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     Columns: keys, ``value``, ``n_here``, ``n_before``, ``n_total``. Unknown values are
     left out.
     """
-    keys = list(keys)
-    v = F.col(value).cast("double")
+    # Keys travel as one struct, which is never null itself: groups with a null key join, and
+    # one partitioning by group and bucket serves both the join and the window after it.
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     counted = (
-        df.select(*keys, v.alias("value"))
+        df.select(group.alias("_group"), F.col(value).cast("double").alias("value"))
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy(*keys, "value")
+        .groupBy("_group", "value")
         .agg(F.count(F.lit(1)).alias("n_here"))
-        .withColumn("_bucket", order_bucket(F.col("value")))
+        # Declared non-null, so that the join adds no filter and both branches share the shuffle.
+        .withColumn("_bucket", F.coalesce(order_bucket(F.col("value")), F.lit(0).cast("long")))
     )
-    of_group = W.partitionBy(*keys)
+    of_group = W.partitionBy("_group")
     below = of_group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = (
-        counted.groupBy(*keys, "_bucket")
+        counted.groupBy("_group", "_bucket")
         .agg(F.sum("n_here").alias("_n"))
         .withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0)))
         .withColumn("n_total", F.sum("_n").over(of_group))
         .drop("_n")
     )
-    in_bucket = W.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    return join_null_safe(counted, totals, [*keys, "_bucket"]).select(
-        *keys,
+    in_bucket = W.partitionBy("_group", "_bucket").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    return counted.join(totals, ["_group", "_bucket"]).select(
+        *[F.col("_group")[k].alias(k) for k in keys],
         "value",
         "n_here",
         (F.col("_below") + F.coalesce(F.sum("n_here").over(in_bucket), F.lit(0))).alias("n_before"),
