@@ -216,6 +216,25 @@ def share_worn_by_items(spark, d):
     return rounded(models.linear_fit(shares, "share_worn", "items", ["category"]), 6, *FIT_COLUMNS).where("n > 2")
 
 
+@query(
+    "R1_coefficient_table",
+    """
+WITH fit AS (
+  SELECT regr_count(wears, price) AS n, regr_slope(wears, price) AS slope, regr_intercept(wears, price) AS intercept,
+         regr_avgx(wears, price) AS mx, regr_sxx(wears, price) AS sxx,
+         regr_syy(wears, price) - regr_slope(wears, price) * regr_sxy(wears, price) AS sse
+  FROM study WHERE category = 'SMALL'),
+errors AS (SELECT *, sqrt(sse / (n - 2) / sxx) AS es, sqrt(sse / (n - 2) * (1.0::DOUBLE / n + mx * mx / sxx)) AS ei FROM fit)
+SELECT 'price' AS term, round(slope, 6) AS estimate, round(es, 6) AS std_error, round(slope / es, 6) AS t FROM errors
+UNION ALL SELECT '(intercept)', round(intercept, 6), round(ei, 6), round(intercept / ei, 6) FROM errors
+""",
+)
+def coefficient_table(spark, d):
+    """One model in full; SQL has no t distribution, so its p values are left to the unit test."""
+    table = models.coefficient_table(t.study(spark, d).where("category = 'SMALL'"), "wears", "price")
+    return rounded(table.drop("p"), 6, "estimate", "std_error", "t")
+
+
 @query(
     "R2_repairs_by_user",
     """

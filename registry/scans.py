@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from registry import tables as t
 from registry.catalog import query
+from wearlog import defaults
 from wearlog.operators.wear_rate import estimate_changes
 from wearlog.sources import storage, study, wide
 
@@ -88,7 +89,7 @@ def read_open_study(spark, d):
 @query("S5_read_users", 'SELECT "user", gender, exchange_rate FROM users')
 def read_users(spark, d):
     profiles = t.users(spark, d)
-    mark = profiles.agg(F.lit(study.END_MARK).alias("user"))
+    mark = profiles.agg(F.lit(defaults.END_OF_USER_LIST).alias("user"))
     path = storage.scratch_path(spark, "users")
     storage.save(profiles.unionByName(mark, allowMissingColumns=True), path)
     return study.read_users(spark, path)

@@ -81,6 +81,8 @@ def test_study_scans(spark, folder):
     assert rows(opened, "item", "date_purchased") == [("a", dt.date(2021, 6, 1)), ("c", dt.date(2021, 7, 1))]
     users = study.read_users(spark, folder("users.csv", "user,gender\nu,Female\n,\nEND OF LIST,\n"), "csv")
     assert rows(users, "user") == [("u",)]
+    log = study.read_category_changes(spark, folder("changes.csv", "change_seq,user,item,target_category\n2,u,a,Knits\nx,u,b,Pants\n"))
+    assert rows(log, "change_seq", "target_category") == [(None, "Pants"), (2, "Knits")]
 
 
 def test_prepared_study(spark, folder):

@@ -4,6 +4,6 @@ Each operator takes DataFrames in the schemas of ``wearlog.schema`` and returns
 lazy DataFrame, so a report is an ordinary Spark job that Catalyst plans as a whole.
 """
 
-from wearlog.schema import Params, category_dim
+from wearlog.schema import category_dim
 
-__all__ = ["Params", "category_dim"]
+__all__ = ["category_dim"]

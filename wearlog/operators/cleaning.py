@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wearlog import defaults
 from wearlog.functions.numeric import rounded
 from wearlog.functions.scalars import _date
 
@@ -36,7 +37,7 @@ def clip_to_ownership(
     )
 
 
-def drop_placeholders(df: DataFrame, names: Sequence[str] = ("ADD NEXT",)) -> DataFrame:
+def drop_placeholders(df: DataFrame, names: Sequence[str] = defaults.PLACEHOLDER_ITEMS) -> DataFrame:
     """Drop rows of placeholder items; unnamed items stay."""
     return df.where(~F.coalesce(F.col("item").isin(*names), F.lit(False)))
 
@@ -70,9 +71,9 @@ def apply_category_changes(items: DataFrame, changes: DataFrame, dim: DataFrame)
 def clean_study(
     items: DataFrame,
     start: dt.date,
-    text: str = "glasses",
-    text_category: str = "Accessories",
-    dropped_category: str = "Other",
+    text: str = defaults.DROPPED_STUDY_ITEMS[1],
+    text_category: str = defaults.DROPPED_STUDY_ITEMS[0],
+    dropped_category: str = defaults.DROPPED_STUDY_CATEGORY,
 ) -> DataFrame:
     """Row filters of the study: named accessories, one category, earlier divestments.
 
@@ -129,7 +130,9 @@ def with_photo(log: DataFrame, items: DataFrame) -> DataFrame:
     return log.join(item_photos(items), ["user", "item"], "left")
 
 
-def with_plot_size(use: DataFrame, active: float = 0.05, divested: float = 0.07) -> DataFrame:
+def with_plot_size(
+    use: DataFrame, active: float = defaults.PLOT_SIZE_ACTIVE, divested: float = defaults.PLOT_SIZE_DIVESTED
+) -> DataFrame:
     """Marker size by status."""
     return use.withColumn("plot_size", F.when(F.col("active"), F.lit(active)).when(~F.col("active"), F.lit(divested)))
 

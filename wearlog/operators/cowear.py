@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wearlog import defaults
 from wearlog.functions.numeric import ratio
 from wearlog.functions.scalars import item_label, label_category, label_item
 from wearlog.operators.ordered import row_positions
@@ -16,11 +17,11 @@ CHUNK_ITEMS = 256
 
 def used_by_date(
     responses: DataFrame,
-    date: str = "Diary entry date",
+    date: str = defaults.FORM_DATE,
     keys: Sequence[str] = (),
-    dropped: Sequence[str] = ("Timestamp",),
+    dropped: Sequence[str] = (defaults.FORM_TIMESTAMP,),
     exclude_categories: Sequence[str] = (),
-    mark: str = "Used",
+    mark: str = defaults.USED_MARK,
 ) -> DataFrame:
     """Items marked as used on each form, one row per date and ``category [item]`` column."""
     known = {date, *keys, *dropped}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wearlog import defaults
 from wearlog.functions.numeric import rolling, strict_sum
 from wearlog.operators.usage import thin_dates
 
@@ -43,7 +44,7 @@ def daily_cost(
     use: DataFrame,
     window: int = 30,
     include: Sequence[str] | None = None,
-    exclude: Sequence[str] = ("Sportswear",),
+    exclude: Sequence[str] = defaults.COST_EXCLUDED_CATEGORIES,
     by_category: bool = False,
 ) -> DataFrame:
     """Cost of the used items per day, with its rolling mean.
@@ -71,7 +72,7 @@ def daily_cost_asof(
     days: Sequence[dt.date],
     window: int = 30,
     include: Sequence[str] | None = None,
-    exclude: Sequence[str] = ("Sportswear",),
+    exclude: Sequence[str] = defaults.COST_EXCLUDED_CATEGORIES,
 ) -> DataFrame:
     """Daily cost as it stood on each of the given days, from the rows up to that day.
 

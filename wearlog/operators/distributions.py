@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wearlog import defaults
 from wearlog.functions import scalars
 from wearlog.functions.numeric import capped, count_if, ratio, rounded
-from wearlog.operators.joins import join_null_safe
 from wearlog.operators.ordered import exact_quantiles, row_positions, with_group_median
 from wearlog.operators.study import NOT_DIVESTED, share_of
 
@@ -26,7 +26,7 @@ def share_worn(items: DataFrame, n: int = 1, below: bool = False, active_only: b
 
 
 def rarely_worn(
-    items: DataFrame, n: int = 4, exclude: Sequence[str] = ("Underwear and socks", "Other")
+    items: DataFrame, n: int = 4, exclude: Sequence[str] = defaults.RARELY_WORN_EXCLUDED_CATEGORIES
 ) -> DataFrame:
     """Share of items never worn and worn less than n times, per user."""
     table = (
@@ -139,7 +139,7 @@ def category_stats(df: DataFrame, column: str, by: Sequence[str] = ("category",)
     return with_group_median(summary, df, by, {"median": column})
 
 
-def ranked_items(items: DataFrame, column: str = "wears", cap: float = 150) -> DataFrame:
+def ranked_items(items: DataFrame, column: str = "wears", cap: float = defaults.PRICE_AND_WEAR_CEILING) -> DataFrame:
     """Items numbered from the highest value down within user and category; unknown values last."""
     rows = items.select("user", "category", "item", column)
     order = [F.desc_nulls_last(column), F.col("item").asc()]
@@ -169,11 +169,3 @@ def top_groups(items: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """The n largest groups by number of items."""
     return top(items.groupBy(*keys).agg(F.count(F.lit(1)).alias("items")), "items", n, ties=keys)
 
-
-def with_category_medians(items: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Medians of several measures per category, side by side."""
-    table = None
-    for column in columns:
-        medians = exact_quantiles(items, ["category"], column, {f"median_{column}": 0.5})
-        table = medians if table is None else join_null_safe(table, medians, ["category"], "left")
-    return table

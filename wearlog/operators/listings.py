@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wearlog import defaults
 from wearlog.functions.numeric import ratio, rounded, strict_sum
 from wearlog.operators.joins import join_null_safe
 from wearlog.operators.ordered import exact_quantiles, row_positions
@@ -16,7 +17,7 @@ KEYS = ["user", "category", "date"]
 Last = Column | dt.date | None
 
 
-def item_listing(use: DataFrame, last: Last = None, month_days: float = 30.5) -> DataFrame:
+def item_listing(use: DataFrame, last: Last = None, month_days: float = defaults.DAYS_PER_MONTH) -> DataFrame:
     """Items as of the last day: uses, cost per wear, wears and months, status."""
     return latest(use, last=last).select(
         "user",

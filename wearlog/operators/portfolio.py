@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wearlog import defaults
 from wearlog.functions.numeric import as_int, count_if, loose_sum, ratio, rolling, strict_sum, strict_sum_if
 from wearlog.operators.cleaning import union_fill
 from wearlog.operators.joins import join_null_safe
@@ -108,7 +109,7 @@ def with_monthly_cost(use_to_date_table: DataFrame) -> DataFrame:
     return use_to_date_table.withColumn("monthly_cost", F.col("yearly_cost") / F.lit(12.0))
 
 
-def inventory_total(use: DataFrame, exclude: Sequence[str] = ("Sportswear",)) -> DataFrame:
+def inventory_total(use: DataFrame, exclude: Sequence[str] = defaults.COST_EXCLUDED_CATEGORIES) -> DataFrame:
     """Active value per day over all but some categories; items without category are left out."""
     kept = use.where(F.col("active") & F.col("category").isNotNull())
     if exclude:
@@ -121,7 +122,7 @@ def with_category_photo(days: DataFrame, dim: DataFrame) -> DataFrame:
     return days.join(dim.select("category", F.col("category_photo").alias("photo")), "category")
 
 
-def divested_averages(use: DataFrame, min_days: int = 30, month_days: float = 30.5) -> DataFrame:
+def divested_averages(use: DataFrame, min_days: int = 30, month_days: float = defaults.DAYS_PER_MONTH) -> DataFrame:
     """Use-weighted averages of long-owned divested items, attached to the rows of these items."""
     counts = ~F.col("active") & (F.col("days_active") >= min_days)
     averages = (

@@ -8,12 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wearlog import defaults
 from wearlog.functions.numeric import as_int, count_if, loose_sum, ratio, rounded, strict_sum, strict_sum_if
 from wearlog.functions.scalars import after
 
-# Categories left out of the price and wear comparison.
-UNCOMPARED = ("Accessories", "Other")
-
 
 def _old_and_new(items: DataFrame, start: dt.date, whole: str | None, part: Column, names: tuple[str, str]) -> DataFrame:
     """Part and whole among items owned before and bought in the study, side by side."""
@@ -83,7 +81,7 @@ def secondhand_by_user(items: DataFrame) -> DataFrame:
     )
 
 
-def secondhand_gap(items: DataFrame, measure: str, exclude: Sequence[str] = UNCOMPARED) -> DataFrame:
+def secondhand_gap(items: DataFrame, measure: str, exclude: Sequence[str] = defaults.GAP_EXCLUDED_CATEGORIES) -> DataFrame:
     """Mean of a measure for used over new items per user and category that has both.
 
     Only priced items count; a ratio over zero is left out.

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wearlog import defaults
 from wearlog.functions.numeric import as_int, running_sum
 from wearlog.functions.scalars import _date, cost_per_use, day_increment, uses_per_month
 from wearlog.operators.cleaning import drop_placeholders, photo_path, with_plot_size
@@ -55,7 +56,7 @@ def with_cumulative_use(log: DataFrame) -> DataFrame:
     return log.withColumn("cumuse", uses).withColumn("cost_per_use", cost_per_use("price", "cumuse"))
 
 
-def with_days_active(log: DataFrame, start: Column | dt.date, month_days: float = 30.5) -> DataFrame:
+def with_days_active(log: DataFrame, start: Column | dt.date, month_days: float = defaults.DAYS_PER_MONTH) -> DataFrame:
     """Days owned to date and uses per month, from a log with cumulative use.
 
     The first diary day adds the days owned before; without a purchase date the sum is
@@ -104,7 +105,7 @@ def usage_table(
     items: DataFrame,
     start: Column | dt.date,
     end: Column | dt.date,
-    placeholders: tuple[str, ...] = ("ADD NEXT",),
+    placeholders: tuple[str, ...] = defaults.PLACEHOLDER_ITEMS,
     photos: bool = True,
 ) -> DataFrame:
     """The daily item table that all portfolio reports start from.

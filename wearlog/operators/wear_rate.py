@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wearlog import defaults
 from wearlog.functions.numeric import overflows, ratio, rounded
 from wearlog.functions.scalars import calendar_months
 from wearlog.operators.joins import join_null_safe
@@ -15,7 +16,6 @@ from wearlog.operators.ordered import gini
 from wearlog.operators.study import crosstab
 
 KEYS = ["user", "category"]
-DAYS_PER_MONTH = 30.5
 ONE_WEAR = 0.1  # wears per month that a single wear in a year rounds to
 
 
@@ -69,7 +69,7 @@ def wpm_category(per_item: DataFrame, on_zero: str = "estimate", digits: int = 1
             _exact_sum("wpm_real").alias("real"),
         )
         .withColumn("delta_to_real", delta)
-        .withColumn("delta_to_max", rounded(F.col("est") / F.lit(DAYS_PER_MONTH), digits))
+        .withColumn("delta_to_max", rounded(F.col("est") / F.lit(defaults.DAYS_PER_MONTH), digits))
     )
 
 

@@ -1,10 +1,8 @@
-"""Table schemas, report parameters and the category dimension."""
+"""Table schemas and the category dimension."""
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +29,6 @@ ITEMS = table(
     date="date_purchased date_divested",
 )
 USAGE_LOG = table(string="user category item", date="date", boolean="used")
-CATEGORY_DIM = table(string="category url category_photo", int="rank")
 STUDY_ITEMS = table(
     string="user category item secondhand_type divestment_way condition repair_kind reason_not_repaired"
     " repair_willing_to_pay special_care_kind",
@@ -47,19 +44,6 @@ STEPS = table(date="date", double="steps")
 MAX_CATEGORIES = 10_000
 
 
-@dataclass(frozen=True)
-class Params:
-    """Constants of the reports; every operator also accepts them one by one."""
-
-    start: dt.date = dt.date(2018, 1, 1)
-    study_start: dt.date = dt.date(2021, 9, 1)
-    study_end: dt.date = dt.date(2022, 9, 1)
-    months_tracked: int = 12
-    window: int = 30
-    month_days: float = 30.5
-    year_days: int = 365
-
-
 def category_dim(
     spark: SparkSession,
     order: Sequence[str],

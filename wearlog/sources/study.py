@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wearlog.schema import STUDY_ITEMS
-
-END_MARK = "END OF LIST"
+from wearlog import defaults
+from wearlog.schema import CATEGORY_CHANGES, STUDY_ITEMS, USERS
 
 
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -44,13 +43,18 @@ def read_study(spark: SparkSession, path: str, open_project: bool = False, file_
 
 def prepare_users(df: DataFrame) -> DataFrame:
     """User profiles without empty rows and the end-of-list mark."""
-    return df.where(F.col("user").isNotNull() & (F.col("user") != END_MARK))
+    return typed(df, USERS).where(F.col("user").isNotNull() & (F.col("user") != defaults.END_OF_USER_LIST))
 
 
 def read_users(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     return prepare_users(_scan(spark, path, file_format))
 
 
+def read_category_changes(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame:
+    """Change log with its running number, the later entry being the valid one."""
+    return typed(_scan(spark, path, file_format), CATEGORY_CHANGES)
+
+
 def read_comparison(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame:
     """External products to compare with, unchanged from the export."""
     return _scan(spark, path, file_format)
