@@ -305,7 +305,7 @@ rows_today AS (
   WHERE u.date = (SELECT max(date) FROM to_date)),
 with_total AS (
   SELECT * FROM rows_today UNION ALL
-  SELECT "user", 'Total', sum(itemcount), {strict('categoryvalue')}, NULL, NULL, {strict('yearly_cost')}
+  SELECT "user", 'Total', CAST(sum(itemcount) AS BIGINT), {strict('categoryvalue')}, NULL, NULL, {strict('yearly_cost')}
   FROM rows_today GROUP BY "user")
 """
 )

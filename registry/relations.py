@@ -162,7 +162,7 @@ def fit_sql(y: str, x: str, by: str, rows: str) -> str:
     sse = f"greatest(regr_syy({y}, {x}) - regr_slope({y}, {x}) * regr_sxy({y}, {x}), 0)"
     return f"""
 WITH fit AS (
-  SELECT {group}regr_count({y}, {x}) AS n, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept,
+  SELECT {group}CAST(regr_count({y}, {x}) AS BIGINT) AS n, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept,
          regr_r2({y}, {x}) AS r2, regr_avgx({y}, {x}) AS mx, regr_sxx({y}, {x}) AS sxx, {sse} AS sse
   FROM {rows} {'GROUP BY ' + by if by else ''}),
 errors AS (

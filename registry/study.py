@@ -255,7 +255,7 @@ def sentimental_share(spark, d):
     return ops.sentimental_share(t.study(spark, d))
 
 
-def old_and_new(rows: str, whole: str | None, part: str, names: tuple[str, str]) -> str:
+def old_and_new(rows: str, whole: str | None, part: str, names: tuple[str, str], kind: str) -> str:
     columns = []
     for prefix, test in (("old", f"date_purchased <= {START}"), ("new", f"date_purchased > {START}")):
         n = f"count(*) FILTER (WHERE {test})"
@@ -263,7 +263,7 @@ def old_and_new(rows: str, whole: str | None, part: str, names: tuple[str, str])
         known = f"count({part}) FILTER (WHERE {test})"
         columns += [
             f"{size} AS {prefix}_{names[0]}",
-            f"CASE WHEN {known} = {n} THEN sum({part}) FILTER (WHERE {test}) END AS {prefix}_{names[1]}",
+            f"CAST(CASE WHEN {known} = {n} THEN sum({part}) FILTER (WHERE {test}) END AS {kind}) AS {prefix}_{names[1]}",
         ]
     shares = [
         f"{even(safe_ratio(f'{p}_{names[1]}', f'{p}_{names[0]}'), 2)} AS {p}_share" for p in ("old", "new")
@@ -275,7 +275,7 @@ FROM (SELECT *, {', '.join(shares)}
 """
 
 
-@query("K1_secondhand_share", old_and_new("study", None, "CAST(secondhand AS INTEGER)", ("items", "secondhand_items")))
+@query("K1_secondhand_share", old_and_new("study", None, "CAST(secondhand AS INTEGER)", ("items", "secondhand_items"), "BIGINT"))
 def secondhand_share(spark, d):
     return second.secondhand_share(t.study(spark, d), t.STUDY_START)
 
@@ -283,7 +283,7 @@ def secondhand_share(spark, d):
 VALUED = "(SELECT *, CAST(secondhand AS INTEGER) * price AS used_value FROM study WHERE secondhand IS NOT NULL AND price IS NOT NULL)"
 
 
-@query("K2_secondhand_value_share", old_and_new(VALUED, "price", "used_value", ("value", "secondhand_value")))
+@query("K2_secondhand_value_share", old_and_new(VALUED, "price", "used_value", ("value", "secondhand_value"), "DOUBLE"))
 def secondhand_value_share(spark, d):
     return second.secondhand_value_share(t.study(spark, d), t.STUDY_START)
 
@@ -292,7 +292,7 @@ def secondhand_value_share(spark, d):
     "K3_secondhand_end",
     f"""
 SELECT *, {even(safe_ratio('secondhand_value', '"value"'), 2)} AS secondhand_share
-FROM (SELECT "user", count(*) AS items, sum(CAST(secondhand AS INTEGER)) AS secondhand_items, sum(price) AS "value",
+FROM (SELECT "user", count(*) AS items, CAST(sum(CAST(secondhand AS INTEGER)) AS BIGINT) AS secondhand_items, sum(price) AS "value",
              sum(used_value) AS secondhand_value
       FROM {VALUED} WHERE date_divested IS NULL GROUP BY "user")
 """,
@@ -322,7 +322,7 @@ def users_with_secondhand(spark, d):
     f"""
 SELECT *, {even(safe_ratio('secondhand', 'items'), 2)} AS share
 FROM (SELECT "user", count(*) AS items, coalesce(sum(price), 0) AS "value",
-             {strict('CAST(secondhand AS INTEGER)')} AS secondhand FROM study GROUP BY "user")
+             CAST({strict('CAST(secondhand AS INTEGER)')} AS BIGINT) AS secondhand FROM study GROUP BY "user")
 """,
 )
 def secondhand_by_user(spark, d):
@@ -466,7 +466,7 @@ WHEN '6-10' THEN 6 WHEN '11-20' THEN 7 WHEN '21-50' THEN 8 ELSE 9 END"""
 
 def tier_sql(keys: str, rows: str, rank: str) -> str:
     return f"""
-SELECT {keys}, tier, tier_rank, items, sum(items) OVER w AS cum_items,
+SELECT {keys}, tier, tier_rank, items, CAST(sum(items) OVER w AS BIGINT) AS cum_items,
        round(items / CAST(sum(items) OVER g AS DOUBLE), 9) AS share,
        round(sum(items) OVER w / CAST(sum(items) OVER g AS DOUBLE), 9) AS cum_share
 FROM (SELECT {keys}, tier, CAST({rank} AS INTEGER) AS tier_rank, count(*) AS items FROM ({rows})
