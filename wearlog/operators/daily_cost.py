@@ -76,8 +76,9 @@ def daily_cost_asof(
 ) -> DataFrame:
     """Daily cost as it stood on each of the given days, from the rows up to that day.
 
-    The result has a row per report day and earlier day by definition. Items enter with
-    one row per report day; a used day meets only the report days after it.
+    The result has a row per report day and earlier day by definition. An item carries its
+    state on the report days, whose number is limited, to its used days in one join; the
+    report days after a used day unfold only there and are summed up before the next shuffle.
     """
     days = sorted(set(days))
     if not 0 < len(days) <= MAX_ASOF_DAYS:
@@ -101,13 +102,17 @@ def daily_cost_asof(
             F.when(~F.bool_or("_unknown"), F.min("_cost")).alias("_cost"),
             F.bool_and("_active").alias("_active"),
         )
+        .groupBy("user", "item")
+        .agg(F.collect_list(F.struct("day", "_cost", "_active")).alias("_states"))
     )
+    later = F.explode(F.filter("_states", lambda s: s["day"] >= F.col("date")))
     costs = (
         rows.where("used")
-        .select("user", "item", "date", from_day("date").alias("day"))
-        .join(state, ["user", "item", "day"])
-        .groupBy("user", "day", "date")
-        .agg(strict_sum("_cost").alias("daily_cost"), F.bool_or("_active").alias("still_active"))
+        .select("user", "item", "date")
+        .join(state, ["user", "item"])
+        .select("user", "date", later.alias("_state"))
+        .groupBy("user", F.col("_state.day").alias("day"), "date")
+        .agg(strict_sum("_state._cost").alias("daily_cost"), F.bool_or("_state._active").alias("still_active"))
     )
     return with_midpoint_average(costs, ["user", "day"], window, min_rows=1)
 
