@@ -120,8 +120,9 @@ def test_tables_come_back_unchanged(spark, tmp_path):
 
 
 def test_scratch_folder_comes_from_the_session(spark):
-    configured = spark.sparkContext.getCheckpointDir()
-    assert storage.scratch_path(spark, "x").startswith(configured or storage.ensure_checkpoint_dir(spark))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    assert storage.scratch_path(spark, "x").startswith(shared.rstrip("/"))
+    assert rows(storage.materialised(spark.range(3).toDF("n"))) == [(0,), (1,), (2,)]
 
 
 def test_category_list_is_bounded(spark):

@@ -20,11 +20,10 @@ from pyspark.sql import Window as W
 
 from wearlog.functions.numeric import rounded
 from wearlog.operators.joins import join_null_safe
-from wearlog.sources.storage import ensure_checkpoint_dir
+from wearlog.sources.storage import materialised
 
 BUCKETS_PER_DOUBLING = 1024
 _EXPONENT_SHIFT = 1100  # makes every binary exponent of a double positive
-_ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
 def order_bucket(value: Column) -> Column:
@@ -133,14 +132,16 @@ def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     """1-based row number within a group, for groups that need not fit into one task.
 
     The rows are sorted once by range partitioning over keys and sort columns, which cuts
-    a large group wherever its sort values allow. Slots are fixed by a checkpoint, since
+    a large group wherever its sort values allow. Slots are fixed by a written table, since
     a recomputed range partitioning may cut differently; the row number then follows from
-    the number of rows of the group in the partitions before.
+    the number of rows of the group in the partitions before. Callers hand in the columns
+    that they need and no others.
     """
     keys = list(keys)
-    ensure_checkpoint_dir(df.sparkSession)
-    slots = df.orderBy(*keys, *order).withColumn("_slot", F.monotonically_increasing_id()).checkpoint()
-    slots = slots.withColumn("_part", F.shiftright("_slot", _ROW_BITS))
+    placed = df.orderBy(*keys, *order).select(
+        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_slot")
+    )
+    slots = materialised(placed, "ranked")
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         slots.groupBy(*keys, "_part")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -10,22 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session; a local one is made only for local masters."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            configured = tempfile.mkdtemp(prefix="wearlog-checkpoints-")
-        context.setCheckpointDir(configured)
-    return context.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Where this application keeps its scratch tables; ``release`` deletes it."""
+    return f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path inside the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for a scratch table."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Results read from them must be stored before."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def save(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -38,7 +42,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def materialised(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table once to the shared folder and continue from the file."""
+    """Write a table once to the shared folder and continue from the file, which ``release`` deletes."""
     path = scratch_path(df.sparkSession, name)
     save(df, path)
     return load(df.sparkSession, path)
