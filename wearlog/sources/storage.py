@@ -27,8 +27,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete all scratch tables of this application. Results read from them must be stored before."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    _delete(spark, scratch_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
@@ -48,6 +51,14 @@ def materialised(df: DataFrame, name: str = "table") -> DataFrame:
     return load(df.sparkSession, path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a ``materialised`` table ahead of ``release``, when nothing will read it any more."""
+    folders = {file.rpartition("/")[0] for file in table.inputFiles()}
+    for folder in folders:
+        if scratch_folder(table.sparkSession).rpartition("/")[2] in folder.split("/"):
+            _delete(table.sparkSession, folder)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Export a result table with a header row, as one folder of part files."""
     df.write.mode(mode).csv(path, header=True, escape='"')
