@@ -13,7 +13,8 @@ when the intersection is at least ``percent`` hundredths of the union.
    order that differs from n-gram to n-gram, which is linear in the group. Linked nodes form
    components. Then only nodes of *different* components of an n-gram meet: of a group of near
    copies, however large, hardly any are left.
-5. *Filters.* Sizes may differ by t at most; positions bound what can still be shared; sets whose
+5. *Filters.* Sizes may differ by t at most; positions bound what can still be shared, where members
+   ahead that no other prefix has do not count; sets whose
    n-grams fall too differently into 64 hash classes (the suffix filter, taken over the whole set)
    cannot overlap enough.
 6. *Verification.* Each pair that remains is compared once, on the full sets.
@@ -37,7 +38,7 @@ from pyspark.sql import Window as W
 from wearlog.llm import words
 from wearlog.llm.cells import cell_of, count_cells, levels
 from wearlog.llm.components import components
-from wearlog.sources.storage import materialised
+from wearlog.sources.storage import discard, materialised
 
 CELL_BITS = 23
 NODE_BITS = 24
@@ -83,15 +84,15 @@ def ngram_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
                 keep = size - (size * percent + 99) // 100 + 1 if size else 0
                 order = np.argsort(level.value[cell_of(grams, CELL_BITS)], kind="stable")[:keep]
                 prefixes.append(grams[order].view(np.int64))
-                classes.append(np.bincount((grams & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype(np.int32))
+                classes.append(np.bincount((grams & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).clip(max=32767).astype(np.int16))
             ids = batch.column(0)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int32()))],
+                [ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int16()))],
                 names=["doc_id", "size", "node", "prefix", "classes"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(describe, f"doc_id {kind}, size long, node long, prefix array<long>, classes array<int>")
+    return docs.mapInArrow(describe, f"doc_id {kind}, size long, node long, prefix array<long>, classes array<short>")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -100,23 +101,30 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 
 
 def _fits(percent: int) -> Column:
-    """Length and positional filter for a pair that shares an n-gram at positions pos_a and pos_b."""
+    """Length and positional filter for a pair that shares an n-gram.
+
+    What two sets share ahead of it lies in the prefixes of both, so only members that several
+    prefixes have count there (``before``); from it on, all do (``rest``).
+    """
+    a, b = F.col("size_a"), F.col("size_b")
+    most = F.least("before_a", "before_b") + F.least("rest_a", "rest_b")
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (most >= _needed(a, b, percent))
+
+
+def _alike(percent: int) -> Column:
+    """Suffix filter: members of two sets that fall into different classes cannot be shared."""
+    differ = F.zip_with("classes_a", "classes_b", lambda x, y: F.abs(x.cast("int") - y.cast("int")))
+    apart = F.aggregate(differ, F.lit(0), lambda x, y: x + y)
     a, b = F.col("size_a"), F.col("size_b")
-    rest = F.least(a - F.col("pos_a"), b - F.col("pos_b"))
-    before = F.least("pos_a", "pos_b")
-    long_enough = F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    return long_enough & (before + rest >= _needed(a, b, percent))
+    return (a + b - apart) / 2 >= _needed(a, b, percent)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link, each compared once on its full sets."""
-    # Suffix filter: members that fall into different classes cannot be shared.
-    narrow = nodes.select("node", "doc", "size", "classes")
+    """The pairs (a, b) of nodes that link, after the suffix filter."""
+    narrow = nodes.select("node", "size", "classes")
     left = narrow.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("classes").alias("classes_a"))
     right = narrow.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("classes").alias("classes_b"))
-    apart = F.aggregate(F.zip_with("classes_a", "classes_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    shared = (F.col("size_a") + F.col("size_b") - apart) / 2
-    pairs = pairs.join(left, "a").join(right, "b").where(shared >= _needed(F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
+    pairs = pairs.join(left, "a").join(right, "b").where(_alike(percent)).select("a", "b")
     pairs = materialised(pairs, "pairs")
 
     # The texts of the nodes in question are read again; a table of 2^24 bits lets most others pass by.
@@ -160,60 +168,60 @@ def _spread(nodes) -> np.ndarray:
     return words.mix(values.astype(np.int64).view(np.uint64))
 
 
-def linked_nodes(sets: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes of a saved ``ngram_sets`` table and the component of each node that links."""
-    nodes = (
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """One row for each node of an ``ngram_sets`` table, with its smallest doc_id as ``doc``."""
+    return (
         sets.where("node is not null")
         .groupBy("node")
         .agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("classes").alias("classes"))
     )
-    nodes = materialised(nodes, "nodes")
+
+
+def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The component of each node that links."""
     grams = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "gram"))
-    hubs = (
-        grams.groupBy("gram")
-        .agg(F.min(F.struct("node", "size", "pos")).alias("hub"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("gram", "hub.*", "n")
-        .toDF("gram", "hub", "size_b", "pos_b", "n")
-    )
-    met = materialised(grams.join(hubs, "gram").select("gram", "node", "size", "pos", "hub", "size_b", "pos_b", "n"), "met")
-    hub_pairs = met.where("node != hub").select(
-        F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), F.col("hub").alias("b"), "size_b", "pos_b"
-    )
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    of_node = W.partitionBy("node")
+    met = grams.join(shared, "gram").withColumn("before", F.row_number().over(of_node.orderBy("pos")) - 1)
+    met = materialised(met.select("gram", "node", "size", "before", (F.col("size") - F.col("pos")).alias("rest"), "n"), "met")
+
+    def side(row: str, of: str) -> list[Column]:
+        return [F.col(row + c).alias(f"{'' if c == 'node' else c + '_'}{of}") for c in ("node", "size", "before", "rest")]
+
+    hubs = met.groupBy("gram").agg(F.min(F.struct("node", "size", "before", "rest")).alias("hub"))
+    hub_pairs = met.join(hubs, "gram").where("node != hub.node").select(*side("", "a"), *side("hub.", "b"))
     # A group is cut into parts of about GROUP nodes, so that no task has to hold a whole one.
     order = W.partitionBy("gram", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP))).orderBy(F.xxhash64("gram", "node"), "node")
-    near = [F.lead(F.struct("node", "size", "pos"), k).over(order).alias(f"next_{k}") for k in (1, 2)]
-    side_pairs = (
-        met.where("n > 2")
-        .select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), *near)
-        .select("a", "size_a", "pos_a", F.explode(F.array("next_1", "next_2")).alias("other"))
-        .where("other is not null")
-        .select("a", "size_a", "pos_a", "other.*")
-        .toDF("a", "size_a", "pos_a", "b", "size_b", "pos_b")
-    )
+    nexts = [F.lead(F.struct("node", "size", "before", "rest"), k).over(order) for k in (1, 2)]
+    beside = met.where("n > 2").select(*side("", "a"), F.array(*nexts).alias("nexts"))
+    side_pairs = beside.select("*", F.explode("nexts").alias("next")).where("next is not null")
+    side_pairs = side_pairs.select("a", "size_a", "before_a", "rest_a", *side("next.", "b"))
     few = hub_pairs.union(side_pairs).where(_fits(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     few = materialised(few, "few")
     first = _verified(few, nodes, docs, n, percent)
     found = components(first)
 
     named = met.join(found.select("node", "component"), "node", "left").select(
-        "gram", "node", "size", "pos", F.coalesce("component", "node").alias("component")
+        "gram", "node", "size", "before", "rest", F.coalesce("component", "node").alias("component")
     )
     several = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gram")
     mixed = materialised(named.join(several, "gram"), "mixed")
-    x = mixed.select("gram", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), F.col("component").alias("comp_a"))
-    y = mixed.select("gram", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("component").alias("comp_b"))
-    rest = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _fits(percent))
-    rest = rest.select("a", "b").distinct().join(few, ["a", "b"], "left_anti")
-    second = _verified(rest, nodes, docs, n, percent)
-    return nodes, components(first.union(second))
+    sides = [mixed.select("gram", *side("", of), F.col("component").alias(f"component_{of}")) for of in "ab"]
+    rest = sides[0].join(sides[1], "gram").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _fits(percent))
+    second = _verified(rest.select("a", "b").distinct().join(few, ["a", "b"], "left_anti"), nodes, docs, n, percent)
+    for table in (met, few, mixed):
+        discard(table)
+    return components(first.union(second))
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles (set size) and component_id (smallest linked doc_id)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sets = materialised(ngram_sets(docs, n, percent), "ngrams")
-    nodes, found = linked_nodes(sets, docs, n, percent)
+    found = materialised(ngram_sets(docs, n, percent), "ngrams")
+    nodes = materialised(distinct_sets(found), "nodes")
+    sets = materialised(found.select("doc_id", "size", "node"), "sizes")
+    discard(found)
+    found = linked_nodes(nodes, docs, n, percent)
     groups = nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     least = groups.groupBy("component").agg(F.min("doc").alias("component_id"))
     of_node = groups.join(least, "component").select("node", "component_id")
