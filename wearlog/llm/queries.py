@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wearlog.llm import embedding_dedup, language_id, language_model, mixing, packing, secrets, simhash, url_filter
 from wearlog.llm.ngram_join import ngram_join
 
 
@@ -13,12 +15,71 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(divisor: int) -> Column:
+    """Remainder of crc32(doc_id as text); null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 1, 2, 3; at most three times a source."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from six of seven folds."""
+    docs = _table(spark, sf_dir, "documents")
+    return language_model.train_and_score(docs, learn=_fold(7) != 2, held_out=_fold(7) == 2)
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine 0.98 or more within a label."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.with_next(_table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens."""
+    import public_tokenizers
+
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from two of three folds."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.learn(docs, _fold(3) != 1)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8 or more."""
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_source_mixing": op2_source_mixing,
+    "op3_url_filter": op3_url_filter,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_language_id": op9_language_id,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 

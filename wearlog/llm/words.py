@@ -95,14 +95,16 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = end
 
 
-def find(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """Words of the texts that lie between the offsets."""
+def find(data: np.ndarray, offsets: np.ndarray, lower: bool = True, cuts: np.ndarray | None = None) -> Words:
+    """Words of the texts that lie between the offsets; ``cuts`` are positions where words end as well."""
     n = len(data)
     if lower:
         data = data + (((data >= 65) & (data <= 90)).view(np.uint8) << np.uint8(5))
     word = ~((data == 32) | ((data >= 9) & (data <= 13)))
     border = np.zeros(n + 1, bool)
     border[offsets] = True
+    if cuts is not None:
+        border[cuts] = True
     gap = np.r_[True, ~word]
     starts = np.flatnonzero(word & (gap[:-1] | border[:-1]))
     ends = np.flatnonzero(word & (np.r_[~word[1:], True][:n] | border[1:])) + 1
