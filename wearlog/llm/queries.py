@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearlog.llm import embedding_dedup, language_id, language_model, mixing, packing, secrets, simhash, url_filter
+from wearlog.llm import embedding_dedup, language_id, language_model, mixing, packing, secrets, sharding, simhash, url_filter
 from wearlog.llm.ngram_join import ngram_join
 
 
@@ -46,6 +46,11 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards of near equal bytes."""
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_next(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_kd_sharding": op6_kd_sharding,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
