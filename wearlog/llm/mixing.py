@@ -54,7 +54,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most:
     after = by_level.rowsBetween(0, W.unboundedFollowing)
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
     sources = sources.withColumn("_level", left / F.sum("_weight").over(after))
-    level = F.min(F.when(F.col("_cap") > F.col("_level") * F.col("_weight"), F.col("_level"))).over(every)
+    # A level holds if all sources before it stop; the first source that does not stop sets it.
+    goes_on = F.when(F.col("_cap") > F.col("_level") * F.col("_weight"), F.col("_level"))
+    level = F.first(goes_on, ignorenulls=True).over(by_level.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return sources.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(level * F.col("_weight"), F.col("_cap"))).alias("target"))
 
 
