@@ -141,26 +141,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
                     cell = int(cell_of(_spread(np.array([node], np.int64)), NODE_BITS)[0])
                     if asked.value[cell >> 3] >> (7 - (cell & 7)) & 1:
                         found.append(node)
-                        packed.append(grams.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(packed, pa.binary())], names=["node", "grams"])
+                        packed.append(grams.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(packed, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    # One text per node is enough: the row of the node's smallest id, or any if there is none.
-    chosen = docs.select("text").mapInArrow(sets, "node long, grams binary")
+    # One set per node is enough. A pair is compared row by row, so long texts take no batch's memory.
+    chosen = docs.select("text").mapInArrow(sets, "node long, grams array<long>")
     full = materialised(chosen.groupBy("node").agg(F.first("grams").alias("grams")).join(wanted, "node", "left_semi"), "sets")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("grams_a"), batch.column("grams_b")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    joined = pairs.join(full.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a").join(
-        full.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b"
-    )
-    return materialised(joined.select("a", "b", "grams_a", "grams_b").mapInArrow(compare, "a long, b long"), "links")
+    sides = [full.select(F.col("node").alias(of), F.col("grams").alias(f"grams_{of}")) for of in "ab"]
+    both = F.size(F.array_intersect("grams_a", "grams_b"))
+    compared = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", both.alias("both"), (F.size("grams_a") + F.size("grams_b")).alias("all"))
+    linked = materialised(compared.where(F.col("both") * 100 >= (F.col("all") - F.col("both")) * percent).select("a", "b"), "links")
+    discard(full)
+    discard(pairs)
+    return linked
 
 
 def _spread(nodes) -> np.ndarray:
