@@ -15,13 +15,15 @@ from wearlog.sources import storage, study, wide
 ITEM = ["user", "category", "item"]
 
 
-def _days():
-    return [t.STEPS_START + dt.timedelta(days=i) for i in range((t.STEPS_END - t.STEPS_START).days + 1)]
+def _days(spark, d):
+    """Every day from the first to the last one with an event."""
+    first, last = t.event_days(spark, d).agg(F.min("date"), F.max("date")).first()
+    return [first + dt.timedelta(days=i) for i in range((last - first).days + 1)]
 
 
 def event_sheet(spark, d, serial: bool = False):
     """Wide sheet of the event diary, as a user would keep it: one column per day."""
-    days = _days()
+    days = _days(spark, d)
     if serial:
         headers = [str((day - wide.SERIAL_ORIGIN).days) for day in days]
         origin = F.lit(wide.SERIAL_ORIGIN)
@@ -50,14 +52,15 @@ def read_wide(spark, d):
 SELECT s."user", s.category, s.item || ' ' || s."user" AS item, CAST(s.date AS DATE) AS date,
        coalesce(g.used, FALSE) AS used
 FROM (SELECT "user", category, item,
-             unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS date FROM shoe_items) s
+             unnest(generate_series((SELECT min(date) FROM event_days), (SELECT max(date) FROM event_days), INTERVAL 1 DAY)) AS date
+      FROM shoe_items) s
 LEFT JOIN shoe_log g ON s."user" = g."user" AND s.item = g.item AND CAST(s.date AS DATE) = g.date
 """,
 )
 def read_serial(spark, d):
     path = storage.scratch_path(spark, "serial-sheet")
     storage.write_csv(event_sheet(spark, d, serial=True), path)
-    return wide.to_log(wide.read_wide(spark, path, header="serial"))
+    return wide.to_log(wide.read_wide(spark, path, header="serial", multi_line=True))
 
 
 STUDY_COLUMNS = ["user", "category", "item", "wears", "total_wears", "price", "date_purchased", "secondhand"]

@@ -46,7 +46,7 @@ def test_wide_sheet(spark, folder):
 
 
 def test_serial_sheet(spark, folder):
-    sheet = wide.read_wide(spark, folder("old.csv", SERIAL), header="serial")
+    sheet = wide.read_wide(spark, folder("old.csv", SERIAL), header="serial", multi_line=True)
     assert rows(wide.to_log(sheet), "item", "date", "used") == [
         ("Blue top", day(1), True), ("Blue top", day(2), False), ("Jeans", day(1), False), ("Jeans", day(2), True),
     ]
@@ -125,9 +125,27 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert rows(storage.materialised(spark.range(3).toDF("n"))) == [(0,), (1,), (2,)]
 
 
-def test_category_list_is_bounded(spark):
+@pytest.mark.parametrize(
+    ("header", "columns", "days"),
+    [
+        ("date", "1.2.2018,01.03.2018,2.02.2018", ["2018-02-01", "2018-03-01", "2018-02-02"]),
+        ("serial", "43102.0,43103", ["2018-01-02", "2018-01-03"]),
+    ],
+)
+def test_forms_of_day_headers(spark, folder, header, columns, days):
+    sheet = wide.read_wide(spark, folder("forms.csv", f"Category,Item,Details,{columns}\nShirts,Blue,x,{',' * columns.count(',')}\n"), header=header)
+    assert wide.day_columns(sheet) == days
+    assert wide.sheet_range(sheet) == (dt.date.fromisoformat(min(days)), dt.date.fromisoformat(max(days)))
+
+
+@pytest.mark.parametrize("columns", ["Notes", "1.2.2018,01.02.2018", "43102"])
+def test_headers_that_are_no_days_are_errors(spark, folder, columns):
     with pytest.raises(ValueError):
-        category_dim(spark, [str(i) for i in range(10_001)])
+        wide.read_wide(spark, folder("bad.csv", f"Category,Item,{columns}\nShirts,Blue,{',' * columns.count(',')}\n"))
+
+
+def test_category_list_has_no_limit(spark):
+    assert category_dim(spark, [str(i) for i in range(10_001)]).count() == 10_001
     assert rows(category_dim(spark, ["b", "a"], ["b.html", None]), "category", "rank", "url") == [("a", 2, None), ("b", 1, "b.html")]
 
 

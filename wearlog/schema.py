@@ -4,44 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = {
-    "string": T.StringType(),
-    "double": T.DoubleType(),
-    "date": T.DateType(),
-    "boolean": T.BooleanType(),
-    "int": T.IntegerType(),
-    "long": T.LongType(),
-}
-
-
-def table(**columns: str) -> T.StructType:
-    """Schema from kinds and the columns of each kind: ``table(string='user item')``."""
-    return T.StructType([T.StructField(c, KINDS[kind]) for kind, names in columns.items() for c in names.split()])
-
-
-ITEMS = table(
-    string="user category item photo materials",
-    double="price used_init weight",
-    date="date_purchased date_divested",
+# Columns of the tables that are read.
+ITEMS = T.StructType(
+    [
+        T.StructField("user", T.StringType()),
+        T.StructField("category", T.StringType()),
+        T.StructField("item", T.StringType()),
+        T.StructField("photo", T.StringType()),
+        T.StructField("materials", T.StringType()),
+        T.StructField("price", T.DoubleType()),
+        T.StructField("used_init", T.DoubleType()),
+        T.StructField("weight", T.DoubleType()),
+        T.StructField("date_purchased", T.DateType()),
+        T.StructField("date_divested", T.DateType()),
+    ]
 )
-USAGE_LOG = table(string="user category item", date="date", boolean="used")
-STUDY_ITEMS = table(
-    string="user category item secondhand_type divestment_way condition repair_kind reason_not_repaired"
-    " repair_willing_to_pay special_care_kind",
-    double="wears total_wears washed price cpw repaired",
-    date="date_purchased date_divested",
-    boolean="secondhand needs_repair needs_repair_start sentimental_value",
+USAGE_LOG = T.StructType(
+    [
+        T.StructField("user", T.StringType()),
+        T.StructField("category", T.StringType()),
+        T.StructField("item", T.StringType()),
+        T.StructField("date", T.DateType()),
+        T.StructField("used", T.BooleanType()),
+    ]
+)
+STUDY_ITEMS = T.StructType(
+    [
+        T.StructField("user", T.StringType()),
+        T.StructField("category", T.StringType()),
+        T.StructField("item", T.StringType()),
+        T.StructField("secondhand_type", T.StringType()),
+        T.StructField("divestment_way", T.StringType()),
+        T.StructField("condition", T.StringType()),
+        T.StructField("repair_kind", T.StringType()),
+        T.StructField("reason_not_repaired", T.StringType()),
+        T.StructField("repair_willing_to_pay", T.StringType()),
+        T.StructField("special_care_kind", T.StringType()),
+        T.StructField("wears", T.DoubleType()),
+        T.StructField("total_wears", T.DoubleType()),
+        T.StructField("washed", T.DoubleType()),
+        T.StructField("price", T.DoubleType()),
+        T.StructField("cpw", T.DoubleType()),
+        T.StructField("repaired", T.DoubleType()),
+        T.StructField("date_purchased", T.DateType()),
+        T.StructField("date_divested", T.DateType()),
+        T.StructField("secondhand", T.BooleanType()),
+        T.StructField("needs_repair", T.BooleanType()),
+        T.StructField("needs_repair_start", T.BooleanType()),
+        T.StructField("sentimental_value", T.BooleanType()),
+    ]
+)
+USERS = T.StructType(
+    [
+        T.StructField("user", T.StringType()),
+        T.StructField("gender", T.StringType()),
+        T.StructField("exchange_rate", T.DoubleType()),
+    ]
+)
+CATEGORY_CHANGES = T.StructType(
+    [
+        T.StructField("change_seq", T.LongType()),
+        T.StructField("user", T.StringType()),
+        T.StructField("item", T.StringType()),
+        T.StructField("target_category", T.StringType()),
+    ]
+)
+STEPS = T.StructType(
+    [
+        T.StructField("date", T.DateType()),
+        T.StructField("steps", T.DoubleType()),
+    ]
 )
-USERS = table(string="user gender", double="exchange_rate")
-CATEGORY_CHANGES = table(long="change_seq", string="user item target_category")
-STEPS = table(date="date", double="steps")
-
-# A list of categories is written by hand; beyond this it is no longer a dimension.
-MAX_CATEGORIES = 10_000
 
 
 def category_dim(
@@ -52,19 +89,16 @@ def category_dim(
 ) -> DataFrame:
     """Ranked categories; the list order is the report order.
 
-    Built from literals, so Spark knows the size and broadcasts it by itself.
+    A local table, whose size Spark knows, so that it chooses the join by itself.
     """
-    if len(order) > MAX_CATEGORIES:
-        raise ValueError(f"{len(order)} categories; at most {MAX_CATEGORIES} are supported")
     urls = list(urls) if urls is not None else [None] * len(order)
     photos = list(photos) if photos is not None else [None] * len(order)
-    rows = [
-        F.struct(
-            F.lit(name).cast("string").alias("category"),
-            F.lit(rank).cast("int").alias("rank"),
-            F.lit(url).cast("string").alias("url"),
-            F.lit(photo).cast("string").alias("category_photo"),
-        )
-        for rank, (name, url, photo) in enumerate(zip(order, urls, photos, strict=True), 1)
-    ]
-    return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
+    categories = pa.table(
+        {
+            "category": pa.array(list(order), pa.string()),
+            "rank": pa.array(range(1, len(order) + 1), pa.int32()),
+            "url": pa.array(urls, pa.string()),
+            "category_photo": pa.array(photos, pa.string()),
+        }
+    )
+    return spark.createDataFrame(categories)

@@ -21,8 +21,10 @@ ATTRIBUTES = {
     "Materials": ("materials", "string"),
     "Weight": ("weight", "double"),
 }
-DAY_HEADER = re.compile(r"\d{2}\.\d{2}\.\d{4}")
-SERIAL_HEADER = re.compile(r"\d{5}")
+# Sheet columns that are known and not read.
+UNREAD = ("Photo placeholder", "Details", "Times used", "Cost per wear")
+DAY_HEADER = re.compile(r"(\d{1,2})\.(\d{1,2})\.(\d{4})")
+SERIAL_HEADER = re.compile(r"(\d{5})(\.0+)?")
 ISO_DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
 SERIAL_ORIGIN = dt.date(1899, 12, 30)
 
@@ -32,12 +34,13 @@ def _quoted(name: str) -> Column:
 
 
 def _header_day(header: str, serial: bool) -> dt.date | None:
+    """The day that a header names; ``1.2.2018`` and ``01.02.2018`` are one, as are ``43102`` and ``43102.0``."""
+    text = header.strip()
     if serial:
-        if SERIAL_HEADER.fullmatch(header):
-            return SERIAL_ORIGIN + dt.timedelta(days=int(header))
-    elif DAY_HEADER.fullmatch(header):
-        return dt.datetime.strptime(header, "%d.%m.%Y").date()
-    return None
+        found = SERIAL_HEADER.fullmatch(text)
+        return SERIAL_ORIGIN + dt.timedelta(days=int(found[1])) if found else None
+    found = DAY_HEADER.fullmatch(text)
+    return dt.date(int(found[3]), int(found[2]), int(found[1])) if found else None
 
 
 def clean_sheet(sheet: DataFrame, header: str = "date", owner: str = "me") -> DataFrame:
@@ -46,8 +49,9 @@ def clean_sheet(sheet: DataFrame, header: str = "date", owner: str = "me") -> Da
     Day columns are found by their header. ``header='date'`` reads ``dd.MM.yyyy`` headers
     and true/false cells, where an empty cell is unknown. ``header='serial'`` reads
     spreadsheet day numbers, where any mark means used and an empty cell not used; line
-    breaks in item names become spaces. Rows without a value in the first column go, and
-    so do all columns that are neither a known attribute nor a day.
+    breaks in item names become spaces. Rows without a value in the first column go. A header
+    that is neither an attribute, a column known as unread nor a day is an error, and so are
+    two columns for one day.
     """
     if header not in ("date", "serial"):
         raise ValueError(f"unknown header style {header!r}")
@@ -61,21 +65,31 @@ def clean_sheet(sheet: DataFrame, header: str = "date", owner: str = "me") -> Da
             columns.append(value.alias(alias))
         elif alias == "user":
             columns.append(F.lit(owner).alias("user"))
+    seen: dict[dt.date, str] = {}
     for name in sheet.columns:
+        if name in ATTRIBUTES or name in UNREAD:
+            continue
         day = _header_day(name, serial)
-        if day is not None:
-            cell = _quoted(name)
-            columns.append((cell.isNotNull() if serial else cell.try_cast("boolean")).alias(day.isoformat()))
+        if day is None:
+            raise ValueError(f"column {name!r} is neither an attribute nor a day")
+        if day in seen:
+            raise ValueError(f"columns {seen[day]!r} and {name!r} are the same day")
+        seen[day] = name
+        cell = _quoted(name)
+        columns.append((cell.isNotNull() if serial else cell.try_cast("boolean")).alias(day.isoformat()))
     return sheet.where(_quoted(sheet.columns[0]).isNotNull()).select(*columns)
 
 
 def read_wide(
-    spark: SparkSession, path: str, header: str = "date", file_format: str = "csv", owner: str = "me"
+    spark: SparkSession, path: str, header: str = "date", file_format: str = "csv", owner: str = "me", multi_line: bool = False
 ) -> DataFrame:
-    """Scan an exported diary sheet (CSV with header, or Parquet)."""
+    """Scan an exported diary sheet (CSV with header, or Parquet).
+
+    ``multi_line`` is for sheets whose item names hold line breaks; a file is then read by one task.
+    """
     reader = spark.read
     if file_format == "csv":
-        reader = reader.option("header", True).option("escape", '"').option("multiLine", header == "serial")
+        reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
     return clean_sheet(reader.format(file_format).load(path), header, owner)
 
 
@@ -86,7 +100,7 @@ def day_columns(sheet: DataFrame) -> list[str]:
 def sheet_range(sheet: DataFrame) -> tuple[dt.date, dt.date]:
     """First and last day of the sheet, from its columns alone."""
     days = day_columns(sheet)
-    return dt.date.fromisoformat(days[0]), dt.date.fromisoformat(days[-1])
+    return dt.date.fromisoformat(min(days)), dt.date.fromisoformat(max(days))
 
 
 def sheet_items(sheet: DataFrame) -> DataFrame:
