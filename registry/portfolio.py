@@ -21,8 +21,12 @@ from wearlog.sources.storage import materialised
 
 DAYS = ["user", "category", "date"]
 LEFT_OUT = ("PROMO",)
-REPORT_DAYS = [dt.date(year, month, 1) for year in range(1995, 2002) for month in (1, 4, 7, 10)]
-REPORT_DAYS = [day for day in REPORT_DAYS if day <= dt.date(2001, 7, 1)]
+
+
+def report_days(spark, d):
+    """The first day of every month of the diary, up to its last day."""
+    months = F.sequence(F.lit(t.START), t.end(spark, d), F.expr("interval 1 month"))
+    return spark.range(1, numPartitions=1).select(F.explode(months).alias("day"))
 
 
 def stock(spark, d):
@@ -241,7 +245,7 @@ def daily_cost_by_category(spark, d):
 
 
 ASOF = f"""
-WITH report AS (SELECT unnest([{', '.join(f"DATE '{day}'" for day in REPORT_DAYS)}]) AS day),
+WITH report AS (SELECT CAST(unnest(generate_series(day_one, day_last, INTERVAL 1 MONTH)) AS DATE) AS day FROM bounds),
 kept AS (SELECT * FROM use WHERE category <> 'PROMO'),
 state AS (
   SELECT "user", item, day, CASE WHEN count(cost_per_use) = count(*) THEN min(cost_per_use) END AS cost,
@@ -262,8 +266,8 @@ shifted AS (
 
 @query("D4_daily_cost_asof", ASOF + "SELECT * FROM shifted")
 def daily_cost_asof(spark, d):
-    """Daily cost as of the first day of each quarter."""
-    return rounded_cost(cost.daily_cost_asof(t.saved_use(spark, d), REPORT_DAYS, exclude=LEFT_OUT))
+    """Daily cost as of the first day of each month."""
+    return rounded_cost(cost.daily_cost_asof(t.saved_use(spark, d), report_days(spark, d), exclude=LEFT_OUT))
 
 
 @query(
@@ -271,11 +275,11 @@ def daily_cost_asof(spark, d):
     ASOF
     + """SELECT * FROM shifted
 WHERE day IN (SELECT day FROM (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT day FROM shifted)
-                               WHERE day >= DATE '1995-01-01' + 29 AND day <= DATE '2001-08-01' - 30) WHERE n % 2 = 1)""",
+                               WHERE day >= DATE '1995-01-01' + 29 AND day <= (SELECT day_last FROM bounds) - 30) WHERE n % 2 = 1)""",
 )
 def trimmed_days(spark, d):
-    table = rounded_cost(cost.daily_cost_asof(t.saved_use(spark, d), REPORT_DAYS, exclude=LEFT_OUT))
-    return cost.trim_days(table, t.START, dt.date(2001, 8, 1), step=2)
+    table = rounded_cost(cost.daily_cost_asof(t.saved_use(spark, d), report_days(spark, d), exclude=LEFT_OUT))
+    return cost.trim_days(table, t.START, t.end(spark, d), step=2)
 
 
 @query(

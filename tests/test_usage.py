@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,7 +182,7 @@ def test_daily_cost_takes_the_lowest_cost_and_leaves_categories_out(spark):
 def test_asof_cost_uses_only_earlier_rows(spark):
     log = make_log(spark, [("a", day(d), d in (1, 3)) for d in range(1, 5)])
     use = usage.usage_table(log, make_items(spark, [("a", 12.0, START, None, 0.0)]), START, day(4))
-    found = daily_cost.daily_cost_asof(use, [day(2), day(4)], window=2)
+    found = daily_cost.daily_cost_asof(use, spark.createDataFrame([(day(2),), (day(4),)], "day date"), window=2)
     assert rows(found, "day", "date", "daily_cost", "still_active") == [
         (day(2), day(1), 12.0, True), (day(4), day(1), 6.0, True), (day(4), day(3), 6.0, True),
     ]
@@ -189,6 +190,25 @@ def test_asof_cost_uses_only_earlier_rows(spark):
     assert rows(found.where(F.col("day") == day(4)), "date", "daily_cost") == rows(whole, "date", "daily_cost")
 
 
+def test_asof_cost_on_every_day_matches_brute_force(spark):
+    rng = random.Random(11)
+    facts = [(f"i{i}", rng.choice([None, 10.0, 30.0, 7.0]), day(rng.randint(1, 4)), rng.choice([None, day(9)]), float(i % 2)) for i in range(8)]
+    log = make_log(spark, [(i, day(d), rng.random() < 0.5) for i, *_ in facts for d in range(1, 13)])
+    use = usage.usage_table(log, make_items(spark, facts), START, day(14))
+    days = spark.createDataFrame([(day(d),) for d in range(1, 15)], "day date")
+    data, expected = use.select("item", "date", "cost_per_use", "active", "used").collect(), []
+    for report in (day(d) for d in range(1, 15)):
+        known = [r for r in data if r.date <= report]
+        for date in sorted({r.date for r in known if r.used}):
+            worn = [r.item for r in known if r.date == date and r.used]
+            costs = [[r.cost_per_use for r in known if r.item == i] for i in worn]
+            total = None if any(c is None for cs in costs for c in cs) else sum(min(cs) for cs in costs)
+            active = any(all(r.active for r in known if r.item == i) for i in worn)
+            expected.append((report, date, None if total is None else round(total, 9), active))
+    found = daily_cost.daily_cost_asof(use, days, window=3)
+    assert rows(found.select("day", "date", F.round("daily_cost", 9), "still_active")) == sorted(expected, key=lambda r: r[:2])
+
+
 def test_trimmed_days(spark):
     days = spark.createDataFrame([(day(d),) for d in range(1, 31)], "day date")
     kept = daily_cost.trim_days(days, day(1), day(30), window=10)

@@ -13,8 +13,6 @@ from wearlog import defaults
 from wearlog.functions.numeric import rolling, strict_sum
 from wearlog.operators.usage import thin_dates
 
-MAX_ASOF_DAYS = 4_000  # about eleven years, day by day
-
 
 def _strict_min(c: str) -> Column:
     return F.when(F.count(c) == F.count(F.lit(1)), F.min(c))
@@ -67,52 +65,81 @@ def daily_cost(
     return with_midpoint_average(days, keys, window)
 
 
+def _numbered(use: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Report days with a number, and for every date of the table the number of the next of them.
+
+    Both are lists of distinct days, so one task may order them: the calendar bounds their length.
+    """
+    reports = days.select("day").where(F.col("day").isNotNull()).distinct()
+    reports = reports.select("day", F.row_number().over(W.orderBy("day")).alias("_n"))
+    dates = use.select("date").distinct().join(reports, F.col("date") == F.col("day"), "full")
+    dates = dates.select(F.coalesce("date", "day").alias("date"), "_n")
+    ahead = W.orderBy("date").rowsBetween(W.currentRow, W.unboundedFollowing)
+    return reports, dates.select("date", F.min("_n").over(ahead).alias("_n")).where(F.col("_n").isNotNull())
+
+
 def daily_cost_asof(
     use: DataFrame,
-    days: Sequence[dt.date],
+    days: DataFrame,
     window: int = 30,
     include: Sequence[str] | None = None,
     exclude: Sequence[str] = defaults.COST_EXCLUDED_CATEGORIES,
 ) -> DataFrame:
-    """Daily cost as it stood on each of the given days, from the rows up to that day.
+    """Daily cost as it stood on each report day (column ``day``), from the rows up to that day.
 
-    The result has a row per report day and earlier day by definition. An item carries its
-    state on the report days, whose number is limited, to its used days in one join; the
-    report days after a used day unfold only there and are summed up before the next shuffle.
+    The result has a row per report day and earlier day by definition. An item keeps only the
+    report days on which its lowest cost or its status changes. A used day emits its item's state
+    on the next report day and then one difference per change; differences are summed by user, day
+    used and report day, accumulated, and held until the next change.
     """
-    days = sorted(set(days))
-    if not 0 < len(days) <= MAX_ASOF_DAYS:
-        raise ValueError(f"between 1 and {MAX_ASOF_DAYS} report days are needed, not {len(days)}")
-    calendar = F.array(*[F.lit(d) for d in days])
-
-    def from_day(column: str) -> Column:
-        return F.explode(F.filter(calendar, lambda d: d >= F.col(column)))
-
-    rows = _selected(use, include, exclude).where(F.col("date") <= days[-1])
-    first_report = F.array_min(F.filter(calendar, lambda d: d >= F.col("date")))
-    steps = rows.groupBy("user", "item", first_report.alias("_from")).agg(
-        F.min("cost_per_use").alias("_cost"),
-        F.bool_or(F.col("cost_per_use").isNull()).alias("_unknown"),
-        F.bool_and("active").alias("_active"),
-    )
+    rows = _selected(use, include, exclude).select("user", "item", "date", "cost_per_use", "active", "used")
+    reports, next_report = _numbered(rows, days)
+    rows = rows.join(next_report, "date")
+    so_far = W.partitionBy("user", "item").orderBy("_n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    steps = W.partitionBy("user", "item").orderBy("_n")
     state = (
-        steps.withColumn("day", from_day("_from"))
-        .groupBy("user", "item", "day")
+        rows.groupBy("user", "item", "_n")
         .agg(
-            F.when(~F.bool_or("_unknown"), F.min("_cost")).alias("_cost"),
-            F.bool_and("_active").alias("_active"),
+            F.min("cost_per_use").alias("_cost"),
+            F.max(F.col("cost_per_use").isNull().cast("int")).alias("_unknown"),
+            F.min(F.col("active").cast("int")).alias("_active"),
         )
-        .groupBy("user", "item")
-        .agg(F.collect_list(F.struct("day", "_cost", "_active")).alias("_states"))
+        .select("user", "item", "_n", F.min("_cost").over(so_far).alias("_cost"), F.max("_unknown").over(so_far).alias("_unknown"), F.min("_active").over(so_far).alias("_active"))
+        .withColumn("_state", F.struct(F.when(F.col("_unknown") == 0, F.col("_cost")).otherwise(F.lit(0.0)).alias("cost"), F.col("_unknown").alias("unknown"), F.col("_active").alias("active")))
+        .withColumn("_old", F.lag("_state").over(steps))
+        .where(F.col("_old").isNull() | (F.col("_state") != F.col("_old")))
+        .select("user", "item", F.col("_n").alias("_from"), "_state", "_old")
+        .withColumn("_to", F.lead("_from").over(W.partitionBy("user", "item").orderBy("_from")))
     )
-    later = F.explode(F.filter("_states", lambda s: s["day"] >= F.col("date")))
-    costs = (
+    changes = (
         rows.where("used")
-        .select("user", "item", "date")
+        .select("user", "item", "date", "_n")
         .join(state, ["user", "item"])
-        .select("user", "date", later.alias("_state"))
-        .groupBy("user", F.col("_state.day").alias("day"), "date")
-        .agg(strict_sum("_state._cost").alias("daily_cost"), F.bool_or("_state._active").alias("still_active"))
+        .where(F.col("_to").isNull() | (F.col("_to") > F.col("_n")))
+        .withColumn("_first", F.col("_from") <= F.col("_n"))
+    )
+    parts = [
+        F.sum(F.col(f"_state.{c}") - F.when(F.col("_first"), F.lit(0)).otherwise(F.col(f"_old.{c}"))).alias(f"_{c}")
+        for c in ("cost", "unknown", "active")
+    ]
+    by_report = W.partitionBy("user", "date").orderBy("_n")
+    summed = changes.groupBy("user", "date", F.greatest("_n", "_from").alias("_n")).agg(*parts)
+    held = summed.select(
+        "user",
+        "date",
+        *[F.sum(f"_{c}").over(by_report.rowsBetween(W.unboundedPreceding, W.currentRow)).alias(f"_{c}") for c in ("cost", "unknown", "active")],
+        F.sequence("_n", F.coalesce(F.lead("_n").over(by_report) - 1, reports.select(F.max("_n")).scalar())).alias("_days"),
+    )
+    costs = (
+        held.withColumn("_n", F.explode("_days"))
+        .join(reports, "_n")
+        .select(
+            "user",
+            "day",
+            "date",
+            F.when(F.col("_unknown") == 0, F.col("_cost")).alias("daily_cost"),
+            (F.col("_active") > 0).alias("still_active"),
+        )
     )
     return with_midpoint_average(costs, ["user", "day"], window, min_rows=1)
 
