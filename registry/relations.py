@@ -163,14 +163,15 @@ def fit_sql(y: str, x: str, by: str, rows: str) -> str:
     return f"""
 WITH fit AS (
   SELECT {group}CAST(regr_count({y}, {x}) AS BIGINT) AS n, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept,
-         regr_r2({y}, {x}) AS r2, regr_avgx({y}, {x}) AS mx, regr_sxx({y}, {x}) AS sxx, {sse} AS sse
+         regr_r2({y}, {x}) AS r2, regr_avgx({y}, {x}) AS mx, regr_sxx({y}, {x}) AS sxx, {sse} AS sse,
+         CASE WHEN regr_count({y}, {x}) > 2 THEN regr_count({y}, {x}) - 2 END AS freedom
   FROM {rows} {'GROUP BY ' + by if by else ''}),
 errors AS (
-  SELECT *, sqrt(sse / (n - 2) / sxx) AS slope_se, sqrt(sse / (n - 2) * (1.0::DOUBLE / n + mx * mx / sxx)) AS intercept_se
+  SELECT *, sqrt(sse / freedom / nullif(sxx, 0)) AS slope_se, sqrt(sse / freedom * (1.0::DOUBLE / nullif(n, 0) + mx * mx / nullif(sxx, 0))) AS intercept_se
   FROM fit)
 SELECT {group}n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2,
-       round(slope_se, 6) AS slope_se, round(intercept_se, 6) AS intercept_se, round(slope / slope_se, 6) AS slope_t,
-       round(intercept / intercept_se, 6) AS intercept_t
+       round(slope_se, 6) AS slope_se, round(intercept_se, 6) AS intercept_se, round(slope / nullif(slope_se, 0), 6) AS slope_t,
+       round(intercept / nullif(intercept_se, 0), 6) AS intercept_t
 FROM errors
 """
 
@@ -192,12 +193,11 @@ def wears_by_price(spark, d):
         """(SELECT u.gender, count(*) AS items, coalesce(sum(price), 0) AS worth FROM study s
 JOIN users u ON s."user" = u."user" WHERE date_divested IS NULL GROUP BY s."user", u.gender)""",
     )
-    + " WHERE n > 2",
 )
 def value_by_items(spark, d):
     """Wardrobe value by number of items, one model per gender."""
     wardrobes = ops.wardrobe_by_user(t.study(spark, d)).join(t.users(spark, d), "user")
-    return rounded(models.linear_fit(wardrobes, "value", "items", ["gender"]), 6, *FIT_COLUMNS).where("n > 2")
+    return rounded(models.linear_fit(wardrobes, "value", "items", ["gender"]), 6, *FIT_COLUMNS)
 
 
 @query(
@@ -209,11 +209,10 @@ def value_by_items(spark, d):
         """(SELECT category, count(*) AS items, avg(CAST(wears < 4 AS INTEGER)) AS share_worn FROM study
 WHERE date_divested IS NULL GROUP BY "user", category)""",
     )
-    + " WHERE n > 2",
 )
 def share_worn_by_items(spark, d):
     shares = dist.share_worn(t.study(spark, d), 4, below=True)
-    return rounded(models.linear_fit(shares, "share_worn", "items", ["category"]), 6, *FIT_COLUMNS).where("n > 2")
+    return rounded(models.linear_fit(shares, "share_worn", "items", ["category"]), 6, *FIT_COLUMNS)
 
 
 @query(
@@ -287,7 +286,11 @@ def repair_delta(spark, d):
 def cells(column: str, values, test: str = "", null: bool = False) -> str:
     count = f"count(*) FILTER (WHERE {column} = '{{v}}'{test})"
     cell = f"nullif({count}, 0)" if null else count
-    return ", ".join(cell.format(v=v) + f' AS "{v}"' for v in values)
+    listed = ", ".join(f"'{v}'" for v in values)
+    rest = {"unknown": f"{column} IS NULL", "other": f"{column} NOT IN ({listed})"}
+    extra = [f"count(*) FILTER (WHERE {where}{test})" for where in rest.values()]
+    extra = [f'{f"nullif({x}, 0)" if null else x} AS "{name}"' for x, name in zip(extra, rest)]
+    return ", ".join([cell.format(v=v) + f' AS "{v}"' for v in values] + extra)
 
 
 @query(

@@ -110,6 +110,18 @@ def change_by_user_category(spark, d):
     return ops.change_by_user_category(t.study(spark, d), t.STUDY_START)
 
 
+@query(
+    "W5_start_value_matrix",
+    f"""
+SELECT "user", {', '.join(f"""CASE WHEN count(*) FILTER (WHERE category = '{c}') > 0
+  THEN coalesce(sum(price) FILTER (WHERE category = '{c}'), 0) END AS "{c}\"""" for c in t.CATEGORIES)}
+FROM study WHERE date_purchased <= {START} OR date_purchased IS NULL GROUP BY "user"
+""",
+)
+def start_value_matrix(spark, d):
+    return ops.start_value_matrix(t.study(spark, d), t.STUDY_START, t.CATEGORIES)
+
+
 @query("W6_change_by_user", CHANGE_BY_USER + "SELECT * FROM change")
 def change_by_user(spark, d):
     return ops.change_by_user(t.study(spark, d), t.STUDY_START)
@@ -233,6 +245,19 @@ def totals(spark, d):
     return ops.totals(t.study(spark, d))
 
 
+@query(
+    "W14_largest_wardrobes",
+    """
+WITH sizes AS (SELECT "user", count(*) AS items, coalesce(sum(price), 0) AS "value" FROM study GROUP BY "user")
+SELECT * FROM (SELECT 'items' AS largest_by, "user", items, "value" FROM sizes ORDER BY items DESC, "user" LIMIT 1)
+UNION ALL
+SELECT * FROM (SELECT 'value' AS largest_by, "user", items, "value" FROM sizes ORDER BY "value" DESC, "user" LIMIT 1)
+""",
+)
+def largest_wardrobes(spark, d):
+    return ops.largest_wardrobes(t.study(spark, d))
+
+
 @query(
     "W14_gender_totals",
     """

@@ -177,9 +177,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = F.when(F.col("l_orderkey") % 10 == 0, "UNLISTED").otherwise(F.col("p_type"))
     return (
-        lines(spark, sf_dir)
-        .where((F.col("o_orderstatus") == "P") & (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F"))
-        .select(
+        lines(spark, sf_dir).select(
             (F.col("l_orderkey") * 100000000 + F.col("l_partkey")).alias("change_seq"),
             _owner("U", "o_custkey", 20).alias("user"),
             F.col("p_brand").alias("item"),
@@ -227,9 +225,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         event_days(spark, sf_dir)
         .groupBy("user", "date")
-        .agg(F.sum(F.floor("value")).cast("double").alias("steps"), F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > 1)
-        .drop("_n")
+        .agg(F.sum(F.floor("value")).cast("double").alias("steps"))
     )
 
 
@@ -336,7 +332,7 @@ FROM customer GROUP BY 1
     "changes": """
 SELECT l_orderkey * 100000000 + l_partkey AS change_seq, 'U' || CAST(o_custkey // 20 AS VARCHAR) AS "user",
        p_brand AS item, CASE WHEN l_orderkey % 10 = 0 THEN 'UNLISTED' ELSE p_type END AS target_category
-FROM lines WHERE o_orderstatus = 'P' AND l_returnflag = 'A' AND l_linestatus = 'F'
+FROM lines
 """,
     "diary_cpw": """
 SELECT * FROM (
@@ -394,7 +390,7 @@ FROM (SELECT * FROM shoe_active QUALIFY row_number() OVER (PARTITION BY "user",
 WHERE date < DATE '2024-01-30'
 """,
     "steps": """
-SELECT "user", date, sum(floor("value")) AS steps FROM event_days GROUP BY "user", date HAVING count(*) > 1
+SELECT "user", date, sum(floor("value")) AS steps FROM event_days GROUP BY "user", date
 """,
     "dim": """
 SELECT * FROM (VALUES ('ECONOMY', 1), ('LARGE', 2), ('MEDIUM', 3), ('PROMO', 4), ('SMALL', 5), ('STANDARD', 6))

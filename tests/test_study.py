@@ -284,10 +284,25 @@ def test_repairs_and_divestments(spark):
     assert rows(repairs.repairs_by_user(items)) == [("u1", 1, 10.0)]
     assert rows(repairs.repair_needs_by_user(items)) == [("u1", 2, 10.0)]
     assert rows(repairs.repair_reasons(items)) == [("time", 2, None)]
-    assert rows(repairs.repair_crosstab(items, "reason_not_repaired", "user", ["u1", "u2"])) == [("time", 2, 0)]
+    assert rows(repairs.repair_crosstab(items, "reason_not_repaired", "user", ["u1", "u2"])) == [("time", 2, 0, 0, 0)]
     assert rows(repairs.divestments(items, "divestment_way", START)) == [("given", 1, 0.5), ("sold", 1, 0.5)]
     assert rows(repairs.divestments(items, "divestment_way"), "divestment_way", "items_divested") == [("given", 2), ("sold", 1)]
-    assert rows(repairs.divestment_matrix(items, "user", ["given", "sold"], START)) == [("u1", 1, None), ("u2", None, 1)]
+    assert rows(repairs.divestment_matrix(items, "user", ["given", "sold"], START)) == [("u1", 1, None, None, None), ("u2", None, 1, None, None)]
+
+
+def test_crosstab_loses_no_row(spark):
+    items = make_study(spark, [{"category": c} for c in ("Shirts", "Pants", None, "Hats", "Hats")])
+    found = ops.crosstab(items, "user", "category", ["Shirts", "Pants"], fill=0, unknown="unknown", other="other")
+    assert rows(found) == [("u1", 1, 1, 1, 2)]
+    with pytest.raises(Exception, match="Hats|null"):
+        ops.crosstab(items, "user", "category", ["Shirts", "Pants"]).collect()
+    with pytest.raises(ValueError):
+        ops.crosstab(items, "user", "category", ["other"], other="other")
+
+
+def test_largest_wardrobes(spark):
+    items = make_study(spark, [{"price": 1.0}, {"price": 2.0}, {"user": "u2", "price": 9.0}])
+    assert rows(ops.largest_wardrobes(items)) == [("items", "u1", 2, 3.0), ("value", "u2", 1, 9.0)]
 
 
 def test_sentimental_share(spark):

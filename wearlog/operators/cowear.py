@@ -35,7 +35,7 @@ def used_by_date(
         .select(*keys, "date", "item")
     )
     if exclude_categories:
-        used = used.where(~F.col("item").rlike("|".join(exclude_categories)))
+        used = used.where(~F.regexp_extract("item", r"^(.*?) \[", 1).isin(*exclude_categories))
     return used
 
 

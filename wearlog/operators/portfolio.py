@@ -139,12 +139,11 @@ def divested_averages(use: DataFrame, min_days: int = 30, month_days: float = de
             ratio("_cost", "_uses").alias("_per_use"),
         )
     )
-    return (
-        join_null_safe(use, averages, KEYS, "left")
-        .withColumn("avg_use_per_month_divested", F.when(counts, F.col("_monthly")))
-        .withColumn("avg_cost_per_use_divested", F.when(counts, F.col("_per_use")))
-        .drop("_monthly", "_per_use")
-    )
+    names = {"_monthly": "avg_use_per_month_divested", "_per_use": "avg_cost_per_use_divested"}
+    # Rows that cannot match are passed on where they are.
+    others = use.where(~F.coalesce(counts, F.lit(False)))
+    found = join_null_safe(use.where(counts), averages, KEYS, "left").withColumnsRenamed(names)
+    return found.unionByName(others.withColumns({name: F.lit(None).cast("double") for name in names.values()}))
 
 
 def compare(latest_use: DataFrame, comparison: DataFrame) -> DataFrame:

@@ -61,8 +61,8 @@ def repair_reasons(items: DataFrame) -> DataFrame:
 
 
 def repair_crosstab(items: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
-    """Items in need of repair by two attributes, empty cells 0."""
-    return crosstab(needing_repair(items), row, column, values, fill=0)
+    """Items in need of repair by two attributes, empty cells 0, with unknown and unlisted values."""
+    return crosstab(needing_repair(items), row, column, values, fill=0, unknown="unknown", other="other")
 
 
 def divested_in_study(items: DataFrame, start: dt.date | None) -> DataFrame:
@@ -85,5 +85,5 @@ def divestments(items: DataFrame, by: str, start: dt.date | None = None) -> Data
 def divestment_matrix(
     items: DataFrame, row: str, ways: Sequence[str], start: dt.date | None = None
 ) -> DataFrame:
-    """Divested items by an attribute and the way they went."""
-    return crosstab(divested_in_study(items, start), row, "divestment_way", ways)
+    """Divested items by an attribute and the way they went, with unknown and unlisted ways."""
+    return crosstab(divested_in_study(items, start), row, "divestment_way", ways, unknown="unknown", other="other")

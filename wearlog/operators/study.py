@@ -82,14 +82,29 @@ def crosstab(
     values: Sequence[str],
     agg: Column | None = None,
     fill: float | None = None,
+    unknown: str | None = None,
+    other: str | None = None,
 ) -> DataFrame:
     """Matrix of a measure (rows by default), one column per listed value, in list order.
 
-    Spark aggregates by row and column first, so only one value per cell is pivoted.
+    Rows whose value is null or not in the list have columns of their own if ``unknown`` and
+    ``other`` name them; otherwise such a row is an error, so that none is lost. Spark aggregates
+    by row and column first, so only one value per cell is pivoted.
     """
     measure = F.count(F.lit(1)) if agg is None else agg
-    table = items.groupBy(row).pivot(column, list(values)).agg(measure)
-    return table if fill is None else table.fillna(fill, subset=list(values))
+    values, extra = list(values), [x for x in (unknown, other) if x is not None]
+    if set(extra) & set(values) or len(set(extra)) < len(extra):
+        raise ValueError(f"{extra} and the listed values must differ")
+    value = F.col(column).cast("string")
+
+    def remainder(name: str | None) -> Column:
+        missing = F.concat(F.lit(f"{column} is not listed: "), F.coalesce(value, F.lit("null")))
+        return F.raise_error(missing).cast("string") if name is None else F.lit(name)
+
+    label = F.when(value.isNull(), remainder(unknown)).when(value.isin(*values), value).otherwise(remainder(other))
+    placed = items.withColumn("_column", label)
+    table = placed.groupBy(row).pivot("_column", [*values, *extra]).agg(measure)
+    return table if fill is None else table.fillna(fill, subset=[*values, *extra])
 
 
 def _changes(items: DataFrame, keys: Sequence[str], start: dt.date) -> DataFrame:
@@ -232,6 +247,21 @@ def valuable_items(
     return found.select("user", "category", "item", "price").orderBy(price.desc(), "user", "category", "item")
 
 
+def largest_wardrobes(items: DataFrame) -> DataFrame:
+    """The user with most items and the one with most value; ties go to the first by name."""
+    sizes = items.groupBy("user").agg(F.count(F.lit(1)).alias("items"), loose_sum("price").alias("value"))
+
+    def first(measure: str) -> DataFrame:
+        return sizes.orderBy(F.col(measure).desc(), "user").limit(1).select(F.lit(measure).alias("largest_by"), "user", "items", "value")
+
+    return first("items").union(first("value"))
+
+
+def start_value_matrix(items: DataFrame, start: dt.date, categories: Sequence[str]) -> DataFrame:
+    """Value at the start of the study, user by category."""
+    return crosstab(owned_at_start(items, start), "user", "category", categories, loose_sum("price"))
+
+
 def totals(items: DataFrame) -> DataFrame:
     """Size of the study in one row."""
     return items.agg(
