@@ -17,7 +17,6 @@ from wearlog.operators import listings, portfolio, steps
 from wearlog.operators.cleaning import with_category_rank
 from wearlog.operators.usage import latest
 from wearlog.plans.reports import category_view
-from wearlog.sources.storage import materialised
 
 DAYS = ["user", "category", "date"]
 LEFT_OUT = ("PROMO",)
@@ -294,7 +293,7 @@ FROM use WHERE date = (SELECT max(date) FROM use)
 """,
 )
 def item_listing(spark, d):
-    ranked = with_category_rank(listings.item_listing(t.use(spark, d), t.end(spark, d)), t.dim(spark))
+    ranked = with_category_rank(listings.item_listing(t.use_today(spark, d), t.end(spark, d)), t.dim(spark))
     return listings.item_listing_order(ranked)
 
 
@@ -358,8 +357,24 @@ WHERE u.date = (SELECT max(date) FROM use)
 """,
 )
 def times_used(spark, d):
-    today = materialised(latest(t.use(spark, d), last=t.end(spark, d)), "today")
-    return listings.times_used(today, last_only=False).withColumns({c: F.round(c, 6) for c in BAND_COLUMNS})
+    return listings.times_used(t.use_today(spark, d), last_only=False).withColumns({c: F.round(c, 6) for c in BAND_COLUMNS})
+
+
+@query(
+    "L4_times_used_pooled",
+    f"""
+SELECT u."user", u.category, u.date, u.item, u.cumuse, u.days_active, u.active,
+       row_number() OVER (PARTITION BY u."user", u.date ORDER BY u.active, u.days_active DESC NULLS LAST, u.item) AS rownumber,
+       std1_low, std1_high, std2_low, std2_high
+FROM use u LEFT JOIN ({BANDS.replace('"user", category, date', '"user", date').replace("IS NOT NULL", "IS NOT NULL AND category IN ('SMALL', 'LARGE')")}) b
+  ON u."user" = b."user" AND u.date = b.date
+WHERE u.date = (SELECT max(date) FROM use) AND u.category IN ('SMALL', 'LARGE')
+""",
+)
+def times_used_pooled(spark, d):
+    """Two categories of a user ranked together."""
+    ranked = listings.times_used(t.use_today(spark, d), last_only=False, categories=["SMALL", "LARGE"], pooled=True)
+    return ranked.withColumns({c: F.round(c, 6) for c in BAND_COLUMNS})
 
 
 @query("L5_use_bands", BANDS)
@@ -375,7 +390,7 @@ FROM use WHERE date = (SELECT max(date) FROM use WHERE category IN ('SMALL', 'LA
 """,
 )
 def selected_categories(spark, d):
-    return category_view(t.use(spark, d), ["SMALL", "LARGE"], t.end(spark, d))
+    return category_view(t.use_today(spark, d), ["SMALL", "LARGE"], t.end(spark, d))
 
 
 ALLOCATED = """

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wearlog.functions.numeric import count_if
-from wearlog.operators.usage import usage_table
+from wearlog.operators.usage import last_state, usage_table
 from wearlog.schema import category_dim
 from wearlog.sources.storage import materialised
 
@@ -116,6 +116,11 @@ def use(spark: SparkSession, sf_dir: str, photos: bool = False) -> DataFrame:
     return usage_table(log(spark, sf_dir), items(spark, sf_dir), START, end(spark, sf_dir), photos=photos)
 
 
+def use_today(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day of the usage table."""
+    return last_state(log(spark, sf_dir), items(spark, sf_dir), START, end(spark, sf_dir), photos=False)
+
+
 def saved_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usage table on disk, for reports that read it more than once."""
     return materialised(use(spark, sf_dir), "usage")

@@ -94,7 +94,7 @@ FROM use WHERE date = (SELECT max(date) FROM use)
 """,
 )
 def latest_state(spark, d):
-    return cost_per_wear_today(t.use(spark, d), t.end(spark, d))
+    return cost_per_wear_today(t.use_today(spark, d), t.end(spark, d))
 
 
 @query(

@@ -46,6 +46,12 @@ def test_usage_table_shuffles_log_and_items_once(tables):
     assert "materials" not in plan(use)
 
 
+def test_last_state_generates_and_sorts_no_days(tables):
+    log, items = tables
+    text = plan(usage.last_state(log, items, day(1), day(28, 2)))
+    assert "Generate" not in text and "Window" not in text and "partial_max_by" in text
+
+
 def test_portfolio_adds_partial_sums_before_its_shuffles(tables):
     log, items = tables
     use = storage.materialised(usage.usage_table(log, items, day(1), day(28, 2)), "use")

@@ -88,7 +88,31 @@ def test_copies_of_an_item_multiply_the_log(spark):
     log = make_log(spark, [("a", day(1), True)])
     items = make_items(spark, [("a", 10.0, START, None, 0.0), ("a", 20.0, START, None, 0.0)])
     found = usage.cumulative_use(log, items)
-    assert sorted(r[0] for r in found.select("cumuse").collect()) == [1.0, 2.0]
+    assert rows(found, "price", "cumuse", "cost_per_use") == [(10.0, 1.0, 10.0), (20.0, 1.0, 20.0)]
+
+
+def test_each_copy_of_an_item_is_carried(spark):
+    log = make_log(spark, [("a", day(1), True), ("a", day(2), True), ("b", day(4), True)])
+    items = make_items(spark, [("a", 10.0, START, day(3), 0.0), ("a", 30.0, START, day(3), 1.0), ("b", 1.0, START, None, 0.0)])
+    found = usage.usage_table(log, items, START, day(4)).where("item = 'a'")
+    cheap = [(day(1), 10.0, 1.0, True), (day(2), 10.0, 2.0, True), (day(3), 10.0, 2.0, False), (day(4), 10.0, 2.0, False)]
+    dear = [(day(1), 30.0, 2.0, True), (day(2), 30.0, 3.0, True), (day(3), 30.0, 3.0, False), (day(4), 30.0, 3.0, False)]
+    assert rows(found.where("price = 10"), "date", "price", "cumuse", "active") == cheap
+    assert rows(found.where("price = 30"), "date", "price", "cumuse", "active") == dear
+
+
+def test_last_state_is_the_last_day_of_the_usage_table(spark):
+    rng = random.Random(12)
+    facts = [
+        (f"i{i}", rng.choice([None, 10.0, 30.0]), rng.choice([None, day(rng.randint(1, 5)), dt.date(2019, 12, 1)]), rng.choice([None, day(8)]), rng.choice([None, 0.0, 2.0]))
+        for i in range(40)
+    ]
+    facts.append((facts[0][0], 77.0, day(1), None, 5.0))
+    log = make_log(spark, [(f"i{i}", day(d), rng.choice([True, False, None])) for i in range(40) for d in range(1, rng.randint(3, 12))])
+    items = make_items(spark, facts).withColumn("photo", F.concat("item", F.lit(".png")))
+    whole, last = usage.usage_table(log, items, START, day(10)), usage.last_state(log, items, START, day(10))
+    assert last.schema.simpleString() == whole.schema.simpleString()
+    assert rows(last) == rows(usage.latest(whole, last=day(10)))
 
 
 def test_last_log_row_decides_on_carry_forward(spark):

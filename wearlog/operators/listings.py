@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,15 +84,28 @@ def category_listing(
     return rows.withColumn("turnover", ratio("yearly_cost", "categoryvalue"))
 
 
-def use_bands(use: DataFrame) -> DataFrame:
-    """Range of uses of the divested items per category and date."""
+def _chosen(use: DataFrame, categories: Sequence[str] | None, pooled: bool) -> tuple[DataFrame, list[str]]:
+    """Rows of the categories (all by default), and the keys of a ranking; pooled leaves out the category."""
+    use = use if categories is None else use.where(F.col("category").isin(*categories))
+    return use, ["user", "date"] if pooled else KEYS
+
+
+def use_bands(use: DataFrame, categories: Sequence[str] | None = None, pooled: bool = False) -> DataFrame:
+    """Range of uses of the divested items per category and date, or of several categories together."""
+    use, keys = _chosen(use, categories, pooled)
     bands = {"std1_low": 0.32, "std1_high": 0.68, "std2_low": 0.05, "std2_high": 0.95}
-    return exact_quantiles(use.where(~F.col("active")), KEYS, "cumuse", bands)
+    return exact_quantiles(use.where(~F.col("active")), keys, "cumuse", bands)
 
 
-def times_used(use: DataFrame, last_only: bool = True, last: Last = None) -> DataFrame:
-    """Items ranked by status and age per category and date, with the band of divested items."""
+def times_used(
+    use: DataFrame, last_only: bool = True, last: Last = None, categories: Sequence[str] | None = None, pooled: bool = False
+) -> DataFrame:
+    """Items ranked by status and age per category and date, with the band of divested items.
+
+    ``pooled`` ranks the chosen categories of a user together.
+    """
+    use, keys = _chosen(use, categories, pooled)
     rows = latest(use, last=last) if last_only else use
     narrow = rows.select(*KEYS, "item", "cumuse", "days_active", "active")
     order = [F.col("active").asc(), F.desc_nulls_last("days_active"), F.col("item").asc()]
-    return join_null_safe(row_positions(narrow, KEYS, order, "rownumber"), use_bands(narrow), KEYS, "left")
+    return join_null_safe(row_positions(narrow, keys, order, "rownumber"), use_bands(narrow, pooled=pooled), keys, "left")

@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wearlog import defaults
-from wearlog.functions.numeric import as_int, running_sum
-from wearlog.functions.scalars import _date, cost_per_use, day_increment, uses_per_month
+from wearlog.functions.numeric import as_int, count_if, running_sum, strict_sum
+from wearlog.functions.scalars import _date, cost_per_use, day_increment, days_before_start, uses_per_month
 from wearlog.operators.cleaning import drop_placeholders, photo_path, with_plot_size
 
 
+def _copies(df: DataFrame) -> list[str]:
+    return ["user", "item", *(["_copy"] if "_copy" in df.columns else [])]
+
+
 def _item_days(df: DataFrame):
     order = [F.asc_nulls_last("rank")] if "rank" in df.columns else []
-    return W.partitionBy("user", "item").orderBy(*order, "date")
+    return W.partitionBy(*_copies(df)).orderBy(*order, "date")
 
 
 MEASURES = ("price", "cumuse", "cost_per_use", "days_active", "use_per_month")
@@ -30,9 +34,15 @@ FACTS = ("price", "date_purchased", "date_divested", "used_init", "photo")
 
 
 def with_item_facts(log: DataFrame, items: DataFrame) -> DataFrame:
-    """Attach what the item list knows; items that are not listed drop out."""
+    """Attach what the item list knows; items that are not listed drop out.
+
+    An item that is listed several times has its log rows once per copy. ``_copy`` numbers them
+    by their facts, in the order of FACTS, so that each copy has sums and a last day of its own.
+    """
     facts = [c for c in FACTS if c in items.columns]
-    return log.join(items.select("user", "item", *facts), ["user", "item"])
+    order = W.partitionBy("user", "item").orderBy(*[F.asc_nulls_last(c) for c in facts])
+    copies = items.select("user", "item", *facts).withColumn("_copy", F.row_number().over(order))
+    return log.join(copies, ["user", "item"])
 
 
 def within_ownership(log: DataFrame, start: Column | dt.date, end: Column | dt.date) -> DataFrame:
@@ -88,7 +98,7 @@ def carry_forward(use: DataFrame, end: Column | dt.date) -> DataFrame:
     place from the last one, so nothing is computed or shuffled twice.
     """
     end = _date(end)
-    is_last = F.lead("date").over(W.partitionBy("user", "item").orderBy("date")).isNull()
+    is_last = F.lead("date").over(W.partitionBy(*_copies(use)).orderBy("date")).isNull()
     later = F.when(is_last & (F.col("date") < end), F.sequence(F.col("date"), end))
     return (
         use.withColumn("_days", F.coalesce(later, F.array("date")))
@@ -122,7 +132,57 @@ def usage_table(
     if with_path:
         use = use.withColumn("photo", photo_path(F.min("photo").over(W.partitionBy("user", "item"))))
     kept = [*log.columns, *MEASURES, *(["photo"] if with_path else [])]
-    return use.select(*kept).transform(carry_forward, end).transform(with_plot_size)
+    return use.select(*kept, "_copy").transform(carry_forward, end).drop("_copy").transform(with_plot_size)
+
+
+def last_state(
+    log: DataFrame,
+    items: DataFrame,
+    start: Column | dt.date,
+    end: Column | dt.date,
+    placeholders: tuple[str, ...] = defaults.PLACEHOLDER_ITEMS,
+    photos: bool = True,
+) -> DataFrame:
+    """The last day of ``usage_table``, for a log with one row per item and day at most.
+
+    One grouping of the owned days with partial sums: no day is generated or sorted to be
+    dropped again.
+    """
+    start, end = _date(start), _date(end)
+    with_path = photos and "photo" in items.columns
+    owned = items.groupBy("user", "item").agg(
+        F.max("date_purchased").alias("_from"),
+        F.min("date_divested").alias("_to"),
+        *([F.min("photo").alias("_photo")] if with_path else []),
+    )
+    first, last = F.greatest(F.col("_from"), start), F.least(F.col("_to"), end)
+    days = drop_placeholders(log, placeholders).join(owned, ["user", "item"]).where((F.col("date") >= first) & (F.col("date") <= last))
+    others = [c for c in log.columns if c not in ("user", "item", "date")]
+    sums = days.groupBy("user", "item").agg(
+        F.max_by(F.struct(*others), "date").alias("_last"),
+        F.max("date").alias("_last_day"),
+        strict_sum(as_int("used")).alias("_uses"),
+        F.count(F.lit(1)).alias("_days"),
+        count_if(F.col("date") == start).alias("_first_days"),
+        *([F.min("_photo").alias("_photo")] if with_path else []),
+    )
+    facts = [c for c in FACTS if c in items.columns and c != "photo"]
+    before = F.when(F.col("_first_days") == 0, F.lit(0)).otherwise(F.col("_first_days") * days_before_start("date_purchased", start))
+    state = (
+        sums.join(items.select("user", "item", *facts), ["user", "item"])
+        .withColumn("cumuse", F.col("_uses") + F.col("used_init"))
+        .withColumn("cost_per_use", cost_per_use("price", "cumuse"))
+        .withColumn("days_active", (F.col("_days") - F.col("_first_days") + before).cast("int"))
+        .withColumn("use_per_month", uses_per_month("cumuse", "days_active", defaults.DAYS_PER_MONTH))
+        .withColumn("active", F.col("_last_day") == end)
+        .withColumn("date", end)
+        .withColumns({c: F.col("_last")[c] for c in others})
+        .withColumn("used", F.col("used") & F.col("active"))
+    )
+    if with_path:
+        state = state.withColumn("photo", photo_path("_photo"))
+    kept = [*log.columns, *MEASURES, *(["photo"] if with_path else []), "active"]
+    return state.select(*kept).transform(with_plot_size)
 
 
 def latest(df: DataFrame, column: str = "date", last: Column | dt.date | None = None) -> DataFrame:
