@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wearlog.sources.storage import materialised
+
 #: The kinds in their order, and the patterns that define them.
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -216,7 +218,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Formats |
         rows = [(k, v) for k, values in held.items() for v in _smallest(values, sample)]
         yield pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in rows], pa.string()), "value": pa.array([r[1] for r in rows], pa.string())})
 
-    found = docs.select(text).mapInArrow(examples, "kind string, value string").distinct()
+    found = materialised(docs.select(text).mapInArrow(examples, "kind string, value string").distinct(), "examples")
     chosen: dict[str, list[str]] = {}
     for kind in ("", *KINDS[:3]):
         picked = found.where(F.col("kind") == kind).orderBy(F.sha2("value", 256)).limit(sample)
