@@ -32,7 +32,7 @@ from wearlog.operators.joins import join_null_safe
 from wearlog.sources.storage import materialised
 
 BLOCK = 128
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 20
 #: Fixed value: a word, everything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
