@@ -319,10 +319,8 @@ SELECT "user", category, itemcount, categoryvalue, round(daily_cost, 6) AS daily
 
 
 def listing(spark, d, totals):
-    use = t.saved_use(spark, d)
-    table = listings.category_listing(
-        portfolio.inventory(use, one_row_per_day=True), portfolio.use_to_date(use), t.dim(spark), totals, t.end(spark, d)
-    )
+    reports = portfolio.category_reports(t.use(spark, d), one_row_per_day=True)
+    table = listings.category_listing(reports, t.dim(spark), totals, t.end(spark, d))
     return table.withColumns({c: F.round(c, 6) for c in ("daily_cost", "category_use", "yearly_cost", "turnover")})
 
 

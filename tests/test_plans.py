@@ -60,6 +60,7 @@ def test_portfolio_adds_partial_sums_before_its_shuffles(tables):
     for unused in ("photo", "plot_size", "days_active"):
         assert unused not in plan(stock)
     assert len(exchanges(portfolio.use_to_date(use))) == 2
+    assert len(exchanges(portfolio.category_reports(use, one_row_per_day=True))) == 2
 
 
 def test_daily_cost_shuffles_only_used_rows(tables):

@@ -40,21 +40,16 @@ def item_listing_order(dim_ranked: DataFrame) -> DataFrame:
     )
 
 
-def category_listing(
-    inventory: DataFrame, use_to_date: DataFrame, dim: DataFrame, totals: bool = True, last: Last = None
-) -> DataFrame:
+def category_listing(reports: DataFrame, dim: DataFrame, totals: bool = True, last: Last = None) -> DataFrame:
     """Categories as of the last day, with a totals row on top of each wardrobe.
 
-    Categories without active items drop out. The turnover of the totals row follows from
+    Reads ``portfolio.category_reports``. Categories without active items drop out. The turnover of the totals row follows from
     the totals; measures that do not add up are empty there. Each row is also counted under
     the total, so both levels come from one pass.
     """
-    if last is None:
-        last = use_to_date.select(F.max("date")).scalar()
-    stock = latest(inventory, last=last).select(*KEYS, "itemcount", "categoryvalue")
     rows = (
-        latest(use_to_date, last=last)
-        .join(stock, KEYS)
+        latest(reports, last=last)
+        .where(F.col("itemcount") > 0)
         .join(dim.select("category", "rank"), "category", "left")
         .select(
             "user", "category", "rank", "itemcount", "categoryvalue", "daily_cost", "category_use", "yearly_cost"

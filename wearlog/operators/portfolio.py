@@ -20,6 +20,10 @@ from wearlog.operators.joins import join_null_safe
 
 KEYS = ["user", "category", "date"]
 
+# The report columns itemcount, categoryvalue, rolling_category_use, category_turnaround,
+# category_use, daily_cost, yearly_cost, inventoryvalue, avg_use_per_month_divested and
+# avg_cost_per_use_divested are named as their readers expect.
+
 
 def with_price(use: DataFrame, items: DataFrame) -> DataFrame:
     """Attach the price by user, category and item, for tables that do not carry it."""
@@ -96,13 +100,24 @@ def use_to_date(use: DataFrame, year_days: int = 365) -> DataFrame:
         loose_sum("cumuse").alias("cumuse"),
         loose_sum("price").alias("category_value"),
     )
+    return with_cost_to_date(with_use_share(days), year_days).drop("category_used")
+
+
+def with_cost_to_date(days: DataFrame, year_days: int = 365) -> DataFrame:
+    """Cost per wear to date and yearly cost, from days with the share of days used."""
     yearly = F.col("daily_cost") * year_days * F.col("category_use")
-    return (
-        with_use_share(days)
-        .withColumn("daily_cost", ratio("category_value", "cumuse"))
-        .withColumn("yearly_cost", yearly)
-        .drop("category_used")
-    )
+    return days.withColumn("daily_cost", ratio("category_value", "cumuse")).withColumn("yearly_cost", yearly)
+
+
+def category_reports(use: DataFrame, window: int = 30, one_row_per_day: bool = False, year_days: int = 365) -> DataFrame:
+    """All columns of ``inventory`` and ``use_to_date`` in one table, from one grouping.
+
+    Days without active items are kept, with ``itemcount`` 0.
+    """
+    days = with_rolling_use(category_days(use, one_row_per_day), window)
+    turnaround = F.when(F.col("itemcount") > 0, F.col("category_turnaround"))
+    days = with_turnaround(days, window).withColumn("category_turnaround", turnaround)
+    return with_cost_to_date(with_use_share(days), year_days)
 
 
 def with_monthly_cost(use_to_date_table: DataFrame) -> DataFrame:

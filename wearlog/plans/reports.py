@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wearlog.operators.cleaning import apply_category_changes, clean_study, for_users, normalise_currency
 from wearlog.operators.daily_cost import daily_cost
 from wearlog.operators.listings import category_listing, item_listing
-from wearlog.operators.portfolio import divested_averages, inventory, use_to_date
+from wearlog.operators.portfolio import category_reports, divested_averages
 from wearlog.operators.usage import latest, usage_table
 from wearlog.sources.storage import materialised
 from wearlog.sources.wide import sheet_items, sheet_range, to_log
@@ -41,20 +41,20 @@ def category_view(
 def refresh(sheet: DataFrame, dim: DataFrame, start: Column | dt.date | None = None) -> dict[str, DataFrame]:
     """All tables of one diary sheet: usage, portfolio, daily cost and listings.
 
-    The usage table is written once and read by every report.
+    The usage table is written once and read by every report; it is grouped by category and day once.
     """
     first, last = sheet_range(sheet)
     items = sheet_items(sheet)
     use = materialised(usage_table(to_log(sheet), items, start or first, last), "usage")
-    stock, to_date = inventory(use), use_to_date(use)
+    reports = materialised(category_reports(use), "reports")
     return {
         "usage": use,
-        "inventory": stock,
-        "use_to_date": to_date,
+        "inventory": reports.where(F.col("itemcount") > 0).drop("cumuse", "category_value", "category_use", "daily_cost", "yearly_cost"),
+        "use_to_date": reports.drop("itemcount", "categoryvalue", "category_used", "rolling_category_use", "category_turnaround"),
         "daily_cost": daily_cost(use),
         "divested_averages": divested_averages(use),
         "item_listing": item_listing(use, last),
-        "category_listing": category_listing(stock, to_date, dim, last=last),
+        "category_listing": category_listing(reports, dim, last=last),
     }
 
 
