@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,16 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert rows(storage.materialised(spark.range(3).toDF("n"))) == [(0,), (1,), (2,)]
 
 
+def test_discarded_tables_leave_nothing(spark):
+    table = storage.materialised(spark.range(5).toDF("n"), "gone")
+    folder = table.inputFiles()[0].rpartition("/")[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(folder)
+    storage.discard(table)
+    assert not os.path.exists(folder)
+    elsewhere = spark.range(1).toDF("n")
+    storage.discard(elsewhere)  # not a scratch table: nothing happens
+
+
 @pytest.mark.parametrize(
     ("header", "columns", "days"),
     [

@@ -87,7 +87,7 @@ def wears_per_wash(items: DataFrame) -> DataFrame:
 
 def mean_wears_per_wash(per_item: DataFrame) -> DataFrame:
     # Summed as decimals: the addends have one digit, so the mean does not depend on their order.
-    exact = F.avg(F.col("wears_per_wash").cast("decimal(18,1)")).cast("double")
+    exact = F.avg(F.col("wears_per_wash").cast("decimal(38,1)")).cast("double")
     return per_item.groupBy("user", "category").agg(rounded(exact, 1).alias("wears_per_wash"))
 
 
@@ -113,7 +113,7 @@ def divested_age(items: DataFrame, start: dt.date) -> DataFrame:
 
 
 def mean_divested_age(divested: DataFrame) -> DataFrame:
-    exact = F.avg(F.col("wardrobe_age").cast("decimal(18,1)")).cast("double")
+    exact = F.avg(F.col("wardrobe_age").cast("decimal(38,1)")).cast("double")
     return divested.groupBy("category").agg(
         F.count(F.lit(1)).alias("items"), rounded(exact, 1).alias("avg_wardrobe_age_years")
     )

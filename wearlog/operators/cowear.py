@@ -13,6 +13,7 @@ from wearlog.functions.scalars import item_label, label_category, label_item
 from wearlog.operators.ordered import row_positions
 
 CHUNK_ITEMS = 256
+SPREAD = 8
 
 
 def used_by_date(
@@ -63,7 +64,11 @@ def cowear_pairs(used: DataFrame, keys: Sequence[str] = ("user",), chunk_items:
     day = [*keys, "date"]
     entries = used.select(*day, "item").distinct()
     sizes = entries.groupBy(*day).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_items))).alias("_chunks"))
-    placed = entries.join(sizes, day).withColumn("_chunk", F.pmod(F.xxhash64("item"), F.col("_chunks")))
+    # The number of chunks is looked up in parts, so that a day with very many items is no single key.
+    spot = F.pmod(F.xxhash64("item"), F.lit(SPREAD)).alias("_spot")
+    spread = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("_spot"))
+    placed = entries.select("*", spot.cast("long").alias("_spot")).join(spread, [*day, "_spot"]).drop("_spot")
+    placed = placed.withColumn("_chunk", F.pmod(F.xxhash64("item"), F.col("_chunks")))
     cell = ["_first", "_second"]
     left = placed.select(
         *day,

@@ -21,7 +21,7 @@ ONE_WEAR = 0.1  # wears per month that a single wear in a year rounds to
 
 def _exact_sum(column: str) -> Column:
     """Sum of one-digit numbers that does not depend on their order."""
-    return F.sum(F.col(column).cast("decimal(18,1)")).cast("double")
+    return F.sum(F.col(column).cast("decimal(38,1)")).cast("double")
 
 
 def wpm_items(items: DataFrame, start: dt.date, months_tracked: int = 12) -> DataFrame:
@@ -124,13 +124,13 @@ def category_wpm(wears: DataFrame, categories: Sequence[str], months_tracked: in
 
 def mean_category_wpm(wears: DataFrame, months_tracked: int = 12) -> DataFrame:
     """Mean over users of the category rate: the column means of the matrix."""
-    rate = rounded(F.col("total_wears") / F.lit(float(months_tracked)), 1).cast("decimal(18,1)")
+    rate = rounded(F.col("total_wears") / F.lit(float(months_tracked)), 1).cast("decimal(38,1)")
     return wears.groupBy("category").agg(F.avg(rate).cast("double").alias("mean_category_wpm"))
 
 
 def mean_category_wears(wears: DataFrame) -> DataFrame:
     """Means over users of the category measures."""
-    supply = F.avg(F.col("supply_in_years").cast("decimal(18,1)")).cast("double")
+    supply = F.avg(F.col("supply_in_years").cast("decimal(38,1)")).cast("double")
     return wears.groupBy("category").agg(
         rounded(F.avg("total_wears")).alias("avg_total_wears"),
         rounded(F.avg("avg_wears")).alias("avg_wears"),
