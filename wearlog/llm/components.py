@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearlog.sources.storage import materialised
+from wearlog.sources.storage import discard, materialised
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,8 +28,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hung = large.union(roots).where("u != v").distinct()
         down = hung.groupBy("u").agg(F.min("v").alias("m"))
         small = hung.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = small.union(down.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialised(edges, "links")
+        hung = materialised(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(edges)
+        edges = hung
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             roots = edges.select(F.col("v").alias("node")).distinct()
