@@ -13,8 +13,8 @@ when the intersection is at least ``percent`` hundredths of the union.
    order that differs from n-gram to n-gram, which is linear in the group. Linked nodes form
    components. Then only nodes of *different* components of an n-gram meet: of a group of near
    copies, however large, hardly any are left.
-5. *Filters.* Sizes may differ by t at most; positions bound what can still be shared, where members
-   ahead that no other prefix has do not count; sets whose
+5. *Filters.* Sizes may differ by t at most; what lies from the first shared n-gram on must be
+   enough in both; sets whose
    n-grams fall too differently into 64 hash classes (the suffix filter, taken over the whole set)
    cannot overlap enough.
 6. *Verification.* Each pair that remains is compared once, on the full sets.
@@ -103,12 +103,12 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 def _fits(percent: int) -> Column:
     """Length and positional filter for a pair that shares an n-gram.
 
-    What two sets share ahead of it lies in the prefixes of both, so only members that several
-    prefixes have count there (``before``); from it on, all do (``rest``).
+    Two sets that link do so at the first n-gram they share, which is in both prefixes: all they
+    share lies from it on (``rest``). A pair may fail here at its later n-grams.
     """
     a, b = F.col("size_a"), F.col("size_b")
-    most = F.least("before_a", "before_b") + F.least("rest_a", "rest_b")
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (most >= _needed(a, b, percent))
+    long_enough = F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    return long_enough & (F.least("rest_a", "rest_b") >= _needed(a, b, percent))
 
 
 def _alike(percent: int) -> Column:
@@ -174,28 +174,27 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     """The component of each node that links."""
     grams = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    of_node = W.partitionBy("node")
-    met = grams.join(shared, "gram").withColumn("before", F.row_number().over(of_node.orderBy("pos")) - 1)
-    met = materialised(met.select("gram", "node", "size", "before", (F.col("size") - F.col("pos")).alias("rest"), "n"), "met")
+    met = grams.join(shared, "gram").select("gram", "node", "size", (F.col("size") - F.col("pos")).alias("rest"), "n")
+    met = materialised(met, "met")
 
     def side(row: str, of: str) -> list[Column]:
-        return [F.col(row + c).alias(f"{'' if c == 'node' else c + '_'}{of}") for c in ("node", "size", "before", "rest")]
+        return [F.col(row + c).alias(f"{'' if c == 'node' else c + '_'}{of}") for c in ("node", "size", "rest")]
 
-    hubs = met.groupBy("gram").agg(F.min(F.struct("node", "size", "before", "rest")).alias("hub"))
+    hubs = met.groupBy("gram").agg(F.min(F.struct("node", "size", "rest")).alias("hub"))
     hub_pairs = met.join(hubs, "gram").where("node != hub.node").select(*side("", "a"), *side("hub.", "b"))
     # A group is cut into parts of about GROUP nodes, so that no task has to hold a whole one.
     order = W.partitionBy("gram", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP))).orderBy(F.xxhash64("gram", "node"), "node")
-    nexts = [F.lead(F.struct("node", "size", "before", "rest"), k).over(order) for k in (1, 2)]
+    nexts = [F.lead(F.struct("node", "size", "rest"), k).over(order) for k in (1, 2)]
     beside = met.where("n > 2").select(*side("", "a"), F.array(*nexts).alias("nexts"))
     side_pairs = beside.select("*", F.explode("nexts").alias("next")).where("next is not null")
-    side_pairs = side_pairs.select("a", "size_a", "before_a", "rest_a", *side("next.", "b"))
+    side_pairs = side_pairs.select("a", "size_a", "rest_a", *side("next.", "b"))
     few = hub_pairs.union(side_pairs).where(_fits(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     few = materialised(few, "few")
     first = _verified(few, nodes, docs, n, percent)
     found = components(first)
 
     named = met.join(found.select("node", "component"), "node", "left").select(
-        "gram", "node", "size", "before", "rest", F.coalesce("component", "node").alias("component")
+        "gram", "node", "size", "rest", F.coalesce("component", "node").alias("component")
     )
     several = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gram")
     mixed = materialised(named.join(several, "gram"), "mixed")
