@@ -70,6 +70,14 @@ def test_small_corpus_and_probabilities_add_up(spark):
         assert sum(p3(t, u, w) for w in one) + p3(t, u, "unseen") == pytest.approx(1)
 
 
+@pytest.mark.parametrize("share", [2.0**-21, 0.05, 0.5, 1.0])
+def test_arcs_do_not_depend_on_the_size_of_the_corpus(spark, share):
+    texts = ["a b c a b d", "a b c", "x a b", "a b c a b c a b", "b a", "d d d x", "new words a b c", "x a b c", "d d"]
+    rows = [(i, t, i % 4 != 3) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3)
+    compare(lm.train_and_score(df, F.col("learn"), ~F.col("learn"), share=share).collect(), brute(rows, 2)[0])
+
+
 def test_odd_rows(spark):
     docs = cases.odd_docs(spark)
     learn = F.col("doc_id") % 3 != 1

@@ -3,21 +3,22 @@
 Tokens of a text: its words (A-Z lower-cased), then one end mark. The mark is also the state in
 which every text begins.
 
-*Counting.* All words of all training texts are counted exactly. An n-gram of two or more words
-gets a state if its share of the training tokens is at least ``share``; hashed counts in 2^24
-cells, which never fall short, first tell which n-grams may reach it, and only those are counted
-exactly. At most ``1 / share`` n-grams of an order can have that share, whatever the size of the
-corpus, so the automaton may be broadcast. The counts themselves stay distributed.
+*Counting.* All words of all training texts are counted exactly, and all n-grams of two or three
+words that occur ``LEAST`` times, whatever the size of the corpus; those are the states and arcs.
+Hashed counts in 2^24 cells, which never fall short, first leave out n-grams that surely do not.
 
-*States.* A state is a word or word pair with such a share. From state h the arc for word w has
+*States.* A state is a word or a counted word pair. From state h the arc for word w has
 probability ``(c(hw) - d) / c(h)``. Without an arc the automaton takes the failure arc to the
 state without h's first word, whose weight spreads what the arcs have left over the words that h
 has no arc for. In the root every word has ``(c + 1) / (N + V + 1)``, so a word never seen has a
 probability too and all probabilities of a state add up to 1.
 
-*Scoring.* One pass over a text, left to right. After a token the state is the longest suffix
-that has one, so it depends on two tokens at most and all texts of a slice are traversed together.
-Root arcs of words too rare for the automaton are looked up by one join on the word.
+*Scoring.* A text's weight is a sum over its n-grams, each looked up by itself: a word has its root
+weight and its failure weight as a state, a pair or triple what its arc differs from the way
+through the failure arc, and a pair its failure weight besides; an n-gram without an arc has 0.
+States, arcs and weights stay in a distributed table and are found by one join, pre-aggregated by
+text. N-grams with at least ``share`` of the training tokens, at most ``1 / share`` of an order, are
+also broadcast, so that frequent ones need no join; the result does not depend on it.
 
 Behaviour: null and empty texts have the end mark as their only token. Rows with a null doc_id are
 scored, not learned from, and have a null ``held_out``. Repeated rows are scored and learned from
@@ -27,12 +28,14 @@ as often as they occur. Other columns are not read. Without training rows every
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ from wearlog.llm import words
 from wearlog.llm.cells import cell_of, count_cells
 from wearlog.sources.storage import materialised
 
+#: Fixed value: pairs and triples that occur less often have no arc.
+LEAST = 2
 SHARE = 2.0**-21
 DISCOUNT = 0.75
 CELL_BITS = 24
@@ -89,17 +94,12 @@ def tokens(texts: pa.Array) -> Iterator[Tokens]:
 
 
 @dataclass
-class Automaton:
-    """Sorted keys of the states and arcs with their log10 weights."""
+class Frequent:
+    """Sorted keys of the most frequent n-grams of a length and their log10 weights."""
 
-    word_key: np.ndarray
-    word_log: np.ndarray
-    word_back: np.ndarray
-    pair_key: np.ndarray
-    pair_log: np.ndarray
-    pair_back: np.ndarray
-    triple_key: np.ndarray
-    triple_log: np.ndarray
+    key: np.ndarray
+    base: np.ndarray
+    full: np.ndarray
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,51 +110,6 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
-def build(word: dict, pair: dict, triple: dict, n: int, v: int, discount: float = DISCOUNT) -> Automaton:
-    """Automaton from counts: dictionaries of arrays key, n, context, lower, by ascending key."""
-    root = np.log10((word["n"] + 1) / (n + v + 1))
-
-    def arcs(own: dict, context: dict, lower_key: np.ndarray, lower_log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, _ = find(context["key"], own["context"])
-        p = (own["n"] - discount) / context["n"][at] if len(at) else np.zeros(0)
-        below, _ = find(lower_key, own["lower"])
-        lower = 10 ** lower_log[below] if len(at) else np.zeros(0)
-        taken = np.bincount(at, p, len(context["key"])) if len(at) else np.zeros(len(context["key"]))
-        covered = np.bincount(at, lower, len(context["key"])) if len(at) else np.zeros(len(context["key"]))
-        back = np.log10(np.maximum(1 - taken, 1e-9) / np.maximum(1 - covered, 1e-9))
-        return np.log10(p), back
-
-    pair_log, word_back = arcs(pair, word, word["key"], root)
-    triple_log, pair_back = arcs(triple, pair, pair["key"], pair_log)
-    return Automaton(word["key"], root, word_back, pair["key"], pair_log, pair_back, triple["key"], triple_log)
-
-
-def traverse(model: Automaton, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: log weight without the root arcs of rare words, root log weight, in the automaton.
-
-    A rare word has root weight 0 here; it always goes through the root, so its root weight is
-    added to the first result and the second alike.
-    """
-    at_word, in_word = find(model.word_key, t.token)
-    root = np.where(in_word, model.word_log[at_word], 0.0) if len(model.word_key) else np.zeros(len(t.token))
-    at_pair, in_pair = find(model.pair_key, t.pair)
-    at_triple, in_triple = find(model.triple_key, t.triple)
-    in_triple &= t.has_triple
-    # Failure arcs: from a pair state to its last word, from a word state to the root.
-    at_context, in_context = find(model.pair_key, t.context)
-    in_context &= t.has_triple
-    at_before, in_before = find(model.word_key, t.before)
-    lower = root.copy()
-    if len(model.word_key):
-        lower += np.where(in_before, model.word_back[at_before], 0.0)
-    if len(model.pair_key):
-        lower = np.where(in_pair, model.pair_log[at_pair], lower)
-        lower = lower + np.where(in_context, model.pair_back[at_context], 0.0)
-    if len(model.triple_key):
-        lower = np.where(in_triple, model.triple_log[at_triple], lower)
-    return lower, root, in_word
-
-
 def _grouped(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Distinct keys with their counts and other columns."""
     columns = [np.concatenate(c) for c in zip(*parts)]
@@ -162,10 +117,16 @@ def _grouped(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return (key, count, *[c[first] for c in columns[1:]])
 
 
-def count_ngrams(train: DataFrame, share: float = SHARE) -> tuple[DataFrame, int, int, int]:
-    """Counts of all words and of the pairs and triples that may reach the share.
+def _may(cells: dict[str, np.ndarray], name: str, keys: np.ndarray) -> np.ndarray:
+    """False for keys that surely have less than ``LEAST`` occurrences."""
+    cell = cell_of(keys, CELL_BITS)
+    return (cells[name][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+
 
-    Returns the saved table (length, key, n, context, lower), N, V and the least count of a state.
+def count_ngrams(train: DataFrame) -> tuple[DataFrame, int, int, Broadcast]:
+    """Counts of all words and of the pairs and triples with at least ``LEAST`` occurrences.
+
+    Returns the saved table (length, key, n, context, lower), N, V and the cells that reach ``LEAST``.
     """
 
     def hashed(batch: pa.RecordBatch):
@@ -175,12 +136,7 @@ def count_ngrams(train: DataFrame, share: float = SHARE) -> tuple[DataFrame, int
 
     cells = count_cells(train, {"pair": CELL_BITS, "triple": CELL_BITS}, hashed)
     n_tokens = int(cells["pair"].sum(dtype=np.int64))
-    least = max(2, int(np.ceil(share * n_tokens)))
-    likely = train.sparkSession.sparkContext.broadcast({k: np.packbits(v >= least) for k, v in cells.items()})
-
-    def may(name: str, keys: np.ndarray) -> np.ndarray:
-        cell = cell_of(keys, CELL_BITS)
-        return (likely.value[name][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+    likely = train.sparkSession.sparkContext.broadcast({k: np.packbits(v >= LEAST) for k, v in cells.items()})
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {1: [], 2: [], 3: []}
@@ -202,9 +158,9 @@ def count_ngrams(train: DataFrame, share: float = SHARE) -> tuple[DataFrame, int
         for batch in batches:
             for t in tokens(batch.column(0)):
                 held[1].append((t.token,))
-                k = may("pair", t.pair)
+                k = _may(likely.value, "pair", t.pair)
                 held[2].append((t.pair[k], t.before[k], t.token[k]))
-                k = may("triple", t.triple) & t.has_triple
+                k = _may(likely.value, "triple", t.triple) & t.has_triple
                 held[3].append((t.triple[k], t.context[k], t.pair[k]))
                 size += len(t.token)
                 if size >= CHUNK_TOKENS:
@@ -213,25 +169,47 @@ def count_ngrams(train: DataFrame, share: float = SHARE) -> tuple[DataFrame, int
         yield from flush()
 
     rows = train.mapInArrow(partial, "length int, key long, n long, context long, lower long")
-    counts = materialised(rows.groupBy("length", "key").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("lower").alias("lower")), "counts")
+    counts = rows.groupBy("length", "key").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("lower").alias("lower"))
+    counts = materialised(counts.where((F.col("length") == 1) | (F.col("n") >= LEAST)), "counts")
     v = counts.where("length = 1").count()
-    return counts, n_tokens, v, least
-
-
-def automaton(counts: DataFrame, n: int, v: int, least: int) -> Automaton:
-    """At most N / least states of each length come to the driver."""
-
-    def of(length: int) -> dict:
-        table = counts.where((F.col("length") == length) & (F.col("n") >= least)).select("key", "n", "context", "lower").toArrow()
-        columns = {name: table[name].to_numpy() for name in table.column_names}
-        key = columns["key"].astype(np.int64).view(np.uint64)
+    return counts, n_tokens, v, likely
+
+
+def weigh(counts: DataFrame, n: int, v: int, discount: float = DISCOUNT) -> DataFrame:
+    """Saved table (length, key, n, base, full): what an n-gram adds to a text's two log10 scores."""
+
+    def arcs(own: DataFrame, context: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Arcs with their probability and that of the shorter one; failure weights of the states."""
+        found = own.join(context.select(F.col("key").alias("context"), F.col("n").alias("of")), "context")
+        found = found.join(lower.select(F.col("key").alias("lower"), F.col("p").alias("below")), "lower")
+        found = materialised(found.select("key", "n", "context", ((F.col("n") - discount) / F.col("of")).alias("p"), "below"), "arcs")
+        left = lambda name: F.greatest(1 - F.sum(name), F.lit(1e-9))
+        return found, materialised(found.groupBy("context").agg(F.log10(left("p") / left("below")).alias("back")), "failures")
+
+    of = lambda length: counts.where(F.col("length") == length).select("key", "n", "context", "lower")
+    word = of(1).withColumn("p", (F.col("n") + 1) / F.lit(float(n + v + 1)))
+    pair, word_back = arcs(of(2), word, word)
+    triple, pair_back = arcs(of(3), pair, pair)
+    gain = F.log10("p") - F.log10("below") - F.col("back")
+    as_state = lambda back: back.withColumnsRenamed({"context": "key", "back": "after"})
+    after = F.coalesce("after", F.lit(0.0))
+    none = F.lit(0.0).alias("base")
+    words_of = word.join(as_state(word_back), "key", "left").select(F.lit(1).alias("length"), "key", "n", F.log10("p").alias("base"), (F.log10("p") + after).alias("full"))
+    pairs = pair.join(word_back, "context").join(as_state(pair_back), "key", "left").select(F.lit(2).alias("length"), "key", "n", none, (gain + after).alias("full"))
+    triples = triple.join(pair_back, "context").select(F.lit(3).alias("length"), "key", "n", none, gain.alias("full"))
+    return materialised(words_of.union(pairs).union(triples), "weights")
+
+
+def frequent(weights: DataFrame, least: int) -> dict[int, Frequent]:
+    """At most N / least n-grams of each length come to the driver."""
+
+    def of(length: int) -> Frequent:
+        table = weights.where((F.col("length") == length) & (F.col("n") >= least)).select("key", "base", "full").toArrow()
+        key = table["key"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(key)
-        out = {"key": key[order], "n": columns["n"][order].astype(np.int64)}
-        if length > 1:
-            out |= {name: columns[name].astype(np.int64).view(np.uint64)[order] for name in ("context", "lower")}
-        return out
+        return Frequent(key[order], *[table[name].to_numpy().astype(np.float64)[order] for name in ("base", "full")])
 
-    return build(of(1), of(2), of(3), n, v)
+    return {length: of(length) for length in (1, 2, 3)}
 
 
 def train_and_score(
@@ -242,51 +220,73 @@ def train_and_score(
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), learn.alias("learn"), held_out.alias("held_out"))
-    counts, n, v, least = count_ngrams(rows.where("learn").select("text"), share)
-    model = docs.sparkSession.sparkContext.broadcast(automaton(counts, n, v, least))
+    counts, n, v, likely = count_ngrams(rows.where("learn").select("text"))
+    weights = weigh(counts, n, v)
+    least = max(LEAST, int(np.ceil(share * n)))
+    model = docs.sparkSession.sparkContext.broadcast(frequent(weights, least))
+    unseen = -math.log10(n + v + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            parts: list[list] = [[] for _ in range(6)]
+            parts: list[list] = [[] for _ in range(7)]
             for t in tokens(batch.column(2)):
-                full, root, known = traverse(model.value, t)
                 texts = len(t.count)
-                rare = np.flatnonzero(~known)
-                order = rare[np.lexsort((t.token[rare], t.text[rare]))]
-                key, text_of = t.token[order], t.text[order]
-                new = np.r_[True, (key[1:] != key[:-1]) | (text_of[1:] != text_of[:-1])] if len(order) else np.zeros(0, bool)
+                base, full = np.full(len(t.token), unseen), np.full(len(t.token), unseen)
+                rare = []
+                for length, key in ((1, t.token), (2, t.pair), (3, t.triple)):
+                    m = model.value[length]
+                    at, known = find(m.key, key)
+                    asked = ~known
+                    if length == 1:
+                        in_words = known
+                        base[known], full[known] = m.base[at[known]], m.full[at[known]]
+                    else:
+                        asked &= _may(likely.value, "pair" if length == 2 else "triple", key)
+                        if length == 3:
+                            known, asked = known & t.has_triple, asked & t.has_triple
+                        full[known] += m.full[at[known]]
+                    asked = np.flatnonzero(asked)
+                    rare.append((t.text[asked], np.full(len(asked), length, np.int32), key[asked]))
+                text_of, length_of, key = (np.concatenate(c) for c in zip(*rare))
+                order = np.lexsort((key, length_of, text_of))
+                text_of, length_of, key = text_of[order], length_of[order], key[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (key[1:] != key[:-1]) | (length_of[1:] != length_of[:-1]) | (text_of[1:] != text_of[:-1])
                 first = np.flatnonzero(new)
                 times = np.diff(np.r_[first, len(order)])
                 many = np.bincount(text_of[first], minlength=texts)
-                lists = [key[first].view(np.int64), times.astype(np.int64)]
+                lists = [length_of[first], key[first].view(np.int64), times.astype(np.int64)]
                 edges = np.r_[0, np.cumsum(many)].astype(np.int32)
-                for k, x in enumerate((t.count, np.bincount(t.text, known, texts).astype(np.int64), np.bincount(t.text, root, texts), np.bincount(t.text, full, texts))):
+                for k, x in enumerate((t.count, np.bincount(t.text, in_words, texts).astype(np.int64), np.bincount(t.text, base, texts), np.bincount(t.text, full, texts))):
                     parts[k].append(pa.array(x))
                 for k, x in enumerate(lists):
                     parts[4 + k].append(pa.ListArray.from_arrays(pa.array(edges), pa.array(x)))
             n_rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + n_rows)), batch.column(0), batch.column(1), *[pa.concat_arrays(p) for p in parts]],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_states", "base_part", "score_part", "rare", "times"],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_states", "base_part", "score_part", "length", "rare", "times"],
             )
             row += n_rows
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_states long, base_part double, score_part double, rare array<long>, times array<long>"
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_states long, base_part double, score_part double, length array<int>, rare array<long>, times array<long>"
     scored = materialised(rows.select("doc_id", "held_out", "text").mapInArrow(score, schema), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    known = counts.where((F.col("length") == 1) & (F.col("n") < least)).select("key", "n")
-    root = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n + v + 1)))
-    of_row = rare.join(known, "key", "left").groupBy("row").agg(
-        F.sum(F.col("times") * root).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare")
+    rare = scored.select("row", F.explode(F.arrays_zip("length", "rare", "times")).alias("x")).select("row", "x.length", F.col("x.rare").alias("key"), "x.times")
+    # A word's weights beyond those that every word not broadcast has had already.
+    had = F.when(F.col("length") == 1, F.lit(unseen)).otherwise(0.0)
+    known = weights.where(F.col("n") < least).select("length", "key", (F.col("base") - had).alias("base"), (F.col("full") - had).alias("full"))
+    of_row = rare.join(known, ["length", "key"]).groupBy("row").agg(
+        F.sum(F.col("times") * F.col("base")).alias("base"),
+        F.sum(F.col("times") * F.col("full")).alias("full"),
+        F.sum(F.when(F.col("length") == 1, F.col("times")).otherwise(0)).alias("n_rare"),
     )
-    return scored.drop("rare", "times").join(of_row, "row", "left").select(
+    return scored.drop("length", "rare", "times").join(of_row, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_states") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_part") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        (F.col("score_part") + F.coalesce("rest", F.lit(0.0))).alias("score"),
+        (F.col("base_part") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
+        (F.col("score_part") + F.coalesce("full", F.lit(0.0))).alias("score"),
     )
