@@ -81,6 +81,20 @@ def test_odd_rows(spark):
     assert [r.taken for r in mixing.mix(empty).collect()] == [0, 0]
 
 
+def test_small_sources_reach_their_targets(spark):
+    """However many shards the corpus has; the tolerance is two blocks and half a hundredth."""
+    text = " ".join(["w"] * 50)
+    rows = [(i, text, "small") for i in range(80)] + [(1000 + i, text, None) for i in range(3)]
+    rows += [(10_000 + i, text, "large") for i in range(6000)] + [(20_000 + i, text, "middle") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = mixing.mix(df, block=16, shard_words=4096).collect()
+    targets = brute_targets({"small": 4000, "large": 300_000, "middle": 15_000, None: 150})
+    assert targets["small"] == 12_000 and targets[None] == 450
+    for source, target in targets.items():
+        taken = sum(r.taken for r in found if r.source == source)
+        assert abs(taken - target) <= 2 * 16 + 0.005 * target, (source, taken, target)
+
+
 @pytest.mark.skipif(not cases.have_tables(), reason="no driver tables")
 def test_whole_table_and_reruns(spark):
     docs = spark.read.parquet(f"{cases.MIDDLE}/documents.parquet")

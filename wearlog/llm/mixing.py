@@ -4,8 +4,9 @@
    its source's size, and what is left over is shared again by weight among the others.
 2. *Quotas.* The mix is a number of blocks of ``block`` words. Each source gets as many as the
    Sainte-Laguë method gives it: seats go to the highest quotients ``target / (2 k + 1)``. The
-   documents of a source are dealt by a hash into shards of about ``shard_words`` words of the whole
-   corpus, and the source's blocks are apportioned to its shards in the same way.
+   documents of a source are dealt by a hash into shards, one for every ``shard_words`` words of the
+   source itself, so that also a small source has few short last blocks; the source's blocks are
+   apportioned to its shards in the same way.
 3. *Selection.* The documents of a source's shard, by id, form a row of blocks. A quota of several
    times the number of blocks takes all of them as often; the rest takes the blocks with the
    smallest seeded hash. A document is taken as often as the blocks that cover its words.
@@ -112,8 +113,8 @@ def mix(
     sizes = materialised(sizes, "sizes")
     targets = materialised(source_targets(sizes, weights, most), "targets")
     total = targets.agg(F.sum("source_size")).first()[0] or 0
-    shards = int(max(1, -(-total // shard_words)))
-    dealt = sizes.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)))
+    shards = targets.select("source", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("_shards"))
+    dealt = join_null_safe(sizes, shards, ["source"]).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_shards"))).drop("_shards")
 
     seats = targets.withColumns({"_seats": F.round(F.lit(total) / block).cast("long"), "_most": F.ceil(F.col("source_size") * most / block)})
     of_source = sainte_lague(seats, [], ["source"], "target", "_seats", "_most").select("source", F.col("quota").alias("_seats"))
