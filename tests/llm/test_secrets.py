@@ -47,6 +47,27 @@ def test_automata_tell_formats_apart():
     assert secrets.infer({}) is None and secrets.all_spans(text, None) == []
 
 
+def test_credentials_joined_to_other_characters_are_found():
+    rng = random.Random(5)
+    new = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    ordinary = ["".join(rng.choice("aeinrst/.-") for _ in range(rng.randint(8, 30))) for _ in range(300)]
+    formats = secrets.infer({"access": ["AKIA" + new(16) for _ in range(50)] + [new(20) for _ in range(300)], "": ordinary})
+    value, other, hexed = new(20), new(20), HEX40
+    for around in ("auth={}", "access_key={}", "{}/rest.of.path", "example.org/v1/{}/x", "a=b&sig={}", "see.{}.end", "name-{}", "x_{}=="):
+        text = "go " + around.format(value) + " on"
+        assert value not in secrets.mask(text, formats), text
+        assert any(k == 3 for _, k, _ in secrets.all_spans(text, formats)), text
+    for text in (f"{hexed}.{value}", f"{value}.{hexed}", f"AKIA{other[:16]}/{value}", f"{value}/{hexed}.{other}"):
+        masked = secrets.mask(text, formats)
+        assert value not in masked and hexed not in masked and other not in masked, text
+        spans = secrets.all_spans(text, formats)
+        assert [x for x in spans if x[1] < 3] == brute(text)
+        assert all(a[2] <= b[0] for a, b in zip(spans, spans[1:]))
+    for plain in ("www.antirest.org/inter-sate/a1.html", "stein.rest/rat1-trains_in.nest"):
+        assert secrets.all_spans(plain, formats) == []
+    assert secrets.all_spans("rest=" * 20_000, formats) == []
+
+
 def test_merging_keeps_likelihoods_apart():
     automaton = secrets.Automaton(["ab1"] * 50 + ["ab2"] * 50)
     assert automaton.likelihood("ab1") == automaton.likelihood("ab2") > automaton.likelihood("a1b")

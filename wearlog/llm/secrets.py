@@ -8,8 +8,10 @@ outgoing frequencies agree within the Hoeffding bound are merged, from the root
 more agree. The result is a probabilistic automaton that gives any string a likelihood. One more
 automaton is inferred from ordinary long words.
 
-*Scoring.* Every other run of ``MIN_LENGTH`` or more credential characters that holds a letter and
-a digit is a candidate. It is a secret of kind ``format`` if some credential automaton finds it as
+*Scoring.* What pattern spans leave of a run of credential characters is a candidate, and so are its
+parts: what follows the first separator of a kind, and the pieces between separators, at =, then
+within those at /, and so on, unless the whole is a secret already. A candidate has ``MIN_LENGTH`` or
+more characters, with a letter and a digit among them. It is a secret of kind ``format`` if some credential automaton finds it as
 likely, per character, as its own held-out examples (all but the least likely hundredth) and more
 likely than ordinary words by ``MARGIN``. Pattern spans always stay.
 
@@ -45,6 +47,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 WORD = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 
+#: Characters that may join a credential to what stands around it, from the outermost to the innermost.
+SEPARATORS = "=/.+_-"
+#: Pieces between separators; = at the end of a run may be padding and stays with its piece.
+PIECES = [re.compile(r"[^=]+(?:=+\Z)?"), *[re.compile(f"[^{re.escape(c)}]+") for c in SEPARATORS[1:]], re.compile("[^=]+")]
+
 SAMPLE = 1000
 MIN_LENGTH = 16
 MAX_FIT = 128
@@ -237,14 +244,42 @@ def all_spans(text: str, formats: Formats | None) -> list[tuple[int, int, int]]:
         return base
     found = list(base)
     for run in RUN.finditer(text):
-        value, start, end = run[0], run.start(), run.end()
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and formats.is_secret(value):
-            found.append((start, 3, end))
+        at = run.start()
+        for start, _, end in [x for x in base if x[0] < run.end() and run.start() < x[2]] + [(run.end(), 0, run.end())]:
+            if at < start:
+                found += _parts(text[at:start], at, formats)
+            at = max(at, end)
     return sorted(found)
 
 
+def _parts(value: str, start: int, formats: Formats) -> Iterator[tuple[int, int, int]]:
+    """Spans of the secrets in what is left of a run."""
+    begin = len(value) - len(value.lstrip(SEPARATORS))
+    value, start = value[begin:], start + begin
+    for separator in ["", *SEPARATORS]:
+        at = value.find(separator) + len(separator)
+        if (at or not separator) and _is_candidate(value[at:], formats):
+            yield from _pieces(value[:at], start, formats, 0)
+            yield start + at, 3, start + len(value)
+            return
+    yield from _pieces(value, start, formats, 0)
+
+
+def _is_candidate(value: str, formats: Formats) -> bool:
+    return len(value) >= MIN_LENGTH and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and formats.is_secret(value)
+
+
+def _pieces(value: str, start: int, formats: Formats, level: int) -> Iterator[tuple[int, int, int]]:
+    """Secrets among the pieces between separators, from this level inwards."""
+    if len(value) < MIN_LENGTH or level == len(PIECES):
+        return
+    for m in PIECES[level].finditer(value):
+        if m[0] != value and _is_candidate(m[0], formats):
+            yield start + m.start(), 3, start + m.end()
+        else:
+            yield from _pieces(m[0], start + m.start(), formats, level + 1)
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
