@@ -97,6 +97,17 @@ def test_odd_pages(spark):
     assert found(url_filter.judge(df.where("false"))) == []
 
 
+def test_verdicts_do_not_depend_on_the_number_of_other_seeds(spark):
+    few = [(k, f"http://bad.site.net/fr/{k}", None) for k in range(2)]
+    few += [(10 + k, f"http://s{k}.site.net/x", None) for k in range(1000)]
+    df = spark.createDataFrame(few, "page_id long, url string, html string")
+    many = spark.range(1_000_000).selectExpr("id + 100000 as page_id", "'http://far.example.com/en/' as url", "cast(null as string) as html")
+    rules = (("block", "net", "/fr/"), ("block", "example.com", "/en/"))
+    of = lambda pages: {r.page_id: r.verdict for r in url_filter.judge(pages, rules).where("page_id < 100000").collect()}
+    alone, among = of(df), of(df.union(many))
+    assert alone == among and set(alone.values()) == {"block"}
+
+
 @pytest.mark.skipif(not cases.have_tables(), reason="no driver tables")
 def test_whole_table(spark):
     rows = [(r["page_id"], r["url"], r["html"]) for r in cases.table("pages", cases.MIDDLE)]

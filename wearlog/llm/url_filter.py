@@ -11,7 +11,9 @@ distrust is the one from the hosts of blocked pages against them. Seeds are weig
 Both are computed in one table of (kind, host, score), by one join and one sum a round; only hosts
 and distinct edges take part, never pages. Mass that reaches a host without edges is lost.
 
-*Verdict.* A host is blocked if its distrust exceeds its trust by more than ``threshold``.
+*Verdict.* A host is blocked if its distrust exceeds its trust by more than ``threshold`` times the
+trust, and by more than the error of adding (a share of ``ERROR``). Both are shares, so a verdict
+does not depend on how small scores become as other pages are added.
 
 Behaviour: a null url, or one without ``://``, has an empty host and path, fits no rule, is part of no
 edge, and is allowed. Null html has no links. Repeated rows and rows with equal or null page_id are kept
@@ -38,6 +40,8 @@ RULES = (
 ROUNDS = 20
 SAVE_EVERY = 5
 DAMPING = 0.85
+#: Relative difference below which two sums count as equal, as the order of their parts may differ.
+ERROR = 1e-9
 
 
 def host_of(url: Column) -> Column:
@@ -102,6 +106,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     return scores
 
 
+def _digits(score: Column) -> Column:
+    """Ten significant digits, so that reruns agree whatever the size of a score."""
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(score)))
+    return F.when(score > 0, F.round(score / scale, 9) * scale).otherwise(score)
+
+
 def judge(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.0, rounds: int = ROUNDS, page_id: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
@@ -114,11 +124,11 @@ def judge(
     seeds = ruled.where("action is not null and host != ''").groupBy(F.col("action").alias("kind"), "host").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     scores = propagate(edges, seeds, rounds)
     hosts = scores.groupBy("host").agg(
-        F.round(F.coalesce(F.sum(F.when(F.col("kind") == "allow", F.col("score"))), F.lit(0.0)), 9).alias("trust"),
-        F.round(F.coalesce(F.sum(F.when(F.col("kind") == "block", F.col("score"))), F.lit(0.0)), 9).alias("distrust"),
+        _digits(F.coalesce(F.sum(F.when(F.col("kind") == "allow", F.col("score"))), F.lit(0.0))).alias("trust"),
+        _digits(F.coalesce(F.sum(F.when(F.col("kind") == "block", F.col("score"))), F.lit(0.0))).alias("distrust"),
     )
     found = ruled.join(materialised(hosts, "hosts"), "host", "left").withColumns(
         {"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))}
     )
-    by_method = F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")
+    by_method = F.when(F.col("distrust") > F.col("trust") * (1 + max(threshold, ERROR)), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("action", by_method).alias("verdict"), "trust", "distrust")
