@@ -64,6 +64,19 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_long_texts_are_learned_from(spark):
+    rows = [(i, "the house and the dog of a man " * 20, "en") for i in range(40)]
+    rows += [(100 + i, "das haus und der hund von dem mann " * 800, "de") for i in range(40)]
+    rows += [(200 + i, "1 " * 20_000 + "la maison et le chien " + "2 " * 20_000, "fr") for i in range(40)]
+    rows += [(300 + i, "12", "xx") for i in range(40)] + [(400, "la casa y el perro " + "3 " * 40_000, "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs, F.col("doc_id") != 0)
+    assert model.languages == ["de", "en", "es", "fr"]
+    found = language_id.identify(docs, model).where("lang in ('de', 'en')").collect()
+    assert len(found) == 80 and all(r.lang_pred == r.lang and not r.rejected for r in found)
+    assert language_id.learn(docs.where("lang = 'de'"), F.lit(True)).languages == ["de"]
+
+
 @pytest.mark.skipif(not cases.have_tables(), reason="no driver tables")
 def test_held_out_accuracy(spark):
     from wearlog.llm.queries import op9_language_id

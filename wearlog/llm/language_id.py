@@ -7,7 +7,9 @@ layer and softmax turn it into probabilities. Embeddings and layer are learned t
 stochastic gradient descent in numpy.
 
 The model is fitted on a bounded sample: about ``per_language`` labelled texts of each language,
-picked by a hash of the id, of at most ``max_chars`` characters each. A fifth of the sample is kept
+picked by a hash of the id among all that have a letter, however long. Of a text longer than
+``max_chars`` characters the fit reads that many from the middle, or from the first letter on if
+there is none; prediction reads the whole text. A fifth of the sample is kept
 out of the descent and used to calibrate: the temperature that makes probabilities match how often
 they are right, and the rejection threshold, below which at most ``miss`` of the texts lie that are
 classified correctly. Prediction covers every byte of every text; because mean and layer are
@@ -135,13 +137,16 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, miss: float = MISS)
 
 def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> Model | None:
     """Fit on about ``per_language`` texts of each language among the rows that may be learned from."""
-    labelled = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= max_chars))
-    counts = {r.lang: r.n for r in docs.where(may_learn & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.where(spot < share[F.col("lang")]).select("doc_id", "lang", "text").limit(2 * per_language * len(counts)).collect()
+    middle = F.col("text").substr(F.floor((F.length("text") - max_chars) / 2).cast("int") + 1, F.lit(max_chars))
+    first = F.regexp_extract("text", r"\p{L}(?s:.*)", 0).substr(1, max_chars)
+    window = F.when(F.length("text") <= max_chars, F.col("text")).when(middle.rlike(r"\p{L}"), middle).otherwise(first)
+    sample = labelled.where(spot < share[F.col("lang")]).select("doc_id", "lang", window.alias("text")).limit(2 * per_language * len(counts)).collect()
     sample.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     return fit([r.text for r in sample], [r.lang for r in sample]) if sample else None
 
