@@ -8,8 +8,9 @@ before it kept, is written as Parquet and read again; all but the last return th
 Rules where the input leaves a choice:
 
 * The language model learns from the labelled rows among its input.
-* Of a group of near duplicates the rows with the smallest doc_id stay, of rows equal in id and text
-  one. Rows without an id all stay. Texts without words are in no group.
+* Of a group of near duplicates exactly one row stays: the one with the smallest doc_id (rows without
+  an id come last), then with the smallest hash of its columns. Texts without words are in no group
+  and all stay.
 * A masked text has a new ``n_chars``; a null text stays null.
 * The mix returns a row for each time a document is taken whole, and one more for the words that are
   taken beyond that, joined by single spaces. Documents of which nothing is taken are left out.
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from wearlog.llm import language_id, mixing, packing, secrets
 from wearlog.llm.ngram_join import ngram_join
@@ -40,13 +40,15 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of five-word-shingle similarity 0.8."""
     docs = docs.select(COLUMNS)
-    groups = ngram_join(docs)
-    first = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)
-    kept = groups.where(first).select(F.col("doc_id").alias("kept_id")).distinct()
-    same = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    crc = F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(-1))
-    repeat = F.row_number().over(W.partitionBy("doc_id", crc, F.length("text")).orderBy("lang", "source"))
-    return same.withColumn("_repeat", F.when(F.col("doc_id").isNull(), 1).otherwise(repeat)).where("_repeat = 1").select(COLUMNS)
+    # An order over rows that needs no numbering: rows that are equal in it are equal in all columns.
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]).alias("mark"))
+    keyed = docs.withColumn("_key", key)
+    groups = ngram_join(keyed, doc_id="_key")
+    first = groups.where((F.col("n_shingles") > 0) & (F.col("doc_id") == F.col("component_id")))
+    first = first.select(F.col("doc_id.mark").alias("mark"), F.col("doc_id.doc_id").alias("kept_id")).distinct()
+    kept = keyed.join(first, (F.col("_key.mark") == F.col("mark")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    wordless = ~F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
+    return kept.select(COLUMNS).dropDuplicates().unionByName(docs.where(wordless))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,34 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
     check([(r[0], r[1]) for r in mixed], packed, Tokenizer.from_file(path(pipeline.TOKENIZER)), packing.CAPACITY)
 
 
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    found = [
+        (None, long, "en", "a", 1),
+        (None, long, "en", "a", 1),
+        (None, long + " more", "en", "a", 1),
+        (5, long + " more", "en", "b", 1),
+        (None, other, "en", "a", 1),
+        (None, other + " more", "en", "a", 1),
+        (7, "x " + other[:60], "en", "a", 1),
+        (7, "x " + other[:60], "en", "a", 1),
+        (8, long.replace("w", "u"), "en", "a", 1),
+        (8, long.replace("w", "u") + " more", "fr", "a", 1),
+        (8, other.replace("v", "t"), "en", "a", 1),
+        (9, "", "en", "a", 1),
+        (9, None, "en", "a", 1),
+        (None, " ", "en", "a", 1),
+    ]
+    docs = spark.createDataFrame(found, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = rows(pipeline.drop_near_duplicates(spark, docs, ""))
+    group = lambda text: (text or "").split(" ")[0] if (text or "").strip() else None
+    assert Counter(group(r[1]) for r in kept) == {"w0": 1, "v0": 1, "x": 1, "u0": 1, "t0": 1, None: 3}
+    assert {r[0] for r in kept if group(r[1]) == "w0"} == {5} and set(kept) <= set(found)
+    again = rows(pipeline.drop_near_duplicates(spark, docs.repartition(2), ""))
+    assert Counter(again) == Counter(kept)
+
+
 def test_odd_rows_and_empty_tables(spark, tmp_path):
     for name, docs in (("odd", cases.odd_docs(spark)), ("none", cases.no_docs(spark))):
         docs.drop("size", "node", "row", "score").write.parquet(f"{tmp_path}/{name}/documents.parquet")
