@@ -19,7 +19,7 @@ def test_entry_registers_all_queries():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(ORACLE) <= set(__spark_entry__.oracle_sql())
 
 

@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearlog.llm import embedding_dedup, language_id, language_model, mixing, packing, secrets, sharding, simhash, url_filter
+from wearlog.llm import (
+    embedding_dedup,
+    language_id,
+    language_model,
+    mixing,
+    packing,
+    periodic_runs,
+    quality_rules,
+    secrets,
+    sharding,
+    simhash,
+    spelling_variants,
+    url_filter,
+)
 from wearlog.llm.ngram_join import ngram_join
 
 
@@ -76,6 +89,54 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line may be in ten documents of a source; half the words must be left."""
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def _tail_repeated(docs: DataFrame) -> DataFrame:
+    """Documents of a tenth of all ids with a periodic tail, the others as they are; a null id is not edited."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({quality_rules.WORD})"), 1))
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    n, a, g = F.size("words"), F.col("a"), F.col("g")
+    start = split.withColumn("a", F.when(n > 0, (g % n).cast("int")))
+    cut = start.withColumn("p", (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+    p = F.col("p")
+    edited = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i < a, i).otherwise(a + (i - a) % p)))
+    return cut.select("doc_id", F.when(n > 0, F.array_join(edited, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of twelve words or more."""
+    found = periodic_runs.with_runs(_tail_repeated(_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"])))
+    best = found.select("doc_id", "runs", "collapsed", longest.alias("best"))
+    length, start, period = F.col("best.length"), -F.col("best.col2"), -F.col("best.col3")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of six letters or more that occur five times, one run in 199 with a letter missing; a null id is empty."""
+    runs = spelling_variants.runs_of_letters(_table(spark, sf_dir, "documents"), "doc_id")
+    word, size = F.col("word"), F.length("word")
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), word).cast("binary"))
+    at = (h % size).cast("int")
+    edited = F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, size))
+    words = runs.select(F.when(h % 199 == 0, edited).otherwise(word).alias("word"))
+    return spelling_variants.group_variants(spelling_variants.count_words(words))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mixing": op2_source_mixing,
@@ -87,6 +148,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: DuckDB SQL where SQL can express a query and is quick enough on whole tables.
@@ -122,5 +186,34 @@ reached(a, b) AS (
 parts AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, p.component_id
 FROM documents d JOIN parts p ON d.doc_id = p.doc_id LEFT JOIN sizes s ON d.doc_id = s.doc_id
+""",
+    "op11_quality_rules": """
+WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t-\\r]+') AS w FROM texts),
+places AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM worded WHERE len(w) > 2),
+windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM places),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, source, text, line, trim(regexp_replace(translate(
+    line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[ \\t-\\r]+', ' ', 'g')) AS norm
+  FROM (SELECT *, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^ \\t-\\r]')),
+copied AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+frequent AS (SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT text) > 10),
+removed AS (
+  SELECT l.doc_id, sum(len(string_split(l.norm, ' '))) AS n FROM lines l
+  JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY l.doc_id),
+measured AS (
+  SELECT w.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars,
+    length(w.text) - length(translate(w.text, '#*$%&|<>', '')) AS n_symbols, coalesce(c.n, 0) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(x.n, 0) AS n_removed_words
+  FROM worded w LEFT JOIN copied c ON w.doc_id = c.doc_id LEFT JOIN repeated r ON w.doc_id = r.doc_id
+  LEFT JOIN removed x ON w.doc_id = x.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+  CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_removed_words AS BIGINT) AS n_removed_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_removed_words > 50 * n_words) AS kept
+FROM measured
 """,
 }
