@@ -13,7 +13,7 @@ from registry import tables as t
 from registry.catalog import even, query, safe_ratio, strict
 from registry.scans import comparison
 from wearlog.operators import daily_cost as cost
-from wearlog.operators import listings, portfolio, steps
+from wearlog.operators import listings, portfolio, steps, tails
 from wearlog.operators.cleaning import with_category_rank
 from wearlog.operators.usage import latest
 from wearlog.plans.reports import category_view
@@ -33,6 +33,10 @@ def stock(spark, d):
     return portfolio.inventory(t.use(spark, d), one_row_per_day=True)
 
 
+def spans(spark, d):
+    """The usage table with one row for the frozen rest of an item."""
+    return tails.usage_spans(t.log(spark, d), t.items(spark, d), t.START, t.end(spark, d))
+
 
 STOCK = """
 WITH days AS (
@@ -103,10 +107,54 @@ def inventory(spark, d):
     return stock(spark, d).withColumn("category_turnaround", F.round("category_turnaround", 9))
 
 
+@query(
+    "P5_from_intervals",
+    STOCK
+    + """SELECT "user", category, date, itemcount, categoryvalue, category_used, rolling_category_use,
+       round(category_turnaround, 9) AS category_turnaround FROM stock""",
+)
+def inventory_from_intervals(spark, d):
+    stock = tails.inventory(spans(spark, d), t.end(spark, d), one_row_per_day=True)
+    return stock.withColumn("category_turnaround", F.round("category_turnaround", 9))
+
+
 def to_date(spark, d):
     return portfolio.use_to_date(t.use(spark, d))
 
 
+def to_date_from_intervals(spark, d):
+    return tails.use_to_date(spans(spark, d), t.end(spark, d))
+
+
+@query("P6_from_intervals", TO_DATE + 'SELECT "user", category, date, cumuse, category_value FROM to_date')
+def use_from_intervals(spark, d):
+    return to_date_from_intervals(spark, d).select(*DAYS, "cumuse", "category_value")
+
+
+@query(
+    "P9_from_intervals",
+    TO_DATE
+    + """SELECT "user", category, date, round(yearly_cost, 6) AS yearly_cost, round(yearly_cost / 12, 6) AS monthly_cost
+FROM to_date""",
+)
+def cost_from_intervals(spark, d):
+    table = portfolio.with_monthly_cost(to_date_from_intervals(spark, d))
+    return table.select(*DAYS, *[F.round(c, 6).alias(c) for c in ("yearly_cost", "monthly_cost")])
+
+
+@query(
+    "P12_from_intervals",
+    f"""
+SELECT "user", category, date, round({safe_ratio(strict('cumuse'), strict('days_active'))} * 30.5, 9) AS avg_use_per_month_divested,
+       round({safe_ratio(strict('cost_per_use * cumuse'), strict('cumuse'))}, 9) AS avg_cost_per_use_divested
+FROM use WHERE NOT active AND days_active >= 30 GROUP BY "user", category, date
+""",
+)
+def means_from_intervals(spark, d):
+    means = tails.divested_means(spans(spark, d), t.end(spark, d))
+    return means.withColumns({c: F.round(c, 9) for c in means.columns if c.startswith("avg_")})
+
+
 @query("P6_use_to_date", TO_DATE + 'SELECT "user", category, date, cumuse, category_value FROM to_date')
 def use_to_date(spark, d):
     return to_date(spark, d).select(*DAYS, "cumuse", "category_value")

@@ -46,6 +46,13 @@ def read_wide(spark, d):
     return wide.to_log(wide.read_wide(spark, path))
 
 
+@query("S1_read_log", 'SELECT "user", category, item, date, used FROM shoe_log')
+def read_log(spark, d):
+    path = storage.scratch_path(spark, "sheet")
+    storage.write_csv(event_sheet(spark, d), path)
+    return wide.read_log(spark, path)
+
+
 @query(
     "S2_read_serial",
     """

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from registry import tables as t
 from registry.catalog import query
 from wearlog.operators import usage
 from wearlog.operators.cleaning import clip_to_ownership
+from wearlog.plans import increments
 from wearlog.plans.reports import cost_per_wear_today
+from wearlog.sources import storage
 
 KEYS = ["user", "category", "item", "date"]
 
@@ -86,6 +90,26 @@ def usage_table(spark, d):
     return t.use(spark, d, photos=True)
 
 
+def refreshed(spark, d):
+    """A usage table that was refreshed up to three days in turn."""
+    folder = storage.scratch_path(spark, "increments")
+    last = t.read(spark, d, "orders").agg(F.to_date(F.max("o_orderdate"))).first()[0]
+    for end in (dt.date(1999, 12, 31), dt.date(2001, 5, 31), last):
+        increments.refresh(spark, folder, t.log(spark, d), t.items(spark, d), t.START, end)
+    return folder
+
+
+@query(
+    "U7_incremental",
+    """
+SELECT "user", category, item, date, used, active, price, cumuse, cost_per_use, days_active, use_per_month, plot_size
+FROM use
+""",
+)
+def usage_by_refreshes(spark, d):
+    return increments.usage(spark, refreshed(spark, d))
+
+
 @query(
     "U8_latest_state",
     """

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +168,36 @@ def test_intraday(spark):
 
     raw = spark.createDataFrame([("2020-01-01", "10:01:00", "7"), ("2020-01-01", "??", "x")], "dateTime string, dataset_time string, dataset_value string")
     assert rows(intraday(raw).withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm"))) == [(None, None), ("2020-01-01 10:01", 7.0)]
+
+
+def test_sheet_of_eleven_years_is_one_array(spark, tmp_path):
+    """Four thousand day columns are planned in seconds, and a range reads only its own."""
+    import time
+
+    days = [dt.date(2015, 1, 1) + dt.timedelta(n) for n in range(4000)]
+    names = ["Category", "Item", "Price", *[d.strftime("%d.%m.%Y") for d in days]]
+    cells = [[c, i, p, *[None if (n + k) % 3 else str(n % 2 == 0) for n in range(4000)]] for k, (c, i, p) in enumerate([("Shirts", "a", "1"), ("Shoes", "b", "2")])]
+    pq.write_table(pa.table(dict(zip(names, map(list, zip(*cells, strict=True)), strict=True))), str(tmp_path / "sheet.parquet"))
+    path, read = str(tmp_path / "sheet.parquet"), wide.read_log
+    began = time.time()
+    log = read(spark, path, file_format="parquet")
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert time.time() - began < 30 and "Expand" not in plan and "Generate" in plan
+    got = log.groupBy("item").agg(F.count("used"), F.min("date"), F.sum(F.col("used").cast("int"))).orderBy("item").collect()
+    assert [tuple(r) for r in got] == [("a", 1334, days[0], 667), ("b", 1333, days[2], 667)]
+    part = read(spark, path, file_format="parquet", first=days[10], last=days[12])
+    scan = next(x for x in part._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x)
+    assert len(set(re.findall(r"\d\d\.\d\d\.\d{4}", scan))) == 3
+    assert sorted(map(tuple, part.select("item", "date").collect())) == [("a", days[12]), ("b", days[11])]
+    assert read(spark, path, file_format="parquet", first=dt.date(2099, 1, 1)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "header"), [(SHEET, "date"), (SERIAL, "serial")])
+def test_log_straight_from_a_sheet(spark, folder, text, header):
+    path = folder("direct.csv", text)
+    sheet = wide.read_wide(spark, path, header=header, multi_line=True)
+    log = wide.read_log(spark, path, header=header, multi_line=True)
+    assert rows(log) == rows(wide.to_log(sheet)) and log.columns == wide.to_log(sheet).columns
+    first, last = wide.sheet_range(sheet)
+    assert rows(wide.read_log(spark, path, header=header, multi_line=True, last=first)) == rows(wide.to_log(sheet, last=first))
+    assert rows(wide.to_log(sheet, first=last)) == [r for r in rows(log) if r[3] == last]

@@ -35,6 +35,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a saved table."""
+    _delete(spark, path)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, by any file system that Spark knows; none if it is missing."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(folder):
+        return []
+    return sorted(f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory())
+
+
 def save(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Keep an intermediate table as Parquet, optionally laid out by partition columns."""
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
