@@ -136,9 +136,13 @@ def _spread(rows: DataFrame, cells: list[str], days: list[dt.date]) -> DataFrame
     """One row per sheet row and cell: the cells of a row are one array, spread once.
 
     The days are one literal next to it, so that the plan does not grow by an expression a day.
+    Cells of different types, as of columns without any mark, are strings.
     """
-    array = F.expr(f"array({', '.join(_name(c) for c in cells)})")
-    dates = F.expr(f"cast(split('{','.join(d.isoformat() for d in days)}', ',') AS array<date>)")
+    kinds = dict(rows.dtypes)
+    one = "{}" if len({kinds[c] for c in cells}) < 2 else "cast({} AS string)"
+    array = F.expr(f"array({', '.join(one.format(_name(c)) for c in cells)})")
+    listed = f"split('{','.join(d.isoformat() for d in days)}', ',')" if days else "array()"
+    dates = F.expr(f"cast({listed} AS array<date>)")
     spread = rows.select("user", "category", "item", F.posexplode(array).alias("_day", "cell"))
     return spread.withColumn("date", F.get(dates, "_day")).drop("_day")
 
