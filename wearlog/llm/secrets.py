@@ -213,12 +213,11 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Formats |
                 spans = base_spans(x)
                 for start, kind, end in spans:
                     secret = x[start:end] if kind else ASSIGN.match(x, start)[2]
-                    if len(secret) <= MAX_FIT:
-                        held[KINDS[kind]][secret] = b""
+                    held[KINDS[kind]][secret[:MAX_FIT]] = b""
                 # Ordinary words: of each text the first one after its middle, whatever its length.
                 word = WORD.search(x, len(x) // 2)
-                if word and len(word[0]) <= MAX_FIT and not any(s < word.end() and word.start() < e for s, _, e in spans):
-                    held[""][word[0]] = b""
+                if word and not any(s < word.end() and word.start() < e for s, _, e in spans):
+                    held[""][word[0][:MAX_FIT]] = b""
             for kind, values in held.items():
                 if len(values) > 4 * sample:
                     held[kind] = dict.fromkeys(_smallest(values, sample), b"")
@@ -242,13 +241,25 @@ def all_spans(text: str, formats: Formats | None) -> list[tuple[int, int, int]]:
     base = base_spans(text)
     if formats is None:
         return base
-    found = list(base)
+    # Stretches that pattern spans cover, without overlaps; runs come in order, so one index follows them.
+    covered: list[list[int]] = []
+    for start, _, end in base:
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    found, k = list(base), 0
     for run in RUN.finditer(text):
+        while k < len(covered) and covered[k][1] <= run.start():
+            k += 1
         at = run.start()
-        for start, _, end in [x for x in base if x[0] < run.end() and run.start() < x[2]] + [(run.end(), 0, run.end())]:
+        while at < run.end():
+            start, end = covered[k] if k < len(covered) and covered[k][0] < run.end() else (run.end(), run.end())
             if at < start:
                 found += _parts(text[at:start], at, formats)
             at = max(at, end)
+            if end <= run.end() and start < run.end():
+                k += 1
     return sorted(found)
 
 
@@ -285,7 +296,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, formats: Formats | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, n_format, base_sha256, spans."""
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format."""
     shared = docs.sparkSession.sparkContext.broadcast(formats)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,13 +310,19 @@ def scan(docs: DataFrame, formats: Formats | None, doc_id: str = "doc_id", text:
                 base.append(hashlib.sha256(_joined([x for x in found if x[1] < 3]).encode()).hexdigest())
                 spans.append(_joined(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, pa.string()), pa.array(spans, pa.string())],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans"],
+                [
+                    batch.column(0),
+                    *[pa.array(c, pa.int64()) for c in counts[:3]],
+                    pa.array(base, pa.string()),
+                    pa.array(spans, pa.string()),
+                    pa.array(counts[3], pa.int64()),
+                ],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"],
             )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(find, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
+    return rows.mapInArrow(find, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
 
 
 def mask(text: str, formats: Formats | None, mark: str = "[secret]") -> str:
