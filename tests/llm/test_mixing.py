@@ -95,6 +95,19 @@ def test_small_sources_reach_their_targets(spark):
         assert abs(taken - target) <= 2 * 16 + 0.005 * target, (source, taken, target)
 
 
+def test_sources_of_any_size_reach_their_targets(spark):
+    """With production parameters: within a document or a hundredth."""
+    sizes = {"a": 1, "b": 50, "c": 129, "d": 130, "e": 300, "f": 5_000, "g": 100_000, "h": 100_000, None: 7}
+    rows = [(i, " ".join(["w"] * min(50, n - at)), s) for s, n in sizes.items() for i, at in enumerate(range(0, n, 50))]
+    rows = [(k, text, s) for k, (_, text, s) in enumerate(rows)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    targets = brute_targets(sizes)
+    assert targets["c"] == 387
+    for source, target in targets.items():
+        taken = sum(r.taken for r in found if r.source == source)
+        assert abs(taken - target) <= max(50, 0.01 * target), (source, taken, target)
+
+
 @pytest.mark.skipif(not cases.have_tables(), reason="no driver tables")
 def test_whole_table_and_reruns(spark):
     docs = spark.read.parquet(f"{cases.MIDDLE}/documents.parquet")

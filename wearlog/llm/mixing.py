@@ -112,16 +112,21 @@ def mix(
     sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     sizes = materialised(sizes, "sizes")
     targets = materialised(source_targets(sizes, weights, most), "targets")
-    total = targets.agg(F.sum("source_size")).first()[0] or 0
     shards = targets.select("source", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("_shards"))
     dealt = join_null_safe(sizes, shards, ["source"]).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_shards"))).drop("_shards")
 
-    seats = targets.withColumns({"_seats": F.round(F.lit(total) / block).cast("long"), "_most": F.ceil(F.col("source_size") * most / block)})
-    of_source = sainte_lague(seats, [], ["source"], "target", "_seats", "_most").select("source", F.col("quota").alias("_seats"))
     parts = dealt.groupBy("source", "shard").agg(F.sum("size").alias("part_size"))
-    parts = join_null_safe(parts, of_source, ["source"]).withColumn("n_blocks", F.ceil(F.col("part_size") / block))
+    parts = materialised(parts.withColumn("n_blocks", F.ceil(F.col("part_size") / block)), "parts")
+    # A source wants so many seats that they hold its target: the last block of a part is a short one.
+    wanted = join_null_safe(targets, parts.groupBy("source").agg(F.sum("n_blocks").alias("_blocks")), ["source"])
+    wanted = wanted.withColumn("_wanted", F.when(F.col("source_size") > 0, F.col("target") * F.col("_blocks") / F.col("source_size")).otherwise(0.0))
+    wanted = materialised(wanted, "wanted")
+    total = wanted.agg(F.sum("_wanted")).first()[0] or 0
+    seats = wanted.withColumns({"_seats": F.round(F.lit(total)).cast("long"), "_most": most * F.col("_blocks")})
+    of_source = sainte_lague(seats, [], ["source"], "_wanted", "_seats", "_most").select("source", F.col("quota").alias("_seats"))
+    parts = join_null_safe(parts, of_source, ["source"])
     parts = parts.withColumn("_most", most * F.col("n_blocks"))
-    quotas = sainte_lague(parts, ["source"], ["shard"], "part_size", "_seats", "_most")
+    quotas = sainte_lague(parts, ["source"], ["shard"], "n_blocks", "_seats", "_most")
     quotas = quotas.withColumn("whole", F.when(F.col("n_blocks") > 0, F.floor(F.col("quota") / F.col("n_blocks"))).otherwise(0))
     quotas = materialised(quotas.withColumn("more", F.col("quota") - F.col("whole") * F.col("n_blocks")), "quotas")
 
