@@ -24,12 +24,16 @@ def cell_of(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def count_cells(
-    df: DataFrame, features: dict[str, int], hashes: Callable[[pa.RecordBatch], Iterator[tuple[str, np.ndarray]]]
+    df: DataFrame,
+    features: dict[str, int],
+    hashes: Callable[[pa.RecordBatch], Iterator[tuple[str, np.ndarray]]],
+    finish: Callable[[np.ndarray], np.ndarray],
 ) -> dict[str, np.ndarray]:
     """Add up features in 2^bits cells each; ``features`` maps a name to its bits.
 
-    ``hashes`` yields (name, 64-bit hashes) for a batch. The result comes to the driver: its
-    size is four bytes a cell.
+    ``hashes`` yields (name, 64-bit hashes) for a batch. ``finish`` turns the counts of consecutive
+    cells, a multiple of 8, into bytes where they are added: only these come to the driver, a byte or
+    a bit a cell.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,19 +53,24 @@ def count_cells(
         for batch in parts:
             for x in batch.column("counts"):
                 added += np.frombuffer(unpacker.decompress(x.as_py()), np.uint32)
-        packed = zstandard.ZstdCompressor(level=1).compress(added.tobytes())
+        packed = zstandard.ZstdCompressor(level=1).compress(finish(added).tobytes())
         yield pa.RecordBatch.from_pydict({"name": [key[0].as_py()], "part": [key[1].as_py()], "counts": [packed]})
 
     schema = "name string, part long, counts binary"
     summed = df.mapInArrow(partial, schema).groupBy("name", "part").applyInArrow(total, schema)
-    out = {name: np.zeros(1 << bits, np.uint32) for name, bits in features.items()}
+    parts: dict[tuple, np.ndarray] = {}
     unpacker = zstandard.ZstdDecompressor()
     for row in summed.collect():  # PARTS rows a feature
-        size = len(out[row.name]) // PARTS
-        out[row.name][row.part * size : (row.part + 1) * size] = np.frombuffer(unpacker.decompress(bytes(row.counts)), np.uint32)
-    return out
+        parts[row.name, row.part] = np.frombuffer(unpacker.decompress(bytes(row.counts)), np.uint8)
+    none = {name: finish(np.zeros((1 << bits) // PARTS, np.uint32)) for name, bits in features.items()}
+    return {name: np.concatenate([parts.get((name, k), none[name]) for k in range(PARTS)]) for name in features}
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
     """One byte a cell that never decreases with the count."""
     return np.minimum(np.floor(8 * np.log2(counts + 1.0)), 255).astype(np.uint8)
+
+
+def bits_from(least: int) -> Callable[[np.ndarray], np.ndarray]:
+    """One bit a cell, set where the count is not less."""
+    return lambda counts: np.packbits(counts >= least)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearlog.llm import words
-from wearlog.llm.cells import cell_of, count_cells
+from wearlog.llm.cells import bits_from, cell_of, count_cells
 from wearlog.sources.storage import materialised
 
 #: Fixed value: pairs and triples that occur less often have no arc.
@@ -134,9 +134,8 @@ def count_ngrams(train: DataFrame) -> tuple[DataFrame, int, int, Broadcast]:
             yield "pair", t.pair
             yield "triple", t.triple[t.has_triple]
 
-    cells = count_cells(train, {"pair": CELL_BITS, "triple": CELL_BITS}, hashed)
-    n_tokens = int(cells["pair"].sum(dtype=np.int64))
-    likely = train.sparkSession.sparkContext.broadcast({k: np.packbits(v >= LEAST) for k, v in cells.items()})
+    cells = count_cells(train, {"pair": CELL_BITS, "triple": CELL_BITS}, hashed, bits_from(LEAST))
+    likely = train.sparkSession.sparkContext.broadcast(cells)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {1: [], 2: [], 3: []}
@@ -171,7 +170,8 @@ def count_ngrams(train: DataFrame) -> tuple[DataFrame, int, int, Broadcast]:
     rows = train.mapInArrow(partial, "length int, key long, n long, context long, lower long")
     counts = rows.groupBy("length", "key").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("lower").alias("lower"))
     counts = materialised(counts.where((F.col("length") == 1) | (F.col("n") >= LEAST)), "counts")
-    v = counts.where("length = 1").count()
+    # Every token is a word or an end, and all of these are kept.
+    v, n_tokens = counts.where("length = 1").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     return counts, n_tokens, v, likely
 
 

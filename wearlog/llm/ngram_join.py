@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wearlog.llm import words
-from wearlog.llm.cells import cell_of, count_cells, levels
+from wearlog.llm.cells import bits_from, cell_of, count_cells, levels
 from wearlog.llm.components import components
 from wearlog.sources.storage import discard, materialised
 
@@ -71,8 +71,8 @@ def ngram_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
         for grams in distinct_ngrams(batch.column(1), n):
             yield "grams", grams
 
-    counts = count_cells(docs, {"grams": CELL_BITS}, hashed)["grams"]
-    level = docs.sparkSession.sparkContext.broadcast(levels(counts))  # 8 MB at any size
+    # 8 MB at any size
+    level = docs.sparkSession.sparkContext.broadcast(count_cells(docs, {"grams": CELL_BITS}, hashed, levels)["grams"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,8 +129,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
 
     # The texts of the nodes in question are read again; a table of 2^24 bits lets most others pass by.
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    bits = count_cells(wanted, {"node": NODE_BITS}, lambda batch: [("node", _spread(batch.column(0)))])["node"]
-    asked = docs.sparkSession.sparkContext.broadcast(np.packbits(bits > 0))
+    bits = count_cells(wanted, {"node": NODE_BITS}, lambda batch: [("node", _spread(batch.column(0)))], bits_from(1))["node"]
+    asked = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
