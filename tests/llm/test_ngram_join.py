@@ -3,9 +3,10 @@ from __future__ import annotations
 import random
 
 import cases
+import numpy as np
 import pytest
 
-from wearlog.llm.ngram_join import ngram_join
+from wearlog.llm.ngram_join import _parities, ngram_join
 
 
 def brute(rows: list[tuple], n: int = 5, percent: int = 80) -> list[tuple]:
@@ -75,3 +76,27 @@ def test_chains_near_copies_and_borders(spark):
 def test_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in cases.table("documents", cases.MIDDLE)]
     assert found(ngram_join(spark.read.parquet(f"{cases.MIDDLE}/documents.parquet"))) == brute(rows)
+
+
+def test_large_group_of_near_copies_that_mostly_do_not_link(spark):
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice((1, 2, 3, 4))):
+            words[at] = f"e{rng.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert found(ngram_join(df)) == brute(rows)
+
+
+def test_parities_never_reject_a_link():
+    """The number of odd classes of two sets is at most the number of members they do not share."""
+    rng = np.random.default_rng(5)
+    for size in (1, 5, 40, 300, 5000):
+        a = rng.integers(0, 2**63, size).astype(np.uint64)
+        b = np.concatenate([a[: size * 4 // 5], rng.integers(0, 2**63, size // 3).astype(np.uint64)])
+        odd = sum(int(x).bit_count() for x in (_parities(a) ^ _parities(b)).view(np.uint64))
+        assert odd <= len(np.setxor1d(a, b))
+    assert _parities(np.zeros(0, np.uint64)).tolist() == [0] * 4

@@ -14,9 +14,9 @@ when the intersection is at least ``percent`` hundredths of the union.
    components. Then only nodes of *different* components of an n-gram meet: of a group of near
    copies, however large, hardly any are left.
 5. *Filters.* Sizes may differ by t at most; what lies from the first shared n-gram on must be
-   enough in both; sets whose
-   n-grams fall too differently into 64 hash classes (the suffix filter, taken over the whole set)
-   cannot overlap enough.
+   enough in both. The suffix filter, taken over whole sets, counts what cannot be shared: in step 4
+   by the parities of 256 hash classes, so that a group of near copies that mostly do not link
+   leaves few pairs, then by the counts of 64 classes.
 6. *Verification.* Each pair that remains is compared once, on the full sets.
 
 Behaviour: null and empty texts, and texts of white space, have size 0 and link with nothing.
@@ -43,6 +43,8 @@ from wearlog.sources.storage import discard, materialised
 CELL_BITS = 23
 NODE_BITS = 24
 CLASSES = 64
+#: Hash classes whose parities are kept as bits; a multiple of 64.
+PARITIES = 256
 #: Nodes of an n-gram that are ordered together.
 GROUP = 1000
 
@@ -63,8 +65,14 @@ def _node(grams: np.ndarray) -> int:
     return int(words.mix(parts[:1] ^ (parts[1:] * np.uint64(words.BASE))).view(np.int64)[0])
 
 
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """Whether each class has an odd number of members, as bits of longs."""
+    counts = np.bincount((grams >> np.uint64(32) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def ngram_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, size, node (equal for equal sets, null for none), prefix, classes."""
+    """Per row: doc_id, size, node (equal for equal sets, null for none), prefix, classes, parities."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def hashed(batch: pa.RecordBatch):
@@ -76,7 +84,7 @@ def ngram_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, prefixes, classes = [], [], [], []
+            sizes, nodes, prefixes, classes, parities = [], [], [], [], []
             for grams in distinct_ngrams(batch.column(1), n):
                 size = len(grams)
                 sizes.append(size)
@@ -85,14 +93,16 @@ def ngram_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
                 order = np.argsort(level.value[cell_of(grams, CELL_BITS)], kind="stable")[:keep]
                 prefixes.append(grams[order].view(np.int64))
                 classes.append(np.bincount((grams & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).clip(max=32767).astype(np.int16))
+                parities.append(_parities(grams))
             ids = batch.column(0)
+            lists = [pa.array(prefixes, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int16())), pa.array(parities, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int16()))],
-                names=["doc_id", "size", "node", "prefix", "classes"],
+                [ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists],
+                names=["doc_id", "size", "node", "prefix", "classes", "parities"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(describe, f"doc_id {kind}, size long, node long, prefix array<long>, classes array<short>")
+    return docs.mapInArrow(describe, f"doc_id {kind}, size long, node long, prefix array<long>, classes array<short>, parities array<long>")
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -119,6 +129,13 @@ def _alike(percent: int) -> Column:
     return (a + b - apart) / 2 >= _needed(a, b, percent)
 
 
+def _even(percent: int) -> Column:
+    """Suffix filter by parities: each class with an odd sum holds a member that is not shared."""
+    apart = sum((F.bit_count(F.get("parities_a", F.lit(k)).bitwiseXOR(F.get("parities_b", F.lit(k)))) for k in range(PARITIES // 64)), F.lit(0))
+    a, b = F.col("size_a"), F.col("size_b")
+    return (a + b - apart) / 2 >= _needed(a, b, percent)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that link, after the suffix filter."""
     narrow = nodes.select("node", "size", "classes")
@@ -166,7 +183,7 @@ def distinct_sets(sets: DataFrame) -> DataFrame:
     return (
         sets.where("node is not null")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("classes").alias("classes"))
+        .agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("size", "prefix", "classes", "parities")))
     )
 
 
@@ -197,9 +214,10 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
         "gram", "node", "size", "rest", F.coalesce("component", "node").alias("component")
     )
     several = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gram")
-    mixed = materialised(named.join(several, "gram"), "mixed")
-    sides = [mixed.select("gram", *side("", of), F.col("component").alias(f"component_{of}")) for of in "ab"]
-    rest = sides[0].join(sides[1], "gram").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _fits(percent))
+    mixed = materialised(named.join(several, "gram").join(nodes.select("node", "parities"), "node"), "mixed")
+    sides = [mixed.select("gram", *side("", of), *(F.col(c).alias(f"{c}_{of}") for c in ("component", "parities"))) for of in "ab"]
+    apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
+    rest = sides[0].join(sides[1], "gram").where(apart & _fits(percent) & _even(percent))
     second = _verified(rest.select("a", "b").distinct().join(few, ["a", "b"], "left_anti"), nodes, docs, n, percent)
     for table in (met, few, mixed):
         discard(table)
