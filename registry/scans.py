@@ -10,7 +10,7 @@ from registry import tables as t
 from registry.catalog import query
 from wearlog import defaults
 from wearlog.operators.wear_rate import estimate_changes
-from wearlog.sources import storage, study, wide
+from wearlog.sources import storage, study, wide, workbook
 
 ITEM = ["user", "category", "item"]
 
@@ -53,23 +53,30 @@ def read_log(spark, d):
     return wide.read_log(spark, path)
 
 
-@query(
-    "S2_read_serial",
-    """
+SERIAL_LOG = """
 SELECT s."user", s.category, s.item || ' ' || s."user" AS item, CAST(s.date AS DATE) AS date,
        coalesce(g.used, FALSE) AS used
 FROM (SELECT "user", category, item,
              unnest(generate_series((SELECT min(date) FROM event_days), (SELECT max(date) FROM event_days), INTERVAL 1 DAY)) AS date
       FROM shoe_items) s
 LEFT JOIN shoe_log g ON s."user" = g."user" AND s.item = g.item AND CAST(s.date AS DATE) = g.date
-""",
-)
+"""
+
+
+@query("S2_read_serial", SERIAL_LOG)
 def read_serial(spark, d):
     path = storage.scratch_path(spark, "serial-sheet")
     storage.write_csv(event_sheet(spark, d, serial=True), path)
     return wide.to_log(wide.read_wide(spark, path, header="serial", multi_line=True))
 
 
+@query("S2_read_workbook", SERIAL_LOG)
+def read_workbook(spark, d):
+    path = storage.scratch_path(spark, "workbooks")
+    storage.save(workbook.pack(event_sheet(spark, d, serial=True)), path)
+    return wide.to_log(wide.clean_sheet(workbook.sheet_table(storage.load(spark, path)), header="serial"))
+
+
 STUDY_COLUMNS = ["user", "category", "item", "wears", "total_wears", "price", "date_purchased", "secondhand"]
 
 

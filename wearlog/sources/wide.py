@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wearlog.sources.workbook import read_workbook
+
 # Sheet header -> column name and type.
 ATTRIBUTES = {
     "User": ("user", "string"),
@@ -103,7 +105,7 @@ def _attributes(sheet: DataFrame, serial: bool, owner: str, wanted: tuple[str, .
 def read_wide(
     spark: SparkSession, path: str, header: str = "date", file_format: str = "csv", owner: str = "me", multi_line: bool = False
 ) -> DataFrame:
-    """Scan an exported diary sheet (CSV with header, or Parquet).
+    """Scan a diary sheet: an export (CSV with header, or Parquet) or workbooks (``xlsx``: the first sheet).
 
     ``multi_line`` is for sheets whose item names hold line breaks; a file is then read by one task.
     """
@@ -111,6 +113,8 @@ def read_wide(
 
 
 def _scan(spark: SparkSession, path: str, file_format: str, multi_line: bool) -> DataFrame:
+    if file_format == "xlsx":
+        return read_workbook(spark, path)
     reader = spark.read
     if file_format == "csv":
         reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
