@@ -62,6 +62,9 @@ def test_odd_vectors(spark):
         (13, [1e300, 0.0, 0.0, 0.0], 1),
         (14, [-1.0, 0.0, 0.0, 0.0], 1),
         (15, [1e-310, 0.0, 0.0, 0.0], 2),
+        (16, [3.0], 1),
+        (17, [5.0], 1),
+        (18, [-1.0], 1),
     ]
     full = [(*r, 3, 4, 5) for r in rows]
     df = spark.createDataFrame(full, "vec_id long, embedding array<double>, label int, node long, row long, cell long").repartition(3)
@@ -91,6 +94,32 @@ def test_full_recall_and_cut_cells(spark, monkeypatch):
     assert sum(r[1] for r in found(dedup.near_duplicates(df, target_recall=0.95))) >= 0.95 * links > 0
 
 
+def planted_pairs(many: int, size: int, label: int, start: int, rng) -> list[tuple]:
+    """Pairs at cosine 0.981, each far from all others."""
+    rows = []
+    for i in range(many):
+        x, way = rng.normal(size=size), rng.normal(size=size)
+        x /= np.linalg.norm(x)
+        way -= way @ x * x
+        y = 0.981 * x + math.sqrt(1 - 0.981**2) * way / np.linalg.norm(way)
+        rows += [(start + 2 * i, x.tolist(), label), (start + 2 * i + 1, y.tolist(), label)]
+    return rows
+
+
+def test_links_count_on_both_sides_and_each_length_has_a_grid(spark):
+    rng = np.random.default_rng(12)
+    rows = planted_pairs(400, 16, 1, 0, rng) + planted_pairs(300, 12, 1, 2000, rng)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r for r in dedup.near_duplicates(df, target_recall=0.8).collect()}
+    joined = 0
+    for i, _, _ in rows[::2]:
+        pair = got[i], got[i + 1]
+        assert pair[0].n_links == pair[1].n_links == int(pair[0].component_id == pair[1].component_id)
+        joined += pair[0].n_links
+    assert 0.75 * 700 < joined < 700
+    assert found(dedup.near_duplicates(df, target_recall=1)) == brute(rows)
+
+
 @pytest.mark.skipif(not cases.have_tables(), reason="no driver tables")
 def test_whole_table(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in cases.table("embeddings", cases.MIDDLE)]

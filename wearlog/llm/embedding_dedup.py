@@ -15,8 +15,9 @@
 
 The codebooks grow with the fourth root of the number of nodes, so cells keep about the same load.
 
-Behaviour: a row with a null label links with nothing. Vectors of different length never link; those
-of another length than most share one cell. ``n_links`` counts other rows, copies included. Repeated
+Behaviour: a row with a null label links with nothing. Vectors of different length never link; each
+of the eight most common lengths has a grid, other lengths have one cell each. ``n_links`` counts other rows, copies included; a
+pair that only one of the two visits finds counts for both. Repeated
 rows are kept and link with each other. A null vec_id takes part and is never the smallest. Other
 columns are not read. An empty table gives an empty result.
 """
@@ -38,6 +39,11 @@ from wearlog.llm.components import components
 from wearlog.sources.storage import materialised
 
 SAMPLE = 20_000
+#: Least number of simulated neighbours.
+TRIALS = 5000
+#: Most bytes of doubles in the sample, and most vector lengths that get a grid.
+SAMPLE_BYTES = 1 << 26
+MOST_LENGTHS = 8
 BLOCK = 2048
 ROUNDS = 12
 MOST_WORDS = 1024
@@ -91,6 +97,7 @@ def fit(x: np.ndarray, k: int, similarity: float, target_recall: float, seed: in
     gaps = tuple(np.sqrt(_squares(w, w)) + np.eye(len(w)) for w in halves)
     grid = Grid(halves, tuple(np.maximum(g, 1e-12) for g in gaps), x.shape[1], 2 - 2 * similarity + 1e-9)
     if target_recall < 1:
+        x = np.repeat(x, -(-TRIALS // len(x)), axis=0)
         aside = rng.normal(size=x.shape)
         aside -= (aside * x).sum(axis=1)[:, None] * x
         aside /= np.maximum(np.linalg.norm(aside, axis=1), 1e-12)[:, None]
@@ -148,36 +155,39 @@ def _rows(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
     return chosen.mapInArrow(clean, f"row long, vec_id {kinds['vec_id']}, label {kinds['label']}, packed binary")
 
 
-def _cells(nodes: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
-    """The cell in which each node lives, and the cells that each node visits."""
-    shared = nodes.sparkSession.sparkContext.broadcast(grid)
+def _cells(nodes: DataFrame, grids: dict[int, Grid]) -> DataFrame:
+    """Nodes with the cell in which each lives and the cells that it visits.
 
-    def locate(visit: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g = shared.value
-            for batch in batches:
-                raw = [x.as_py() for x in batch.column("packed")]
-                fits = np.array([len(x) == 8 * g.size for x in raw], bool)
-                which, cells = [np.flatnonzero(~fits)], [np.full(int((~fits).sum()), -1, np.int64)]
-                if fits.any():
-                    at = np.flatnonzero(fits)
+    Grids are given by length in bytes; nodes of other lengths live in cell -1 and visit it.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast(grids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [x.as_py() for x in batch.column("packed")]
+            lengths = np.array([len(x) for x in raw], np.int64)
+            own, seen = np.full(len(raw), -1, np.int64), [[-1] for _ in raw]
+            for size, g in shared.value.items():
+                at = np.flatnonzero(lengths == 8 * size)
+                if len(at):
                     (way_a, home_a), (way_b, home_b) = region_distances(g, unit([raw[i] for i in at]))
-                    if visit:
-                        found = [[i * MOST_WORDS + j for i, j in multi_sequence(a, b, g.bound)] for a, b in zip(way_a, way_b)]
-                        which.append(np.repeat(at, [len(f) for f in found]))
-                        cells.append(np.array([c for f in found for c in f], np.int64))
-                    else:
-                        which.append(at)
-                        cells.append(home_a.astype(np.int64) * MOST_WORDS + home_b)
-                taken = batch.take(pa.array(np.concatenate(which)))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(cells))], names=[*taken.schema.names, "cell"])
-
-        return run
+                    own[at] = home_a.astype(np.int64) * MOST_WORDS + home_b
+                    for i, a, b in zip(at, way_a, way_b):
+                        seen[i] = [x * MOST_WORDS + y for x, y in multi_sequence(a, b, g.bound)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(own), pa.array(seen, pa.list_(pa.int32()))], names=[*batch.schema.names, "cell", "visited"]
+            )
 
     narrow = nodes.select("node", "label", "copies", "packed").withColumn("length", F.length("packed"))
-    own, visiting = narrow, narrow.drop("copies")
-    with_cell = lambda df: T.StructType([*df.schema.fields, T.StructField("cell", T.LongType())])
-    return own.mapInArrow(locate(False), with_cell(own)), visiting.mapInArrow(locate(True), with_cell(visiting))
+    fields = [*narrow.schema.fields, T.StructField("cell", T.LongType()), T.StructField("visited", T.ArrayType(T.IntegerType()))]
+    return narrow.mapInArrow(run, T.StructType(fields))
+
+
+def _unanswered(near: np.ndarray, own: np.ndarray, visited: list[np.ndarray]) -> np.ndarray:
+    """Of the pairs of a block, those whose inhabitant (column) does not visit the visitor's cell."""
+    cells, at = np.unique(own, return_inverse=True)
+    back = np.array([np.isin(cells, v) for v in visited], bool).reshape(len(visited), len(cells))
+    return near & ~back.T[at]
 
 
 def _least_reachable(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,11 +204,13 @@ def _least_reachable(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np
         a, of_b = of_a, new
 
 
-def links(nodes: DataFrame, grid: Grid, similarity: float) -> tuple[DataFrame, DataFrame]:
+def links(nodes: DataFrame, grids: dict[int, Grid], similarity: float) -> tuple[DataFrame, DataFrame]:
     """Per node its number of linked rows, and a sparse set of links with the same components."""
-    home, visits = _cells(nodes, grid)
     key = ["label", "length", "cell"]
-    home, visits = materialised(home, "home"), materialised(visits, "visits")
+    home = materialised(_cells(nodes, grids), "home")
+    # New names for the columns, as the table meets itself.
+    same = [F.col(c).alias(c) for c in ("label", "length", "node", "copies", "packed")]
+    visits = home.select(*same, F.col("cell").alias("own"), F.explode("visited").alias("cell"))
     # Cells with many nodes are cut; each part of the visitors meets each part of the inhabitants.
     parts = home.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("homes")).join(
         visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("visitors")), key
@@ -213,23 +225,29 @@ def links(nodes: DataFrame, grid: Grid, similarity: float) -> tuple[DataFrame, D
         if not left.num_rows or not right.num_rows:
             return empty
         a, b = left["node"].to_numpy(), right["node"].to_numpy()
-        x, y, copies = unit(left["packed"].to_pylist()), unit(right["packed"].to_pylist()), right["copies"].to_numpy()
+        x, y = unit(left["packed"].to_pylist()), unit(right["packed"].to_pylist())
         near = np.zeros((len(a), len(b)), bool)
         for start in range(0, len(a), 256):
             near[start : start + 256] = x[start : start + 256] @ y.T >= similarity
         near &= a[:, None] != b
         rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-        n = near[rows] @ copies if len(rows) else np.zeros(0, np.int64)
-        ends = _least_reachable(near[np.ix_(rows, columns)], a[rows], b[columns])
+        near = near[np.ix_(rows, columns)]
+        # A pair found from one side only counts for both; one found from both sides counts on each visit.
+        seen = [right["visited"][int(j)].values.to_numpy(zero_copy_only=False) for j in columns]
+        once = _unanswered(near, left["own"].to_numpy()[rows], seen)
+        n = [near @ right["copies"].to_numpy()[columns], left["copies"].to_numpy()[rows] @ once]
+        ends = _least_reachable(near, a[rows], b[columns])
         return pa.table(
             {
                 "node": np.concatenate([a[rows], b[columns]]),
                 "other": np.concatenate(ends),
-                "n": np.concatenate([n, np.zeros(len(columns), np.int64)]).astype(np.int64),
+                "n": np.concatenate(n).astype(np.int64),
             }
         )
 
-    found = visits.select(*block, "node", "packed").groupBy(*block).cogroup(home.select(*block, "node", "packed", "copies").groupBy(*block))
+    found = visits.select(*block, "node", "packed", "copies", "own").groupBy(*block).cogroup(
+        home.select(*block, "node", "packed", "copies", "visited").groupBy(*block)
+    )
     found = materialised(found.applyInArrow(compare, "node long, other long, n long"), "near")
     return found.groupBy("node").agg(F.sum("n").alias("n")), found.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
@@ -245,13 +263,16 @@ def near_duplicates(
         .agg(F.min("row").alias("node"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     )
     nodes = materialised(nodes, "nodes")
-    many = nodes.count()
-    if not many:
+    if nodes.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    common = nodes.groupBy(F.length("packed").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "length").first().length
-    picked = nodes.where(F.length("packed") == common).orderBy(F.xxhash64("packed"), "node").limit(sample).select("packed").collect()
-    grid = fit(unit([bytes(r.packed) for r in picked]), int(min(MOST_WORDS, np.ceil(many**0.25))), similarity, target_recall)
-    counts, sparse = links(nodes, grid, similarity)
+    by_length = nodes.groupBy(F.length("packed").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "length")
+    grids, chosen = {}, by_length.limit(MOST_LENGTHS).collect()
+    for length, n in chosen:
+        size = max(1, min(sample, SAMPLE_BYTES // length) // len(chosen))
+        picked = nodes.where(F.length("packed") == length).orderBy(F.xxhash64("packed"), "node").limit(size).select("packed").collect()
+        words = int(min(MOST_WORDS, np.ceil(n**0.25)))
+        grids[length // 8] = fit(unit([bytes(r.packed) for r in picked]), words, similarity, target_recall)
+    counts, sparse = links(nodes, grids, similarity)
     found = components(sparse)
     known = nodes.join(counts, "node", "left").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
