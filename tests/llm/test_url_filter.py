@@ -37,7 +37,7 @@ def brute(rows: list[tuple], rules=url_filter.RULES, rounds=url_filter.ROUNDS, d
     for h in hosts:
         while "." in h:
             up = h.split(".", 1)[1]
-            if h and up:
+            if h and "." in up:
                 ups.add((h, up))
             h = up
     for a, b in ups:
@@ -97,6 +97,19 @@ def test_odd_pages(spark):
     assert found(url_filter.judge(df.where("false"))) == []
 
 
+def test_sites_of_a_top_level_domain_are_no_neighbours(spark):
+    rows = [(k, f"http://bad{k}.net/fr/", None) for k in range(5)]
+    rows += [(10, "http://a.good.net/x", None), (11, "http://good.net/en/", None), (12, "http://www.bad1.net/x", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    judged = {r.page_id: r for r in url_filter.judge(df).collect()}
+    assert {k: judged[k].verdict for k in (10, 11, 12)} == {10: "allow", 11: "allow", 12: "block"}
+    assert judged[10].distrust == 0 and found(url_filter.judge(df)) == brute(rows)
+    edges = url_filter.host_edges(df.selectExpr("split(url, '/')[2] as host", "html"))
+    assert {(r.src, r.dst) for r in edges.collect()} == {
+        (a, b) for x, y in (("a.good.net", "good.net"), ("www.bad1.net", "bad1.net")) for a, b in ((x, y), (y, x))
+    }
+
+
 def test_verdicts_do_not_depend_on_the_number_of_other_seeds(spark):
     few = [(k, f"http://bad.site.net/fr/{k}", None) for k in range(2)]
     few += [(10 + k, f"http://s{k}.site.net/x", None) for k in range(1000)]

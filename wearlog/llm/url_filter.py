@@ -5,6 +5,8 @@ rule's; of several the longest wins. Hosts that rules say nothing about are judg
 
 *Edges.* Each link from a page to another host is an edge between hosts, weighted by their number.
 A host also has an edge to its parent domain and back, so a site's subdomains share their standing.
+A parent of one label (``com``) has none: sites below it have nothing in common, and all of them would
+be one key of the join.
 
 *Scores.* Trust is the personalised PageRank from the hosts of allowed pages along the edges;
 distrust is the one from the hosts of blocked pages against them. Seeds are weighted by their pages.
@@ -79,7 +81,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     parents = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.array_join(F.slice(names, n, F.size(names)), "."))
     levels = known.select(F.explode(parents).alias("host")).distinct()
     up = levels.where(F.instr("host", ".") > 0).select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1)").alias("dst"), F.lit(1.0).alias("weight"))
-    up = up.where("src != '' and dst != ''")
+    up = up.where("src != '' and instr(dst, '.') > 0")
     return linked.union(up).union(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
