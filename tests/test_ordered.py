@@ -102,6 +102,28 @@ def test_pairs_match_brute_force(spark, chunk):
     assert found == brute_pairs(baskets)
 
 
+@pytest.mark.parametrize("kind", ["date", "int", "string"])
+@pytest.mark.parametrize("often,chunk", [(8, 256), (8, 3), (1, 4), (65, 4)])
+def test_pairs_by_bits_match_brute_force(spark, kind, often, chunk):
+    """Often and rarely used items over several words of days, before and after day 0."""
+    rng = random.Random(5)
+    share = [0.9, 0.7, 0.5, 0.3, 0.12, 0.1, 0.03, 0.02]
+    baskets = [("u1", d, [f"i{k}" for k, p in enumerate(share) if rng.random() < p]) for d in range(-70, 130)]
+    baskets += [("u2", 63, ["i0", "i1", "i1"]), ("u2", 64, ["i0", "i1", "i7"])]
+    entries = [(u, d, i) for u, d, items in baskets for i in items] + [("u2", None, "i0"), ("u2", None, "i1"), ("u2", 63, None)]
+    used = spark.createDataFrame(entries, "user string, day int, item string")
+    date = {"date": F.date_from_unix_date("day"), "int": F.col("day"), "string": F.col("day").cast("string")}[kind]
+    found = cowear.cowear_pairs(used.select("user", date.alias("date"), "item"), chunk_items=chunk, often=often)
+    assert sorted(tuple(r) for r in found.select("user", "from", "to", "weight").collect()) == brute_pairs(baskets)
+
+
+def test_often_used_items_meet_once_for_64_days(spark):
+    used = spark.range(640).selectExpr("'u' as user", "cast(id as int) as date", "explode(sequence(1, 12)) as item")
+    parts = cowear.partial_pairs(used)
+    assert parts.count() == 66 * 10 and {r.weight for r in parts.collect()} == {64}
+    assert cowear.partial_pairs(used, often=65).count() == 66 * 640
+
+
 def test_forms_and_pairs(spark):
     forms = spark.createDataFrame(
         [("t", "2020-01-01", "Used today", "Used twice", None), ("t", "2020-01-02", "Used today", None, "Washed"), ("t", None, "Used", None, None)],
