@@ -12,6 +12,7 @@ from wearlog.operators import cowear, models, repairs
 from wearlog.operators import distributions as dist
 from wearlog.operators import study as ops
 from wearlog.operators import wear_rate as rate
+from wearlog.sources import storage, versions
 
 START = "DATE '2000-09-01'"
 
@@ -157,6 +158,25 @@ def estimate_changes(spark, d):
     return rate.estimate_changes(now, before)
 
 
+@query(
+    "M8_changes_between_versions",
+    """
+SELECT "user", category, item, date_purchased, total_wears, total_wears + 2 AS total_wears_orig,
+       CAST(-2 AS DOUBLE) AS wears_change
+FROM study WHERE total_wears IS NOT NULL AND EXTRACT(YEAR FROM date_purchased) % 2 = 0
+""",
+)
+def changes_between_versions(spark, d):
+    """Two versions by year of purchase, of which the earlier one has other estimates for even years."""
+    now = t.study(spark, d)
+    raised = F.when(F.year("date_purchased") % 2 == 0, F.col("total_wears") + 2).otherwise(F.col("total_wears"))
+    folder = storage.scratch_path(spark, "versions")
+    period = versions.by_year("date_purchased")
+    numbers = [versions.write_version(table, folder, period) for table in (now.withColumn("total_wears", raised), now)]
+    then, now = versions.read_changed(spark, folder, *numbers)
+    return rate.estimate_changes(now, then)
+
+
 def fit_sql(y: str, x: str, by: str, rows: str) -> str:
     group = f"{by}, " if by else ""
     sse = f"greatest(regr_syy({y}, {x}) - regr_slope({y}, {x}) * regr_sxy({y}, {x}), 0)"

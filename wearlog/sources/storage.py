@@ -40,6 +40,11 @@ def delete(spark: SparkSession, path: str) -> None:
     _delete(spark, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(found)
+
+
 def subfolders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder, by any file system that Spark knows; none if it is missing."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
