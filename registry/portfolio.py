@@ -406,6 +406,22 @@ def times_used(spark, d):
     return listings.times_used(t.use_today(spark, d), last_only=False).withColumns({c: F.round(c, 6) for c in BAND_COLUMNS})
 
 
+@query(
+    "L4_times_used_all_dates",
+    f"""
+SELECT u."user", u.category, u.date, u.item, u.cumuse, u.days_active, u.active,
+       row_number() OVER (PARTITION BY u."user", u.category, u.date
+                          ORDER BY u.active, u.days_active DESC NULLS LAST, u.item) AS rownumber,
+       std1_low, std1_high, std2_low, std2_high
+FROM use u LEFT JOIN ({BANDS}) b ON u."user" = b."user" AND u.category = b.category AND u.date = b.date
+""",
+)
+def times_used_all_dates(spark, d):
+    """The ranking of every date of the usage table."""
+    ranked = listings.times_used(t.saved_use(spark, d), last_only=False)
+    return ranked.withColumns({c: F.round(c, 6) for c in BAND_COLUMNS})
+
+
 @query(
     "L4_times_used_pooled",
     f"""
