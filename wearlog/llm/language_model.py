@@ -3,54 +3,54 @@
 Tokens of a text: its words (A-Z lower-cased), then one end mark. The mark is also the state in
 which every text begins.
 
-*Counting.* All words of all training texts are counted exactly, and all n-grams of two or three
-words that occur ``LEAST`` times, whatever the size of the corpus; those are the states and arcs.
-Hashed counts in 2^24 cells, which never fall short, first leave out n-grams that surely do not.
-
-*States.* A state is a word or a counted word pair. From state h the arc for word w has
-probability ``(c(hw) - d) / c(h)``. Without an arc the automaton takes the failure arc to the
-state without h's first word, whose weight spreads what the arcs have left over the words that h
-has no arc for. In the root every word has ``(c + 1) / (N + V + 1)``, so a word never seen has a
-probability too and all probabilities of a state add up to 1.
-
-*Scoring.* A text's weight is a sum over its n-grams, each looked up by itself: a word has its root
-weight and its failure weight as a state, a pair or triple what its arc differs from the way
-through the failure arc, and a pair its failure weight besides; an n-gram without an arc has 0.
-States, arcs and weights stay in a distributed table and are found by one join, pre-aggregated by
-text. N-grams with at least ``share`` of the training tokens, at most ``1 / share`` of an order, are
-also broadcast, so that frequent ones need no join; the result does not depend on it.
+*States and arcs.* All words, pairs and triples of all training texts are counted, whatever their
+number. A state is a word or a pair that occurs in training, besides the root. With c(h) occurrences
+of state h and a fixed ``prior`` k for its length, the arc for word w has probability
+``(c(hw) + k q) / (c(h) + k)``, where q is w's probability in the state without h's first word. Without
+an arc the automaton takes the failure arc to that state, which has weight ``k / (c(h) + k)``. In the
+root every word has ``(c + 1) / (N + V + 1)``, so a word never seen has a probability too. All
+probabilities of a state add up to 1.
+
+*Counting.* Texts are read once, into chunks of about ``chunk_tokens`` tokens, saved as numbers of the
+chunk's words. A chunk sends its distinct n-gram keys (62 bits of a hash, 2 for the length), sorted and as
+differences, in one row for each range of keys; a task adds up the counts of a range over all chunks and
+answers each chunk with the totals of the keys it sent. So a chunk gets the part of the automaton that its
+texts can reach, and nothing else is held anywhere. A range has about ``RANGE_KEYS`` keys, so the number of
+ranges grows with the corpus. Chunks lie in buckets, hence only the answers move when the two meet.
+
+*Scoring.* All texts of a chunk are traversed at once, a token at a time from left to right; each carries its
+state and adds up the weights of the arcs and failure arcs it takes.
 
 Behaviour: null and empty texts have the end mark as their only token. Rows with a null doc_id are
 scored, not learned from, and have a null ``held_out``. Repeated rows are scored and learned from
-as often as they occur. Other columns are not read. Without training rows every token is unknown
-(N = V = 0, probability 1). An empty table gives an empty result.
+as often as they occur. Other columns are not read. A text longer than a chunk is a chunk of its own.
+Without training rows every token is unknown (N = V = 0, probability 1). An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearlog.llm import words
-from wearlog.llm.cells import bits_from, cell_of, count_cells
-from wearlog.sources.storage import materialised
-
-#: Fixed value: pairs and triples that occur less often have no arc.
-LEAST = 2
-SHARE = 2.0**-21
-DISCOUNT = 0.75
-CELL_BITS = 24
-#: Tokens of a task that are counted together before they are sent on.
+from wearlog.sources.storage import materialised, scratch_path
+
+#: Prior strength of word states and of pair states.
+PRIORS = (1000.0, 20.0)
 CHUNK_TOKENS = 1 << 21
+RANGE_KEYS = 1 << 22
 END = np.uint64(0x452821E638D01377)
+WORD, PAIR, TRIPLE = (np.uint64(k) for k in (1, 2, 3))
+LENGTH_BITS = np.uint64(3)
 
 
 def join_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -58,235 +58,242 @@ def join_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return words.mix(words.mix(context ^ np.uint64(words.STEPS[2])) * np.uint64(words.BASE) + word)
 
 
-@dataclass
-class Tokens:
-    """Token keys of a slice of texts; ``pair`` and ``triple`` end at the same token.
-
-    ``text`` is the index of the text; ``has_triple`` is false for a text's first token.
-    """
-
-    token: np.ndarray
-    before: np.ndarray
-    pair: np.ndarray
-    triple: np.ndarray
-    context: np.ndarray
-    text: np.ndarray
-    has_triple: np.ndarray
-    count: np.ndarray
-
+def pack(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers, byte by byte of all of them, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-def tokens(texts: pa.Array) -> Iterator[Tokens]:
-    for _, found in words.batches(texts):
-        count = found.counts() + 1
-        begin = np.r_[0, np.cumsum(count)]
-        total = int(begin[-1])
-        token = np.full(total, END, np.uint64)
-        text = np.repeat(np.arange(len(count)), count)
-        is_word = np.ones(total, bool)
-        is_word[begin[1:] - 1] = False
-        token[is_word] = found.hashes
-        before = np.r_[END, token[:-1]] if total else token
-        pair = join_keys(before, token)
-        context = np.r_[END, pair[:-1]] if total else pair
-        has_triple = np.ones(total, bool)
-        has_triple[begin[:-1]] = False
-        yield Tokens(token, before, pair, join_keys(context, token), context, text, has_triple, count)
 
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").reshape(-1)
 
-@dataclass
-class Frequent:
-    """Sorted keys of the most frequent n-grams of a length and their log10 weights."""
 
-    key: np.ndarray
-    base: np.ndarray
-    full: np.ndarray
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in sorted keys and whether they hold the wanted key."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed), dtype=np.uint64)
 
 
-def _grouped(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct keys with their counts and other columns."""
-    columns = [np.concatenate(c) for c in zip(*parts)]
-    key, first, count = np.unique(columns[0], return_index=True, return_counts=True)
-    return (key, count, *[c[first] for c in columns[1:]])
+def token_keys(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slice by slice: keys of the tokens of consecutive texts, and tokens of each text."""
+    for _, found in words.batches(texts):
+        count = found.counts() + 1
+        token = np.full(int(count.sum()), END, np.uint64)
+        is_word = np.ones(len(token), bool)
+        is_word[np.cumsum(count) - 1] = False
+        token[is_word] = found.hashes
+        yield token, count
 
 
-def _may(cells: dict[str, np.ndarray], name: str, keys: np.ndarray) -> np.ndarray:
-    """False for keys that surely have less than ``LEAST`` occurrences."""
-    cell = cell_of(keys, CELL_BITS)
-    return (cells[name][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+def as_tape(token: np.ndarray) -> dict[str, bytes]:
+    """Tokens as numbers of distinct words, frequent ones first."""
+    distinct, at, times = np.unique(token, return_inverse=True, return_counts=True)
+    number = np.empty(len(distinct), np.int64)
+    number[np.argsort(-times, kind="stable")] = np.arange(len(distinct))
+    return {"words": pack_sorted(distinct), "times": pack(times), "tape": pack(number[at])}
 
 
-def count_ngrams(train: DataFrame) -> tuple[DataFrame, int, int, Broadcast]:
-    """Counts of all words and of the pairs and triples with at least ``LEAST`` occurrences.
+@dataclass
+class Chunk:
+    """Distinct n-gram keys of a chunk's texts, sorted, and for each token those that end with it.
 
-    Returns the saved table (length, key, n, context, lower), N, V and the cells that reach ``LEAST``.
+    ``triple`` of a text's first token is that of no training text, for its state is a word's.
     """
 
-    def hashed(batch: pa.RecordBatch):
-        for t in tokens(batch.column(0)):
-            yield "pair", t.pair
-            yield "triple", t.triple[t.has_triple]
+    keys: np.ndarray
+    word: np.ndarray
+    pair: np.ndarray
+    triple: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
 
-    cells = count_cells(train, {"pair": CELL_BITS, "triple": CELL_BITS}, hashed, bits_from(LEAST))
-    likely = train.sparkSession.sparkContext.broadcast(cells)
+    @classmethod
+    def of(cls, row: dict) -> Chunk:
+        count = np.asarray(row["n_tokens"], np.int64)
+        distinct, times = unpack_sorted(row["words"]), unpack(row["times"]).astype(np.int64)
+        token = distinct[np.argsort(-times, kind="stable")][unpack(row["tape"]).astype(np.int64)]
+        n = len(token)
+        first = np.r_[0, np.cumsum(count)[:-1]].astype(np.int64)
+        pair = join_keys(np.r_[END, token[:-1]], token)  # the token before a first one is an end
+        triple = join_keys(np.r_[END, pair[:-1]], token)
+        tagged = [x & ~LENGTH_BITS | length for x, length in ((token, WORD), (pair, PAIR), (triple, TRIPLE))]
+        keys, at = np.unique(np.concatenate(tagged), return_inverse=True)
+        at = at.astype(np.int32)
+        return cls(keys, at[:n], at[n : 2 * n], at[2 * n :], first, count)
+
+    def counts(self, learn: np.ndarray) -> np.ndarray:
+        """Occurrences of the keys in the texts to learn from."""
+        taken = np.repeat(learn, self.count)
+        total = np.zeros(len(self.keys), np.int64)
+        for at in (self.word, self.pair):
+            total += np.bincount(at[taken], minlength=len(total))
+        taken[self.first] = False
+        return total + np.bincount(self.triple[taken], minlength=len(total))
+
+
+def chunked(rows: DataFrame, chunk_tokens: int) -> DataFrame:
+    """Saved table of chunks, in buckets by chunk. Rows: doc_id, held_out, learn, text."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {1: [], 2: [], 3: []}
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        token, count, which = [], [], []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for length, parts in held.items():
-                if parts:
-                    key, count, *more = _grouped(parts)
-                    signed = [pa.array(c.view(np.int64)) for c in (key, *more)]
-                    none = pa.nulls(len(key), pa.int64())
-                    context, lower = signed[1:] if more else (none, none)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(key), length, np.int32)), signed[0], pa.array(count.astype(np.int64)), context, lower],
-                        names=["length", "key", "n", "context", "lower"],
-                    )
-                    parts.clear()
+        def flush() -> pa.RecordBatch:
+            nonlocal number, size
+            found = as_tape(np.concatenate(token))
+            many = np.concatenate(count).astype(np.int64)
+            columns = [pa.concat_arrays([w.column(k) for w in which]) for k in range(3)]
+            learned = int(many[np.asarray(columns[2].fill_null(False))].sum())
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (*columns, pa.array(many))]
+            row = [pa.array([number]), *lists, pa.array([learned]), pa.array([size]), *[pa.array([found[n]], pa.binary()) for n in ("words", "times", "tape")]]
+            names = ["chunk", "doc_id", "held_out", "learn", "n_tokens", "n_learned", "n_all", "words", "times", "tape"]
+            number, size = number + 1, 0
+            for held in (token, count, which):
+                held.clear()
+            return pa.RecordBatch.from_arrays(row, names=names)
 
         for batch in batches:
-            for t in tokens(batch.column(0)):
-                held[1].append((t.token,))
-                k = _may(likely.value, "pair", t.pair)
-                held[2].append((t.pair[k], t.before[k], t.token[k]))
-                k = _may(likely.value, "triple", t.triple) & t.has_triple
-                held[3].append((t.triple[k], t.context[k], t.pair[k]))
-                size += len(t.token)
-                if size >= CHUNK_TOKENS:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    rows = train.mapInArrow(partial, "length int, key long, n long, context long, lower long")
-    counts = rows.groupBy("length", "key").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("lower").alias("lower"))
-    counts = materialised(counts.where((F.col("length") == 1) | (F.col("n") >= LEAST)), "counts")
-    # Every token is a word or an end, and all of these are kept.
-    v, n_tokens = counts.where("length = 1").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return counts, n_tokens, v, likely
-
-
-def weigh(counts: DataFrame, n: int, v: int, discount: float = DISCOUNT) -> DataFrame:
-    """Saved table (length, key, n, base, full): what an n-gram adds to a text's two log10 scores."""
-
-    def arcs(own: DataFrame, context: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Arcs with their probability and that of the shorter one; failure weights of the states."""
-        found = own.join(context.select(F.col("key").alias("context"), F.col("n").alias("of")), "context")
-        found = found.join(lower.select(F.col("key").alias("lower"), F.col("p").alias("below")), "lower")
-        found = materialised(found.select("key", "n", "context", ((F.col("n") - discount) / F.col("of")).alias("p"), "below"), "arcs")
-        left = lambda name: F.greatest(1 - F.sum(name), F.lit(1e-9))
-        return found, materialised(found.groupBy("context").agg(F.log10(left("p") / left("below")).alias("back")), "failures")
-
-    of = lambda length: counts.where(F.col("length") == length).select("key", "n", "context", "lower")
-    word = of(1).withColumn("p", (F.col("n") + 1) / F.lit(float(n + v + 1)))
-    pair, word_back = arcs(of(2), word, word)
-    triple, pair_back = arcs(of(3), pair, pair)
-    gain = F.log10("p") - F.log10("below") - F.col("back")
-    as_state = lambda back: back.withColumnsRenamed({"context": "key", "back": "after"})
-    after = F.coalesce("after", F.lit(0.0))
-    none = F.lit(0.0).alias("base")
-    words_of = word.join(as_state(word_back), "key", "left").select(F.lit(1).alias("length"), "key", "n", F.log10("p").alias("base"), (F.log10("p") + after).alias("full"))
-    pairs = pair.join(word_back, "context").join(as_state(pair_back), "key", "left").select(F.lit(2).alias("length"), "key", "n", none, (gain + after).alias("full"))
-    triples = triple.join(pair_back, "context").select(F.lit(3).alias("length"), "key", "n", none, gain.alias("full"))
-    return materialised(words_of.union(pairs).union(triples), "weights")
-
-
-def frequent(weights: DataFrame, least: int) -> dict[int, Frequent]:
-    """At most N / least n-grams of each length come to the driver."""
-
-    def of(length: int) -> Frequent:
-        table = weights.where((F.col("length") == length) & (F.col("n") >= least)).select("key", "base", "full").toArrow()
-        key = table["key"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        return Frequent(key[order], *[table[name].to_numpy().astype(np.float64)[order] for name in ("base", "full")])
-
-    return {length: of(length) for length in (1, 2, 3)}
+            at = 0
+            for found, many in token_keys(batch.column(3)):
+                if size and size + len(found) > chunk_tokens:
+                    yield flush()
+                token.append(found)
+                count.append(many)
+                which.append(batch.slice(at, len(many)))
+                at += len(many)
+                size += len(found)
+        if size:
+            yield flush()
+
+    schema = f"chunk long, doc_id array<{kind}>, held_out array<boolean>, learn array<boolean>, n_tokens array<long>, n_learned long, n_all long, words binary, times binary, tape binary"
+    spark = rows.sparkSession
+    name = f"chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.select("doc_id", "held_out", "learn", "text").mapInArrow(read, schema)
+    found.write.format("parquet").bucketBy(buckets, "chunk").option("path", scratch_path(spark, "chunks")).saveAsTable(name)
+    chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files are in the scratch folder
+    return chunks
+
+
+def totals(chunks: DataFrame, n_all: int) -> tuple[DataFrame, int]:
+    """Saved table (chunk, part, totals) of the counts of the keys that a chunk has in a range, and V."""
+    bits = max(1, (3 * n_all // RANGE_KEYS).bit_length())
+    edges = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.uint64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                chunk = Chunk.of(row)
+                count = chunk.counts(np.asarray(row["learn"], object) == True)  # noqa: E712
+                cuts = np.r_[0, np.searchsorted(chunk.keys, edges), len(chunk.keys)]
+                parts = [p for p in range(1 << bits) if cuts[p] < cuts[p + 1]]
+                blobs = [[f(x[cuts[p] : cuts[p + 1]]) for p in parts] for f, x in ((pack_sorted, chunk.keys), (pack, count))]
+                yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int64()), "chunk": pa.array([row["chunk"]] * len(parts), pa.int64()), "keys": blobs[0], "counts": blobs[1]})
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = key[0].as_py()
+        chunk, keys, counts = [], [], []
+        for batch in batches:
+            chunk += batch.column("chunk").to_pylist()
+            keys += [unpack_sorted(x.as_py()) for x in batch.column("keys")]
+            counts += [unpack(x.as_py()) for x in batch.column("counts")]
+        cuts = np.r_[0, np.cumsum([len(x) for x in keys])]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        keys.clear()
+        total = np.zeros(len(distinct), np.uint64)
+        for k, count in enumerate(counts):
+            total[at[cuts[k] : cuts[k + 1]]] += count  # a chunk's keys are distinct
+        v = int(((distinct & LENGTH_BITS == WORD) & (total > 0)).sum())
+        for k, number in enumerate(chunk):
+            answer = pack(total[at[cuts[k] : cuts[k + 1]]])
+            yield pa.RecordBatch.from_pydict({"chunk": [number], "part": [part], "v": [v if k == 0 else 0], "totals": [answer]})
+
+    columns = ["chunk", "learn", "n_tokens", "words", "times", "tape"]
+    sent = chunks.select(*columns).mapInArrow(send, "part long, chunk long, keys binary, counts binary")
+    answers = materialised(sent.groupBy("part").applyInArrow(add, "chunk long, part long, v long, totals binary"), "totals")
+    return answers.drop("v"), answers.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+
+
+def traverse(chunk: Chunk, n: np.ndarray, root: np.ndarray, priors: tuple[float, float]) -> np.ndarray:
+    """log10 weight of each text. ``n``: occurrences of the keys; ``root``: each token's probability in the root."""
+    at_word, at_pair, at_triple = n[chunk.word], n[chunk.pair], n[chunk.triple]
+    at_triple[chunk.first] = 0
+    word_state = np.r_[0, at_word[:-1]]
+    pair_state = np.r_[0, at_pair[:-1]]
+    ends = chunk.first + chunk.count - 1
+    word_state[chunk.first] = at_word[ends]  # all texts begin in the state of the end mark
+    pair_state[chunk.first] = 0
+    one, two = priors
+    arc2 = (at_pair + one * root) / (word_state + one)
+    arc3 = np.log10((at_triple + two * arc2) / (pair_state + two))
+    # Weights of the arcs that leave a pair's, a word's state and the root at a token, and of failure arcs there.
+    arcs = np.stack([np.log10(root), np.log10(arc2), arc3])
+    failures = np.stack([np.zeros(len(root)), np.log10(one / (word_state + one)), np.log10(two / (pair_state + two))])
+    has_arc = np.stack([np.ones(len(root), bool), at_pair > 0, at_triple > 0])
+    leads_to = np.where(at_pair > 0, 2, np.where(at_word > 0, 1, 0))  # length of the state after a token
+    order = np.argsort(-chunk.count, kind="stable")
+    begin, falling = chunk.first[order], -chunk.count[order]
+    weight = np.zeros(len(order))
+    state = np.where(at_word[ends[order]] > 0, 1, 0)
+    for step in range(int(chunk.count.max(initial=0))):
+        live = int(np.searchsorted(falling, -step))  # texts of more tokens than that
+        at, s = begin[:live] + step, state[:live]
+        for _ in range(2):
+            fails = ~has_arc[s, at]
+            if fails.any():
+                weight[:live] += np.where(fails, failures[s, at], 0.0)
+                s = s - fails
+        weight[:live] += arcs[s, at]
+        state[:live] = leads_to[at]
+    out = np.empty(len(order))
+    out[order] = weight
+    return out
 
 
 def train_and_score(
-    docs: DataFrame, learn: Column, held_out: Column, share: float = SHARE, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    learn: Column,
+    held_out: Column,
+    priors: tuple[float, float] = PRIORS,
+    chunk_tokens: int = CHUNK_TOKENS,
+    doc_id: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """Learn from the rows where ``learn`` is true and score all rows.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), learn.alias("learn"), held_out.alias("held_out"))
-    counts, n, v, likely = count_ngrams(rows.where("learn").select("text"))
-    weights = weigh(counts, n, v)
-    least = max(LEAST, int(np.ceil(share * n)))
-    model = docs.sparkSession.sparkContext.broadcast(frequent(weights, least))
-    unseen = -math.log10(n + v + 1)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            parts: list[list] = [[] for _ in range(7)]
-            for t in tokens(batch.column(2)):
-                texts = len(t.count)
-                base, full = np.full(len(t.token), unseen), np.full(len(t.token), unseen)
-                rare = []
-                for length, key in ((1, t.token), (2, t.pair), (3, t.triple)):
-                    m = model.value[length]
-                    at, known = find(m.key, key)
-                    asked = ~known
-                    if length == 1:
-                        in_words = known
-                        base[known], full[known] = m.base[at[known]], m.full[at[known]]
-                    else:
-                        asked &= _may(likely.value, "pair" if length == 2 else "triple", key)
-                        if length == 3:
-                            known, asked = known & t.has_triple, asked & t.has_triple
-                        full[known] += m.full[at[known]]
-                    asked = np.flatnonzero(asked)
-                    rare.append((t.text[asked], np.full(len(asked), length, np.int32), key[asked]))
-                text_of, length_of, key = (np.concatenate(c) for c in zip(*rare))
-                order = np.lexsort((key, length_of, text_of))
-                text_of, length_of, key = text_of[order], length_of[order], key[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (key[1:] != key[:-1]) | (length_of[1:] != length_of[:-1]) | (text_of[1:] != text_of[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.r_[first, len(order)])
-                many = np.bincount(text_of[first], minlength=texts)
-                lists = [length_of[first], key[first].view(np.int64), times.astype(np.int64)]
-                edges = np.r_[0, np.cumsum(many)].astype(np.int32)
-                for k, x in enumerate((t.count, np.bincount(t.text, in_words, texts).astype(np.int64), np.bincount(t.text, base, texts), np.bincount(t.text, full, texts))):
-                    parts[k].append(pa.array(x))
-                for k, x in enumerate(lists):
-                    parts[4 + k].append(pa.ListArray.from_arrays(pa.array(edges), pa.array(x)))
-            n_rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + n_rows)), batch.column(0), batch.column(1), *[pa.concat_arrays(p) for p in parts]],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_states", "base_part", "score_part", "length", "rare", "times"],
-            )
-            row += n_rows
+    chunks = chunked(rows, chunk_tokens)
+    n, n_all = chunks.agg(F.coalesce(F.sum("n_learned"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
+    answers, v = totals(chunks, n_all)
+
+    def score(held: pa.Table, answer: pa.Table) -> pa.Table:
+        row = held.select(["n_tokens", "words", "times", "tape"]).to_pylist()[0]
+        chunk = Chunk.of(row)
+        parts = sorted(answer.select(["part", "totals"]).to_pylist(), key=lambda r: r["part"])
+        total = np.concatenate([unpack(r["totals"]) for r in parts]).astype(np.int64)
+        root = (total[chunk.word] + 1) / (n + v + 1)
+        text = np.repeat(np.arange(len(chunk.count)), chunk.count)
+        known = np.bincount(text[total[chunk.word] > 0], minlength=len(chunk.count)).astype(np.int64)
+        columns = [
+            *[held[name].combine_chunks().flatten() for name in ("doc_id", "held_out")],
+            pa.array(chunk.count),
+            pa.array(known),
+            pa.array(np.full(len(known), n, np.int64)),
+            pa.array(np.bincount(text, np.log10(root), len(known))),
+            pa.array(traverse(chunk, total, root, priors)),
+        ]
+        return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_states long, base_part double, score_part double, length array<int>, rare array<long>, times array<long>"
-    scored = materialised(rows.select("doc_id", "held_out", "text").mapInArrow(score, schema), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("length", "rare", "times")).alias("x")).select("row", "x.length", F.col("x.rare").alias("key"), "x.times")
-    # A word's weights beyond those that every word not broadcast has had already.
-    had = F.when(F.col("length") == 1, F.lit(unseen)).otherwise(0.0)
-    known = weights.where(F.col("n") < least).select("length", "key", (F.col("base") - had).alias("base"), (F.col("full") - had).alias("full"))
-    of_row = rare.join(known, ["length", "key"]).groupBy("row").agg(
-        F.sum(F.col("times") * F.col("base")).alias("base"),
-        F.sum(F.col("times") * F.col("full")).alias("full"),
-        F.sum(F.when(F.col("length") == 1, F.col("times")).otherwise(0)).alias("n_rare"),
-    )
-    return scored.drop("length", "rare", "times").join(of_row, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_states") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_part") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
-        (F.col("score_part") + F.coalesce("full", F.lit(0.0))).alias("score"),
-    )
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    asked = chunks.select("chunk", "doc_id", "held_out", "n_tokens", "words", "times", "tape")
+    return asked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
