@@ -62,7 +62,7 @@ def test_small_corpus_and_probabilities_add_up(spark):
         assert sum(p3(t, u, w) for w in one) + p3(t, u, "unseen") == pytest.approx(1)
 
 
-@pytest.mark.parametrize("size, keys, priors", [(1, 2, (1000.0, 20.0)), (7, 1 << 22, (1.5, 0.5)), (1 << 21, 3, (4.0, 2.0))])
+@pytest.mark.parametrize("size, keys, priors", [(1, 2, (1000.0, 20.0)), (7, 1 << 22, (1.5, 0.5)), (lm.CHUNK_TOKENS, 3, (4.0, 2.0))])
 def test_scores_do_not_depend_on_chunks_and_ranges(spark, monkeypatch, size, keys, priors):
     monkeypatch.setattr(lm, "RANGE_KEYS", keys)
     texts = ["a b c a b d", "a b c", "x a b", "a b c a b c a b", "b a", "d d d x", "new words a b c", "x a b c", "d d"]

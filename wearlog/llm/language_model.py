@@ -46,7 +46,7 @@ from wearlog.sources.storage import materialised, scratch_path
 
 #: Prior strength of word states and of pair states.
 PRIORS = (1000.0, 20.0)
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 3 << 19
 RANGE_KEYS = 1 << 22
 END = np.uint64(0x452821E638D01377)
 WORD, PAIR, TRIPLE = (np.uint64(k) for k in (1, 2, 3))
@@ -114,14 +114,25 @@ class Chunk:
     def of(cls, row: dict) -> Chunk:
         count = np.asarray(row["n_tokens"], np.int64)
         distinct, times = unpack_sorted(row["words"]), unpack(row["times"]).astype(np.int64)
-        token = distinct[np.argsort(-times, kind="stable")][unpack(row["tape"]).astype(np.int64)]
-        n = len(token)
+        number = unpack(row["tape"]).astype(np.int32)
+        n = len(number)
+        # One array for all, filled and sorted in place: this is what most of a task's memory goes to.
+        every = np.empty((3, n), np.uint64)
+        np.take(distinct[np.argsort(-times, kind="stable")], number, out=every[0])
+        del number
         first = np.r_[0, np.cumsum(count)[:-1]].astype(np.int64)
-        pair = join_keys(np.r_[END, token[:-1]], token)  # the token before a first one is an end
-        triple = join_keys(np.r_[END, pair[:-1]], token)
-        tagged = [x & ~LENGTH_BITS | length for x, length in ((token, WORD), (pair, PAIR), (triple, TRIPLE))]
-        keys, at = np.unique(np.concatenate(tagged), return_inverse=True)
-        at = at.astype(np.int32)
+        every[1] = join_keys(np.r_[END, every[0, :-1]], every[0])  # the token before a first one is an end
+        every[2] = join_keys(np.r_[END, every[1, :-1]], every[0])
+        every &= ~LENGTH_BITS
+        every |= np.array([WORD, PAIR, TRIPLE])[:, None]
+        every = every.reshape(-1)
+        order = np.argsort(every)
+        every = every[order]
+        new = np.r_[True, every[1:] != every[:-1]]
+        keys = every[new]
+        del every
+        at = np.empty(3 * n, np.int32)
+        at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         return cls(keys, at[:n], at[n : 2 * n], at[2 * n :], first, count)
 
     def counts(self, learn: np.ndarray) -> np.ndarray:
@@ -231,17 +242,23 @@ def traverse(chunk: Chunk, n: np.ndarray, root: np.ndarray, priors: tuple[float,
     word_state[chunk.first] = at_word[ends]  # all texts begin in the state of the end mark
     pair_state[chunk.first] = 0
     one, two = priors
-    arc2 = (at_pair + one * root) / (word_state + one)
-    arc3 = np.log10((at_triple + two * arc2) / (pair_state + two))
-    # Weights of the arcs that leave a pair's, a word's state and the root at a token, and of failure arcs there.
-    arcs = np.stack([np.log10(root), np.log10(arc2), arc3])
-    failures = np.stack([np.zeros(len(root)), np.log10(one / (word_state + one)), np.log10(two / (pair_state + two))])
+    # Weights of the arcs that leave the root, a word's and a pair's state at a token, and of failure arcs there.
+    arcs, failures = np.empty((3, len(root))), np.empty((3, len(root)))
+    arcs[0], failures[0] = root, 1
+    for k, (of_arc, of_state, prior) in enumerate(((at_pair, word_state, one), (at_triple, pair_state, two)), 1):
+        arcs[k] = (of_arc + prior * arcs[k - 1]) / (of_state + prior)
+        failures[k] = prior / (of_state + prior)
+    del word_state, pair_state, of_state
+    np.log10(arcs, out=arcs)
+    np.log10(failures, out=failures)
     has_arc = np.stack([np.ones(len(root), bool), at_pair > 0, at_triple > 0])
-    leads_to = np.where(at_pair > 0, 2, np.where(at_word > 0, 1, 0))  # length of the state after a token
+    leads_to = np.where(at_pair > 0, 2, np.where(at_word > 0, 1, 0)).astype(np.int8)  # length of the state after a token
+    last = at_word[ends] > 0
+    del at_word, at_pair, at_triple, of_arc
     order = np.argsort(-chunk.count, kind="stable")
     begin, falling = chunk.first[order], -chunk.count[order]
     weight = np.zeros(len(order))
-    state = np.where(at_word[ends[order]] > 0, 1, 0)
+    state = last[order].astype(np.int8)
     for step in range(int(chunk.count.max(initial=0))):
         live = int(np.searchsorted(falling, -step))  # texts of more tokens than that
         at, s = begin[:live] + step, state[:live]
