@@ -55,7 +55,32 @@ def test_whole_table(spark, monkeypatch):
     assert mean("near_edited") > mean("near_next") + 0.05
 
 
-def test_neighbours_match_all_pairs(spark):
+def near(rows: list, radius: int) -> dict[str, int]:
+    marks = {r.fingerprint: int(r.fingerprint, 16) for r in rows}
+    return {k: sum(0 < (x ^ y).bit_count() <= radius for y in marks.values()) for k, x in marks.items()}
+
+
+def test_near_fingerprints_of_odd_rows(spark):
+    for docs in (cases.odd_docs(spark), cases.no_docs(spark)):
+        plain = simhash.with_next(docs).cache()
+        result = simhash.with_near(plain, 6).collect()
+        assert len(result) == plain.count()
+        assert all(r.n_near == near(result, 6)[r.fingerprint] for r in result)
+
+
+@pytest.mark.skipif(not cases.have_tables(), reason="no driver tables")
+def test_query_has_near_fingerprints(spark):
+    from wearlog.llm.queries import op7_document_fingerprints
+
+    result = op7_document_fingerprints(spark, cases.SMALL).collect()
+    assert {r.doc_id for r in result} == {r["doc_id"] for r in cases.table("documents")}
+    expected = near(result, simhash.RADIUS)
+    assert all(r.n_near == expected[r.fingerprint] for r in result)
+
+
+@pytest.mark.parametrize("hot", [256, 3, 0])
+def test_neighbours_match_all_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_KEY", hot)
     rng = random.Random(8)
     marks = {rng.getrandbits(128) for _ in range(40)}
     for _ in range(400):
@@ -68,4 +93,5 @@ def test_neighbours_match_all_pairs(spark):
     df = spark.createDataFrame(rows, "fingerprint string")
     for radius in (0, 1, 3):
         expected = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in marks for b in marks if a < b and (a ^ b).bit_count() <= radius}
-        assert {tuple(r) for r in simhash.neighbours(df, radius).collect()} == expected
+        pairs = [tuple(r) for r in simhash.neighbours(df, radius).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == expected

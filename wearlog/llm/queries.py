@@ -22,6 +22,7 @@ from wearlog.llm import (
     url_filter,
 )
 from wearlog.llm.ngram_join import ngram_join
+from wearlog.sources.storage import materialised
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +66,7 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.with_next(_table(spark, sf_dir, "documents"))
+    return simhash.with_near(materialised(simhash.with_next(_table(spark, sf_dir, "documents")), "fingerprints"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

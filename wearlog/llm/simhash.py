@@ -7,7 +7,7 @@ fingerprints. Likeness of two fingerprints: share of equal bits.
 ``neighbours`` finds all pairs of distinct fingerprints within a radius r by permuted block tables:
 the bits are cut into r + 2 blocks, of which two at least agree if no more than r bits differ, so
 a table for each two blocks, joined on both, misses none. Copies share one fingerprint and are not
-expanded.
+expanded. ``with_near`` counts them for each row.
 
 ``with_next`` compares every text with the next one in descending order of ids and with an edited
 form whose second half comes from there. Only compressed texts are shuffled, once, cut into ranges
@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearlog.llm import words
@@ -38,6 +38,11 @@ BITS = 128
 #: Rows of a range of ids, and the most ranges (they are named in the plan).
 RANGE_ROWS = 2000
 MOST_RANGES = 50_000
+#: Different bits of fingerprints that are near each other.
+RADIUS = 3
+#: Fingerprints with the same two blocks, from which on they are told apart by two more.
+HOT_KEY = 256
+SALTS = 16
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -72,19 +77,70 @@ def fingerprint_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return rows.mapInArrow(describe, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def neighbours(marks: DataFrame, radius: int = 3, column: str = "fingerprint") -> DataFrame:
-    """All pairs a < b of distinct fingerprints (hex) with at most ``radius`` different bits."""
-    blocks = radius + 2
-    edges = [BITS * k // blocks for k in range(blocks + 1)]
-    cut = [F.substring("_bits", a + 1, b - a) for a, b in zip(edges, edges[1:])]
-    tables = F.array(*[F.concat_ws(":", F.lit(f"{i}-{j}"), cut[i], cut[j]) for i, j in combinations(range(blocks), 2)])
-    binary = F.concat(*[F.lpad(F.conv(F.substring("mark", 8 * k + 1, 8), 16, 2), 32, "0") for k in range(BITS // 32)])
-    keyed = marks.where(F.col(column).isNotNull()).select(F.col(column).alias("mark")).distinct().withColumn("_bits", binary)
-    keyed = keyed.select("mark", F.explode(tables).alias("key"))
-    a, b = keyed.withColumnRenamed("mark", "a"), keyed.withColumnRenamed("mark", "b")
-    words_of = lambda c: [F.conv(F.substring(c, 8 * k + 1, 8), 16, 10).cast("long") for k in range(BITS // 32)]
-    distance = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words_of("a"), words_of("b"))), F.lit(0))
-    return a.join(b, "key").where("a < b").withColumn("distance", distance).where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+def _cut(blocks: int, spread: bool) -> list[tuple[int, int]]:
+    """Masks of the bits of each block, as two signed 64-bit numbers: bits in a row, or every so many-th."""
+    masks = []
+    for k in range(blocks):
+        at = range(k, BITS, blocks) if spread else range(BITS * k // blocks, BITS * (k + 1) // blocks)
+        whole = sum(1 << (BITS - 1 - p) for p in at).to_bytes(BITS // 8, "big")
+        masks.append((int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)))
+    return masks
+
+
+def _tables(cut: list[tuple[int, int]], *seed: Column) -> Column:
+    """Array of (table, key): a key for each two blocks, equal where both blocks are."""
+    def key(t: int, i: int, j: int) -> Column:
+        masked = [F.col(c).bitwiseAND(F.lit(cut[i][k] | cut[j][k]).cast("long")) for k, c in enumerate(("hi", "lo"))]
+        return F.struct(F.lit(t).alias("table"), F.xxhash64(*seed, F.lit(t), *masked).alias("key"))
+
+    return F.array(*[key(t, i, j) for t, (i, j) in enumerate(combinations(range(len(cut)), 2))])
+
+
+def _first_table(cut: list[tuple[int, int]], differ: tuple[Column, Column]) -> Column:
+    """The first table in which two fingerprints meet, from the bits in which they differ."""
+    equal = [(differ[0].bitwiseAND(F.lit(x).cast("long")) == 0) & (differ[1].bitwiseAND(F.lit(y).cast("long")) == 0) for x, y in cut]
+    return F.coalesce(*[F.when(equal[i] & equal[j], F.lit(t)) for t, (i, j) in enumerate(combinations(range(len(cut)), 2))])
+
+
+def neighbours(marks: DataFrame, radius: int = RADIUS, column: str = "fingerprint") -> DataFrame:
+    """All pairs a < b of distinct fingerprints (hex) with at most ``radius`` different bits.
+
+    A pair meets in several tables and counts in the first. Where more than ``HOT_KEY`` fingerprints
+    share a table's key, they meet in tables of a second cut instead, over every (r + 2)-th bit.
+    """
+    near, far = _cut(radius + 2, False), _cut(radius + 2, True)
+    part = lambda k: F.conv(F.substring("mark", 8 * k + 1, 8), 16, 10).cast("long")
+    half = lambda k: F.shiftleft(part(k), 32).bitwiseOR(part(k + 1))
+    distinct = marks.where(F.col(column).isNotNull()).select(F.col(column).alias("mark")).distinct().select(half(0).alias("hi"), half(2).alias("lo"))
+    keyed = distinct.select("hi", "lo", F.explode(_tables(near)).alias("x")).select("hi", "lo", "x.table", "x.key")
+    hot = keyed.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key", F.lit(True).alias("hot"))
+    plain = F.array(F.struct(F.lit(-1).alias("table"), F.col("key").alias("key")))
+    sides = (
+        keyed.join(hot, "key", "left")
+        .select("hi", "lo", "table", F.explode(F.when(F.col("hot"), _tables(far, F.col("key"))).otherwise(plain)).alias("x"))
+        .select("hi", "lo", "table", F.col("x.table").alias("second"), "x.key")
+    )
+    a, b = sides.alias("a"), sides.alias("b")
+    differ = tuple(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("hi", "lo"))
+    distance = F.bit_count(differ[0]) + F.bit_count(differ[1])
+    below = (F.col("a.hi") < F.col("b.hi")) | ((F.col("a.hi") == F.col("b.hi")) & (F.col("a.lo") < F.col("b.lo")))
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.table") == F.col("b.table")) & (F.col("a.second") == F.col("b.second"))
+    first = (F.col("a.table") == _first_table(near, differ)) & ((F.col("a.second") < 0) | (F.col("a.second") == _first_table(far, differ)))
+    text = lambda s: F.lower(F.concat(*[F.lpad(F.hex(f"{s}.{c}"), 16, "0") for c in ("hi", "lo")]))
+    found = a.join(b, same & below & (distance <= radius) & first)
+    return found.select(F.least(text("a"), text("b")).alias("a"), F.greatest(text("a"), text("b")).alias("b"), distance.alias("distance"))
+
+
+def with_near(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Add ``n_near`` (long): other fingerprints of the table within the radius. ``rows`` is read twice.
+
+    Copies share a fingerprint, which counts once. Rows of one fingerprint are dealt to ``SALTS`` keys.
+    """
+    pairs = neighbours(rows, radius)
+    n_near = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_near"))
+    n_near = n_near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(SALTS)).cast("int"))
+    return salted.join(n_near, ["fingerprint", "_salt"], "left").select(*rows.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
