@@ -33,6 +33,9 @@ CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 WAYS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SHOES = ["click", "error", "purchase", "signup", "view"]
 
+# Order lines per task of a diary. A task sorts the days of its items and groups them, at about a kilobyte a line.
+LINES_PER_PART = 100_000
+
 
 _SCHEMAS: dict[str, T.StructType] = {}
 
@@ -51,6 +54,7 @@ def dim(spark: SparkSession, order: list[str] | None = None) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = parts(spark, sf_dir)
     orders = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         "o_custkey",
@@ -58,8 +62,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus",
         "o_orderpriority",
     )
+    orders, entries = orders.repartition(n, "l_orderkey"), read(spark, sf_dir, "lineitem").repartition(n, "l_orderkey")
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand", "p_size")
-    return read(spark, sf_dir, "lineitem").join(orders, "l_orderkey").join(part, "l_partkey")
+    return entries.join(orders, "l_orderkey").join(part, "l_partkey")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """Number of parts of a diary, so that a part has the same size however long the diary is.
+
+    The rows come from the file footers. Parts that follow from shuffled bytes instead grow with the
+    data, as day rows compress far below what a task holds of them.
+    """
+    return read(spark, sf_dir, "lineitem").count() // LINES_PER_PART + 1
 
 
 def _owner(prefix: str, key: str, size: int) -> Column:
@@ -96,15 +110,17 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(n % 17 != 0, (F.min("p_size") % 5).cast("double")).alias("used_init"),
         )
         .withColumn("photo", F.col("item"))
+        .repartition(parts(spark, sf_dir), "user", "item")
     )
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        diary_lines(spark, sf_dir)
-        .groupBy("user", "category", "item", F.col("day").alias("date"))
-        .agg(F.bool_or(F.col("l_returnflag") == "R").alias("used"))
+    """Days of the items, placed by user and item as the usage operators need them: one shuffle for all."""
+    entries = diary_lines(spark, sf_dir).select(
+        "user", "category", "item", F.col("day").alias("date"), (F.col("l_returnflag") == "R").alias("_returned")
     )
+    placed = entries.repartition(parts(spark, sf_dir), "user", "item")
+    return placed.groupBy("user", "category", "item", "date").agg(F.bool_or("_returned").alias("used"))
 
 
 def end(spark: SparkSession, sf_dir: str) -> Column:
