@@ -63,3 +63,12 @@ def test_lines_are_joined_in_parts_of_one_size(spark, orders, monkeypatch):
     monkeypatch.setattr(tables, "LINES_PER_PART", 50)
     placed = re.findall(r"hashpartitioning\(l_orderkey#\d+L, (\d+)\), (\w+)", plan(tables.lines(spark, orders)))
     assert placed == [("13", "REPARTITION_BY_NUM")] * 2
+
+
+def test_asof_costs_are_spread_and_averaged_without_a_shuffle_in_between(spark, orders):
+    use = tables.saved_use(spark, orders)
+    args = (use, portfolio.report_days(spark, orders))
+    plain, cut = daily_cost.daily_cost_asof(*args, exclude=()), daily_cost.daily_cost_asof(*args, exclude=(), parts=5)
+    top = plan(cut).split("Generate explode(_days")[0]
+    assert "hashpartitioning" not in top and re.search(r"hashpartitioning\(user#\d+, 5\), REPARTITION_BY_NUM", plan(cut))
+    assert sorted(map(tuple, cut.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)

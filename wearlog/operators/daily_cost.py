@@ -30,7 +30,10 @@ def _selected(use: DataFrame, include: Sequence[str] | None, exclude: Sequence[s
 def with_midpoint_average(days: DataFrame, keys: Sequence[str], window: int, min_rows: int | None = None) -> DataFrame:
     """Trailing mean over rows, moved to the middle of its window."""
     by_date = W.partitionBy(*keys).orderBy("date")
-    mean = rolling(F.avg("daily_cost"), by_date, window, min_rows, of="daily_cost")
+    if min_rows == 1:  # a mean is null without a known value, so none needs to be counted
+        mean = F.avg("daily_cost").over(by_date.rowsBetween(-(window - 1), W.currentRow))
+    else:
+        mean = rolling(F.avg("daily_cost"), by_date, window, min_rows, of="daily_cost")
     return (
         days.withColumn("_mean", mean)
         .withColumn("average_daily_cost", F.lead("_mean", round(window / 2)).over(by_date))
@@ -84,6 +87,7 @@ def daily_cost_asof(
     window: int = 30,
     include: Sequence[str] | None = None,
     exclude: Sequence[str] = defaults.COST_EXCLUDED_CATEGORIES,
+    parts: int | None = None,
 ) -> DataFrame:
     """Daily cost as it stood on each report day (column ``day``), from the rows up to that day.
 
@@ -91,6 +95,10 @@ def daily_cost_asof(
     report days on which its lowest cost or its status changes. A used day emits its item's state
     on the next report day and then one difference per change; differences are summed by user, day
     used and report day, accumulated, and held until the next change.
+
+    The summed differences are placed by user once; the result is spread and averaged where they are,
+    as a user's rows are bounded by report days and calendar. They are few bytes before they are spread,
+    so ``parts``, the number of tasks for that, should be given where the result is large.
     """
     rows = _selected(use, include, exclude).select("user", "item", "date", "cost_per_use", "active", "used")
     reports, next_report = _numbered(rows, days)
@@ -118,13 +126,14 @@ def daily_cost_asof(
         .where(F.col("_to").isNull() | (F.col("_to") > F.col("_n")))
         .withColumn("_first", F.col("_from") <= F.col("_n"))
     )
-    parts = [
+    sums = [
         F.sum(F.col(f"_state.{c}") - F.when(F.col("_first"), F.lit(0)).otherwise(F.col(f"_old.{c}"))).alias(f"_{c}")
         for c in ("cost", "unknown", "active")
     ]
     by_report = W.partitionBy("user", "date").orderBy("_n")
-    summed = changes.groupBy("user", "date", F.greatest("_n", "_from").alias("_n")).agg(*parts)
-    held = summed.select(
+    summed = changes.groupBy("user", "date", F.greatest("_n", "_from").alias("_n")).agg(*sums)
+    placed = summed.repartition("user") if parts is None else summed.repartition(parts, "user")
+    held = placed.select(
         "user",
         "date",
         *[F.sum(f"_{c}").over(by_report.rowsBetween(W.unboundedPreceding, W.currentRow)).alias(f"_{c}") for c in ("cost", "unknown", "active")],
