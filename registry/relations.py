@@ -168,7 +168,7 @@ FROM study WHERE total_wears IS NOT NULL AND EXTRACT(YEAR FROM date_purchased) %
 )
 def changes_between_versions(spark, d):
     """Two versions by year of purchase, of which the earlier one has other estimates for even years."""
-    now = t.study(spark, d)
+    now = storage.materialised(t.study(spark, d), "study")  # each version reads it twice
     raised = F.when(F.year("date_purchased") % 2 == 0, F.col("total_wears") + 2).otherwise(F.col("total_wears"))
     folder = storage.scratch_path(spark, "versions")
     period = versions.by_year("date_purchased")

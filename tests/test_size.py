@@ -72,3 +72,10 @@ def test_asof_costs_are_spread_and_averaged_without_a_shuffle_in_between(spark,
     top = plan(cut).split("Generate explode(_days")[0]
     assert "hashpartitioning" not in top and re.search(r"hashpartitioning\(user#\d+, 5\), REPARTITION_BY_NUM", plan(cut))
     assert sorted(map(tuple, cut.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_versions_are_written_from_a_saved_table(spark, orders, monkeypatch):
+    seen, write = [], versions.write_version
+    monkeypatch.setattr(versions, "write_version", lambda df, *a: seen.append(plan(df)) or write(df, *a))
+    relations.changes_between_versions(spark, orders)
+    assert len(seen) == 2 and not any("lineitem" in p for p in seen)
