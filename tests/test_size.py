@@ -79,3 +79,15 @@ def test_versions_are_written_from_a_saved_table(spark, orders, monkeypatch):
     monkeypatch.setattr(versions, "write_version", lambda df, *a: seen.append(plan(df)) or write(df, *a))
     relations.changes_between_versions(spark, orders)
     assert len(seen) == 2 and not any("lineitem" in p for p in seen)
+
+
+def test_refreshes_read_a_saved_log(spark, orders, monkeypatch):
+    seen, refresh = [], usage.increments.refresh
+
+    def recorded(spark, folder, log, items, *rest):
+        seen.append(plan(log) + plan(items))
+        refresh(spark, folder, log, items, *rest)
+
+    monkeypatch.setattr(usage.increments, "refresh", recorded)
+    usage.refreshed(spark, orders)
+    assert len(seen) == 3 and not any("lineitem" in p for p in seen)
