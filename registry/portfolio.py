@@ -403,7 +403,7 @@ WHERE u.date = (SELECT max(date) FROM use)
 """,
 )
 def times_used(spark, d):
-    return listings.times_used(t.use_today(spark, d), last_only=False).withColumns({c: F.round(c, 6) for c in BAND_COLUMNS})
+    return listings.times_used(t.saved_use_today(spark, d), last_only=False).withColumns({c: F.round(c, 6) for c in BAND_COLUMNS})
 
 
 @query(
@@ -435,7 +435,7 @@ WHERE u.date = (SELECT max(date) FROM use) AND u.category IN ('SMALL', 'LARGE')
 )
 def times_used_pooled(spark, d):
     """Two categories of a user ranked together."""
-    ranked = listings.times_used(t.use_today(spark, d), last_only=False, categories=["SMALL", "LARGE"], pooled=True)
+    ranked = listings.times_used(t.saved_use_today(spark, d), last_only=False, categories=["SMALL", "LARGE"], pooled=True)
     return ranked.withColumns({c: F.round(c, 6) for c in BAND_COLUMNS})
 
 

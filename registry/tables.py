@@ -142,6 +142,12 @@ def saved_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialised(use(spark, sf_dir), "usage")
 
 
+def saved_use_today(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day on disk, for reports that read it more than once."""
+    listed = materialised(items(spark, sf_dir), "items")
+    return materialised(last_state(log(spark, sf_dir), listed, START, end(spark, sf_dir), photos=False), "today")
+
+
 def study_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count(F.lit(1))
     in_study = F.col("day") > F.lit(STUDY_START)

@@ -91,3 +91,8 @@ def test_refreshes_read_a_saved_log(spark, orders, monkeypatch):
     monkeypatch.setattr(usage.increments, "refresh", recorded)
     usage.refreshed(spark, orders)
     assert len(seen) == 3 and not any("lineitem" in p for p in seen)
+
+
+@pytest.mark.parametrize("query", [portfolio.times_used, portfolio.times_used_pooled])
+def test_ranking_of_the_last_day_reads_a_saved_state(spark, orders, query):
+    assert "lineitem" not in plan(query(spark, orders))
