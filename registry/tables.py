@@ -54,7 +54,9 @@ def dim(spark: SparkSession, order: list[str] | None = None) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Ten times the lines of a diary's part: groupings behind the join sum more of them before they shuffle.
     n = parts(spark, sf_dir)
+    n = max(n // 10, min(n, spark.sparkContext.defaultParallelism))
     orders = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         "o_custkey",

@@ -60,9 +60,9 @@ def test_parts_of_a_diary_follow_its_lines(spark, orders, monkeypatch):
 
 
 def test_lines_are_joined_in_parts_of_one_size(spark, orders, monkeypatch):
-    monkeypatch.setattr(tables, "LINES_PER_PART", 50)
+    monkeypatch.setattr(tables, "LINES_PER_PART", 5)
     placed = re.findall(r"hashpartitioning\(l_orderkey#\d+L, (\d+)\), (\w+)", plan(tables.lines(spark, orders)))
-    assert placed == [("13", "REPARTITION_BY_NUM")] * 2
+    assert placed == [("12", "REPARTITION_BY_NUM")] * 2
 
 
 def test_asof_costs_are_spread_and_averaged_without_a_shuffle_in_between(spark, orders):
