@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helpers import day
 from registry import portfolio, relations, tables, usage
-from wearlog.operators import daily_cost
+from wearlog.operators import daily_cost, listings, ordered
 from wearlog.sources import storage, versions
 
 
@@ -96,3 +96,32 @@ def test_refreshes_read_a_saved_log(spark, orders, monkeypatch):
 @pytest.mark.parametrize("query", [portfolio.times_used, portfolio.times_used_pooled])
 def test_ranking_of_the_last_day_reads_a_saved_state(spark, orders, query):
     assert "lineitem" not in plan(query(spark, orders))
+
+
+def test_ranking_of_all_dates_is_one_shuffle_of_the_item_days(spark, orders):
+    found = plan(portfolio.times_used_all_dates(spark, orders))
+    assert found.count("Exchange ") == 1 and "hashpartitioning(user" in found
+
+
+@pytest.mark.parametrize("pooled", [False, True])
+def test_ranking_in_pieces_gives_what_a_window_gives(spark, monkeypatch, pooled):
+    days = [
+        (u, c, f"item {i}", day(n), None if i == 3 else float(i * i + n), None if i == 5 else 40 - i % 4, i % 3 == 0 if i != 7 else None)
+        for u, size in (("many", 12), (None, 9), ("few", 2))
+        for c in ("Shirts", "Knits", None)
+        for i in range(size)
+        for n in range(1, 5)
+    ]
+    use = spark.createDataFrame(
+        days, "user string, category string, item string, date date, cumuse double, days_active int, active boolean"
+    )
+    if pooled:  # one row for an item, so that no two rows tie
+        use = use.withColumn("item", F.concat_ws("/", "category", "item"))
+    args = {"last_only": False, "pooled": pooled}
+    by_window = listings.times_used(use, **args)
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", 30)
+    in_pieces = listings.times_used(use, **args)
+    assert "Union" in plan(in_pieces) and "Union" not in plan(by_window) and in_pieces.dtypes == by_window.dtypes
+    digits = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    found = [sorted(map(digits, t.collect()), key=str) for t in (in_pieces, by_window)]
+    assert found[0] == found[1] and len(found[0]) == len(days)

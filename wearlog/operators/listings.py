@@ -7,15 +7,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from wearlog import defaults
 from wearlog.functions.numeric import ratio, rounded, strict_sum
 from wearlog.operators.joins import join_null_safe
-from wearlog.operators.ordered import exact_quantiles, row_positions
+from wearlog.operators.ordered import exact_quantiles, large_groups, row_positions
 from wearlog.operators.usage import latest
 
 KEYS = ["user", "category", "date"]
 Last = Column | dt.date | None
+BANDS = {"std1_low": 0.32, "std1_high": 0.68, "std2_low": 0.05, "std2_high": 0.95}
 
 
 def item_listing(use: DataFrame, last: Last = None, month_days: float = defaults.DAYS_PER_MONTH) -> DataFrame:
@@ -88,8 +90,22 @@ def _chosen(use: DataFrame, categories: Sequence[str] | None, pooled: bool) -> t
 def use_bands(use: DataFrame, categories: Sequence[str] | None = None, pooled: bool = False) -> DataFrame:
     """Range of uses of the divested items per category and date, or of several categories together."""
     use, keys = _chosen(use, categories, pooled)
-    bands = {"std1_low": 0.32, "std1_high": 0.68, "std2_low": 0.05, "std2_high": 0.95}
-    return exact_quantiles(use.where(~F.col("active")), keys, "cumuse", bands)
+    return exact_quantiles(use.where(~F.col("active")), keys, "cumuse", BANDS)
+
+
+def _ranked_by_window(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Row number and bands for groups that a task may hold: one shuffle and one sort give both."""
+    group = W.partitionBy(*keys).orderBy(*order)
+    value = F.col("cumuse").cast("double")
+    divested = F.when(~F.col("active") & ~F.isnan(value), value)
+    bands = F.percentile(divested, [*BANDS.values()]).over(group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    ranked = rows.withColumns({"rownumber": F.row_number().over(group).cast("long"), "_bands": bands})
+    return ranked.withColumns({name: F.col("_bands")[i] for i, name in enumerate(BANDS)}).drop("_bands")
+
+
+def _ranked_in_pieces(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], pooled: bool) -> DataFrame:
+    """The same for groups of any size."""
+    return join_null_safe(row_positions(rows, keys, order, "rownumber"), use_bands(rows, pooled=pooled), keys, "left")
 
 
 def times_used(
@@ -97,10 +113,16 @@ def times_used(
 ) -> DataFrame:
     """Items ranked by status and age per category and date, with the band of divested items.
 
-    ``pooled`` ranks the chosen categories of a user together.
+    ``pooled`` ranks the chosen categories of a user together. A user's category (pooled: a user) with
+    very many rows over all dates is ranked in pieces, the others by one window.
     """
     use, keys = _chosen(use, categories, pooled)
     rows = latest(use, last=last) if last_only else use
     narrow = rows.select(*KEYS, "item", "cumuse", "days_active", "active")
     order = [F.col("active").asc(), F.desc_nulls_last("days_active"), F.col("item").asc()]
-    return join_null_safe(row_positions(narrow, keys, order, "rownumber"), use_bands(narrow, pooled=pooled), keys, "left")
+    dated = [k for k in keys if k != "date"]
+    large = large_groups(narrow, dated)
+    if large is None:
+        return _ranked_by_window(narrow, keys, order)
+    few, many = (join_null_safe(narrow, large, dated, how) for how in ("left_anti", "left_semi"))
+    return _ranked_by_window(few, keys, order).unionByName(_ranked_in_pieces(many, keys, order, pooled))

@@ -8,6 +8,9 @@ fails. The operators here give the same results from pieces of bounded size:
 * the distinct values of a group are cut into order-preserving buckets, and only the
   bucket totals are accumulated per group;
 * rank listings over arbitrary sort keys use one range-partitioned sort.
+
+Where groups are small, as one category on one date, those pieces cost several shuffles of
+all rows. ``large_groups`` tells the groups that need them; a window serves the others.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from wearlog.sources.storage import materialised
 
 BUCKETS_PER_DOUBLING = 1024
 _EXPONENT_SHIFT = 1100  # makes every binary exponent of a double positive
+WINDOW_ROWS = 1_000_000  # rows that a task may well hold as one group
 
 
 def order_bucket(value: Column) -> Column:
@@ -154,3 +158,14 @@ def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
         .withColumn(name, F.col("_before") + F.col("_slot") - F.col("_first") + 1)
         .drop("_slot", "_part", "_first", "_before")
     )
+
+
+def large_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The groups that should not be one task's work, those of over WINDOW_ROWS rows; None if there are none.
+
+    Partial sums come before the shuffle, so this is cheap where ``keys`` are coarse. The rows are
+    read here and by the caller again.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > WINDOW_ROWS)
+    found = materialised(counted.drop("_n"), "large")
+    return None if found.isEmpty() else found
