@@ -314,7 +314,7 @@ shifted AS (
 @query("D4_daily_cost_asof", ASOF + "SELECT * FROM shifted")
 def daily_cost_asof(spark, d):
     """Daily cost as of the first day of each month."""
-    return rounded_cost(cost.daily_cost_asof(t.saved_use(spark, d), report_days(spark, d), exclude=LEFT_OUT, parts=t.parts(spark, d)))
+    return rounded_cost(cost.daily_cost_asof(t.use(spark, d), report_days(spark, d), exclude=LEFT_OUT, parts=t.parts(spark, d)))
 
 
 @query(

@@ -74,6 +74,40 @@ def test_asof_costs_are_spread_and_averaged_without_a_shuffle_in_between(spark,
     assert sorted(map(tuple, cut.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
+def test_asof_costs_shuffle_one_row_per_item(spark, orders, monkeypatch):
+    monkeypatch.setattr(tables, "LINES_PER_PART", 50)
+    found = plan(portfolio.daily_cost_asof(spark, orders))
+    top, below = re.split(r"Exchange hashpartitioning\(user#\d+, \d+\), REPARTITION_BY_NUM", found, maxsplit=1)
+    assert "hashpartitioning" not in top and "explode(_used" in top  # used days meet changes behind the shuffle
+    items = below.split("Window")[0]
+    assert "collect_list(_used" in items and "collect_list(_change" in items
+    assert "lineitem" in below  # the usage table is read in place, not written before
+
+
+def test_asof_costs_of_odd_rows_are_those_of_the_days_before(spark):
+    n = range(60)
+    data = [
+        (("u", "v", None)[i % 3], ("a", "b", "c", None)[i % 4], day(1 + i * 7 % 30) if i % 11 else None,
+         None if i % 60 == 1 else float(1 + i * 13 % 17), i % 5 != 2, (True, None, True, False)[i // 3 % 4])
+        for i in [*n, *n[:20]]
+    ]
+    use = spark.createDataFrame(data, "user string, item string, date date, cost_per_use double, active boolean, used boolean")
+    reports = [day(5), day(12), day(12), None, day(13), day(26)]
+    found = daily_cost.daily_cost_asof(
+        use.withColumn("category", F.lit("Shirts")), spark.createDataFrame([(d,) for d in reports], "day date"), window=3
+    )
+    expected = []
+    for report in filter(None, set(reports)):
+        known = [r for r in data if None not in r[:3] and r[2] <= report]
+        for user, date in {(r[0], r[2]) for r in known if r[5]}:
+            worn = [[s for s in known if s[:2] == r[:2]] for r in known if r[0] == user and r[2] == date and r[5]]
+            costs = [[s[3] for s in rows] for rows in worn]
+            total = None if any(None in c for c in costs) else sum(map(min, costs))
+            expected.append((user, report, date, total, any(all(s[4] for s in rows) for rows in worn)))
+    rows = found.select("user", "day", "date", "daily_cost", "still_active").collect()
+    assert len(expected) > 20 and sorted(map(tuple, rows), key=str) == sorted(expected, key=str)
+
+
 def test_versions_are_written_from_a_saved_table(spark, orders, monkeypatch):
     seen, write = [], versions.write_version
     monkeypatch.setattr(versions, "write_version", lambda df, *a: seen.append(plan(df)) or write(df, *a))

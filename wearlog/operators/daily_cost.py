@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,17 +68,54 @@ def daily_cost(
     return with_midpoint_average(days, keys, window)
 
 
-def _numbered(use: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Report days with a number, and for every date of the table the number of the next of them.
+def _report_numbers(days: DataFrame) -> tuple[Column, Callable[[str], Column]]:
+    """The report days in order, and a function from a date column to the number (from 1) of the next of them.
 
-    Both are lists of distinct days, so one task may order them: the calendar bounds their length.
+    The number is null behind the last report day. Both look into one-row subqueries over the list of
+    report days, whose length the calendar bounds: no row is joined or shuffled to be numbered.
     """
-    reports = days.select("day").where(F.col("day").isNotNull()).distinct()
-    reports = reports.select("day", F.row_number().over(W.orderBy("day")).alias("_n"))
-    dates = use.select("date").distinct().join(reports, F.col("date") == F.col("day"), "full")
-    dates = dates.select(F.coalesce("date", "day").alias("date"), "_n")
-    ahead = W.orderBy("date").rowsBetween(W.currentRow, W.unboundedFollowing)
-    return reports, dates.select("date", F.min("_n").over(ahead).alias("_n")).where(F.col("_n").isNotNull())
+    ordered = F.sort_array(F.collect_set("day"))  # without null
+    first = days.select(F.min("day")).scalar()
+    numbers = days.select(ordered.alias("_days")).select(
+        F.flatten(
+            F.transform(
+                "_days",
+                lambda day, i: F.array_repeat(i + 1, F.when(i == 0, F.lit(1)).otherwise(F.datediff(day, F.get("_days", i - 1)))),
+            )
+        )
+    ).scalar()
+
+    def number(date: str) -> Column:
+        return F.get(numbers, F.when(F.col(date) < first, F.lit(0)).otherwise(F.datediff(date, first)))
+
+    return days.select(ordered).scalar(), number
+
+
+def _item_histories(rows: DataFrame) -> DataFrame:
+    """A row per item: the days on which it was used, and its state from each report day on that changes it.
+
+    The state is the lowest cost so far, whether a cost was unknown, and whether all days were active.
+    """
+    by_report = W.partitionBy("user", "item").orderBy("_n")
+    so_far = by_report.rangeBetween(W.unboundedPreceding, W.currentRow)  # all rows up to the report day
+    unknown = F.max(F.col("cost_per_use").isNull().cast("int")).over(so_far)
+    states = (
+        rows.select(
+            "user",
+            "item",
+            "_n",
+            F.when(F.col("used"), F.col("date")).alias("_used"),
+            F.when(unknown == 0, F.min("cost_per_use").over(so_far)).otherwise(F.lit(0.0)).alias("cost"),
+            unknown.alias("unknown"),
+            F.min(F.col("active").cast("int")).over(so_far).alias("active"),
+        )
+        .withColumn("_state", F.struct("cost", "unknown", "active"))
+        .withColumn("_old", F.lag("_state").over(by_report))
+        .withColumn("_change", F.when(F.col("_old").isNull() | (F.col("_state") != F.col("_old")), F.struct("_n", "cost", "unknown", "active")))
+    )
+    kept = states.where(F.col("_used").isNotNull() | F.col("_change").isNotNull())
+    histories = kept.groupBy("user", "item").agg(F.collect_list("_used").alias("_used"), F.collect_list("_change").alias("_changes"))
+    return histories.where(F.size("_used") > 0).withColumn("_changes", F.sort_array("_changes"))
 
 
 def daily_cost_asof(
@@ -96,59 +133,51 @@ def daily_cost_asof(
     on the next report day and then one difference per change; differences are summed by user, day
     used and report day, accumulated, and held until the next change.
 
-    The summed differences are placed by user once; the result is spread and averaged where they are,
-    as a user's rows are bounded by report days and calendar. They are few bytes before they are spread,
-    so ``parts``, the number of tasks for that, should be given where the result is large.
+    ``use`` is read once. What is shuffled by user is one row per item, with its used days and its
+    changes; a used day meets the changes only where the sums are spread and averaged, as their pairs
+    are many times what the two lists are. There, a user's rows are bounded by report days and calendar.
+    Item rows are few bytes before that, so ``parts``, the number of tasks for it, should be given
+    where the result is large.
     """
-    rows = _selected(use, include, exclude).select("user", "item", "date", "cost_per_use", "active", "used")
-    reports, next_report = _numbered(rows, days)
-    rows = rows.join(next_report, "date")
-    so_far = W.partitionBy("user", "item").orderBy("_n").rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps = W.partitionBy("user", "item").orderBy("_n")
-    state = (
-        rows.groupBy("user", "item", "_n")
-        .agg(
-            F.min("cost_per_use").alias("_cost"),
-            F.max(F.col("cost_per_use").isNull().cast("int")).alias("_unknown"),
-            F.min(F.col("active").cast("int")).alias("_active"),
-        )
-        .select("user", "item", "_n", F.min("_cost").over(so_far).alias("_cost"), F.max("_unknown").over(so_far).alias("_unknown"), F.min("_active").over(so_far).alias("_active"))
-        .withColumn("_state", F.struct(F.when(F.col("_unknown") == 0, F.col("_cost")).otherwise(F.lit(0.0)).alias("cost"), F.col("_unknown").alias("unknown"), F.col("_active").alias("active")))
-        .withColumn("_old", F.lag("_state").over(steps))
-        .where(F.col("_old").isNull() | (F.col("_state") != F.col("_old")))
-        .select("user", "item", F.col("_n").alias("_from"), "_state", "_old")
-        .withColumn("_to", F.lead("_from").over(W.partitionBy("user", "item").orderBy("_from")))
+    reports, number = _report_numbers(days)
+    rows = (
+        _selected(use, include, exclude)
+        .where(F.col("user").isNotNull() & F.col("item").isNotNull())
+        .select("user", "item", "date", "cost_per_use", "active", "used", number("date").alias("_n"))
+        .where(F.col("_n").isNotNull())
+    )
+    histories = _item_histories(rows).select("user", "_used", "_changes")
+    placed = histories.repartition("user") if parts is None else histories.repartition(parts, "user")
+    steps = F.transform(
+        "_changes",
+        lambda change, i: F.named_struct(
+            F.lit("state"), change, F.lit("old"), F.get("_changes", i - 1), F.lit("to"), F.get("_changes", i + 1)["_n"]
+        ),
     )
     changes = (
-        rows.where("used")
-        .select("user", "item", "date", "_n")
-        .join(state, ["user", "item"])
-        .where(F.col("_to").isNull() | (F.col("_to") > F.col("_n")))
-        .withColumn("_first", F.col("_from") <= F.col("_n"))
+        placed.select("user", F.explode("_used").alias("date"), steps.alias("_steps"))
+        .select("user", "date", number("date").alias("_n"), F.explode("_steps").alias("_step"))
+        .where(F.col("_step.to").isNull() | (F.col("_step.to") > F.col("_n")))
+        .withColumn("_first", F.col("_step.state._n") <= F.col("_n"))
     )
     sums = [
-        F.sum(F.col(f"_state.{c}") - F.when(F.col("_first"), F.lit(0)).otherwise(F.col(f"_old.{c}"))).alias(f"_{c}")
+        F.sum(F.col(f"_step.state.{c}") - F.when(F.col("_first"), F.lit(0)).otherwise(F.col(f"_step.old.{c}"))).alias(f"_{c}")
         for c in ("cost", "unknown", "active")
     ]
     by_report = W.partitionBy("user", "date").orderBy("_n")
-    summed = changes.groupBy("user", "date", F.greatest("_n", "_from").alias("_n")).agg(*sums)
-    placed = summed.repartition("user") if parts is None else summed.repartition(parts, "user")
-    held = placed.select(
+    summed = changes.groupBy("user", "date", F.greatest("_n", "_step.state._n").alias("_n")).agg(*sums)
+    held = summed.select(
         "user",
         "date",
         *[F.sum(f"_{c}").over(by_report.rowsBetween(W.unboundedPreceding, W.currentRow)).alias(f"_{c}") for c in ("cost", "unknown", "active")],
-        F.sequence("_n", F.coalesce(F.lead("_n").over(by_report) - 1, reports.select(F.max("_n")).scalar())).alias("_days"),
+        F.slice(reports, F.col("_n"), F.coalesce(F.lead("_n").over(by_report), F.size(reports) + 1) - F.col("_n")).alias("_days"),
     )
-    costs = (
-        held.withColumn("_n", F.explode("_days"))
-        .join(reports, "_n")
-        .select(
-            "user",
-            "day",
-            "date",
-            F.when(F.col("_unknown") == 0, F.col("_cost")).alias("daily_cost"),
-            (F.col("_active") > 0).alias("still_active"),
-        )
+    costs = held.select(
+        "user",
+        F.explode("_days").alias("day"),
+        "date",
+        F.when(F.col("_unknown") == 0, F.col("_cost")).alias("daily_cost"),
+        (F.col("_active") > 0).alias("still_active"),
     )
     return with_midpoint_average(costs, ["user", "day"], window, min_rows=1)
 
