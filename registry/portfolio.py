@@ -325,7 +325,7 @@ WHERE day IN (SELECT day FROM (SELECT day, row_number() OVER (ORDER BY day) AS n
                                WHERE day >= DATE '1995-01-01' + 29 AND day <= (SELECT day_last FROM bounds) - 30) WHERE n % 2 = 1)""",
 )
 def trimmed_days(spark, d):
-    table = rounded_cost(cost.daily_cost_asof(t.saved_use(spark, d), report_days(spark, d), exclude=LEFT_OUT, parts=t.parts(spark, d)))
+    table = rounded_cost(cost.daily_cost_asof(t.use(spark, d), report_days(spark, d), exclude=LEFT_OUT, parts=t.parts(spark, d)))
     return cost.trim_days(table, t.START, t.end(spark, d), step=2)
 
 

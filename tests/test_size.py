@@ -108,6 +108,16 @@ def test_asof_costs_of_odd_rows_are_those_of_the_days_before(spark):
     assert len(expected) > 20 and sorted(map(tuple, rows), key=str) == sorted(expected, key=str)
 
 
+def test_thinned_report_days_shuffle_no_rows(spark, orders):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the rows were many
+    try:
+        found = plan(portfolio.trimmed_days(spark, orders))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    result = found.split("BroadcastExchange")[0]
+    assert "LeftSemi" in result and not re.search(r"hashpartitioning\((day|date)#", result)
+
+
 def test_versions_are_written_from_a_saved_table(spark, orders, monkeypatch):
     seen, write = [], versions.write_version
     monkeypatch.setattr(versions, "write_version", lambda df, *a: seen.append(plan(df)) or write(df, *a))

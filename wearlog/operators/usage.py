@@ -199,12 +199,13 @@ def thin_dates(df: DataFrame, step: int = 2, column: str = "date") -> DataFrame:
     """Rows of every ``step``-th distinct date, starting with the first.
 
     The list of distinct dates is bounded by the calendar (about 37,000 per century), so
-    one task may number it; how to join it is left to Spark.
+    one task may number it. It is broadcast: Spark estimates its size from the rows it is taken
+    from, and would shuffle all rows by date where there are many.
     """
     dates = df.select(column).where(F.col(column).isNotNull()).distinct()
     numbered = dates.withColumn("_n", F.row_number().over(W.orderBy(column)))
     kept = numbered.where((F.col("_n") - 1) % step == 0).select(column)
-    return df.join(kept, column, "left_semi")
+    return df.join(F.broadcast(kept), column, "left_semi")
 
 
 def log_gaps(use: DataFrame, items: DataFrame) -> DataFrame:
